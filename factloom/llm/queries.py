@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from factloom.llm import simhash
+from factloom.llm import decontaminate, langid, packing, secrets, simhash
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op6_packing": packing.op6_packing,
+    "op8_langid": langid.op8_langid,
     "op9_simhash": simhash.op9_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_secrets": secrets.OP1_SQL,
+}
