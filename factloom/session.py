@@ -26,3 +26,12 @@ def build_session(app: str = "factloom", cores: int | None = None, **conf: str)
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def reach(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did; on a cluster it comes by ``--py-files`` or
+    stands at the same path everywhere, and the setting does no harm."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, (root, env.get("PYTHONPATH"))))
