@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.session import reach
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data, by a path that only Spark needs to be able to read."""
@@ -18,5 +20,6 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows and few bytes, as texts may be long."""
+    reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
