@@ -8,6 +8,7 @@ takes the planned slot of its rank within its length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -27,44 +28,102 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces of one length that are ranked in one task; more are dealt into several.
 RANKED = 20_000
 #: Distinct words whose ids a Python worker keeps; after that it starts anew.
-_KEPT = 400_000
+_KEPT = 800_000
+_MARKS = ".,;:!?&$#*%|()[]{}-"
+#: Characters that are tokenised at a time, about, and words in a call of the tokenizer.
+_AT_ONCE, _LOT = 1_000_000, 2000
 
 
-@lru_cache(2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class _Encoder:
+    """Ids of words, each worked out once.
 
-    return Tokenizer.from_file(path), {"": b""}
+    The tokenizer never joins characters across white space: its normaliser acts on a character and the
+    marks after it, and its pre-tokenizer drops white space. It also parts letters from punctuation and
+    lower-cases, so a word of Latin letters with punctuation behind it is the lower-cased word and the
+    punctuation. Such words are tokenised many in one call; each ends with the only token that is marked as
+    a word's end. All other words are tokenised one by one.
+    """
 
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {"": b""}
+        self.plain: dict[str, bytes] = {}
+
+    def _singly(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> None:
+        lots = [words[i : i + _LOT] for i in range(0, len(words), _LOT)]
+        for lot, e in zip(lots, self.tokenizer.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cut) != len(lot):
+                self.plain.update(zip(lot, self._singly(lot)))
+                continue
+            raw = ids.tobytes()
+            for w, a, b in zip(lot, [0, *cut[:-1].tolist()], cut.tolist()):
+                self.plain[w] = raw[a:b]
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Work out the words that are not known yet."""
+        new = set().union(*texts).difference(self.words)
+        if not new:
+            return
+        if len(self.words) > _KEPT:
+            self.words = {"": b""}
+            new = set().union(*texts) - {""}
+        if len(self.plain) > _KEPT:
+            self.plain = {}
+        parts, odd, wanted = {}, set(), set()
+        for w in new:
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
+                parts[w] = core.lower(), w[len(core) :]
+                wanted.add(parts[w][0])
+                if len(core) < len(w):
+                    odd.add(w[len(core) :])
+            else:
+                odd.add(w)
+        self._together(sorted(wanted.difference(self.plain)))
+        alone = sorted(odd)
+        found = dict(zip(alone, self._singly(alone)))
+        for w in new:
+            p = parts.get(w)
+            self.words[w] = self.plain[p[0]] + found.get(p[1], b"") if p else found[w]
 
-def encode(text: str | None, path: str) -> bytes:
-    """The text's ids, then the end id, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer never joins characters across white space, so the text is cut at spaces, tabs and line
-    ends, and each different word is tokenised once in a worker. (Its normaliser acts on one character
-    and the marks after it, and its pre-tokenizer drops white space.)
-    """
-    tokenizer, known = _tokenizer(path)
-    words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-    new = [w for w in set(words) if w not in known]
-    if new:
-        if len(known) > _KEPT:
-            known.clear()
-            known[""] = b""
-            new = list({*words} - {""})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-    return b"".join(map(known.__getitem__, words)) + END.to_bytes(4, "little")
+@lru_cache(2)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
+
+
+def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
+    """Of each text its ids, then the end id, as little-endian unsigned 32-bit numbers."""
+    encoder, end = _encoder(path), END.to_bytes(4, "little")
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and size < _AT_ONCE:
+            size += len(texts[to] or "")
+            to += 1
+        cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:to]]
+        encoder.learn(cut)
+        for words in cut:
+            yield b"".join(map(encoder.words.__getitem__, words)) + end
+        at = to
 
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = encode(text, path)
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), path)):
                 for n, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
