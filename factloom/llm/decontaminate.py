@@ -21,52 +21,59 @@ WINDOW, SHARE = 5, 0.8
 #: A window counts if it has so many plain words.
 PLAIN = 3
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "inch", "inches", "feet", "miles", "pounds", "dollars", "euros", "cents", "percent", "degrees", "meters", "metres", "liters", "litres", "grams", "kilograms", "tons", "watts", "volts")
-_TOKEN = r"[0-9]+(?:[.,][0-9]+)*|(?:[.!?:\n][^\p{L}\p{N}]*)?[\p{L}\p{M}]+"
-_NUM, _UNIT, _NAME = "<num>", "<unit>", "<name>"
-
-
-def _word(t: Column) -> Column:
-    """A token without the end of the sentence before it."""
-    return F.when(F.substring(t, 1, 1).isin(".", "!", "?", ":", "\n"), F.regexp_extract(t, r"[\p{L}\p{M}]+$", 0)).otherwise(t)
-
-
-def _template(tokens: Column, inside: bool = False) -> Column:
-    """Hashes of the template's words. The first word begins a sentence, unless the text is taken to stand
-    ``inside`` of one."""
-
-    def one(t: Column, i: Column) -> Column:
-        first, second = F.substring(t, 1, 1), F.substring(t, 2, 1)
-        word = F.lower(_word(t))
-        after_number = (i > 0) & F.get(tokens, i - 1).between("0", ":")
-        return F.xxhash64(
-            F.when(first.between("0", "9"), F.lit(_NUM))
-            .when(after_number & word.isin(*UNITS), F.lit(_UNIT))
-            .when((first != F.lower(first)) & (F.lit(inside) | (i > 0)) & (second != "") & (second == F.lower(second)), F.lit(_NAME))
-            .otherwise(word)
-        )
-
-    return F.transform(tokens, one)
-
-
-def _windows(rows: DataFrame, width: int, inside: bool = False) -> DataFrame:
-    """``rows`` with ``tokens`` and ``template`` of ``text``, and a row for each window with ``pos`` and ``h``."""
-    cut = rows.withColumn("tokens", F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_TOKEN), F.lit(0))).drop("text")
-    cut = cut.where(F.size("tokens") >= width).withColumn("template", _template(F.col("tokens"), inside))
-    places = F.sequence(F.lit(1), F.size("template") - (width - 1))
-    return cut.select("*", F.posexplode(F.transform(places, lambda i: F.xxhash64(F.slice("template", i, width)))).alias("pos", "h"))
+_NUM, _UNIT, _NAME = "\x03", "\x02", "\x01"
+_WORD = r"[\p{L}\p{M}]+"
+_NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``marked`` instead of ``text``: the lower-cased text with a mark before each name and before each
+    unit behind a number. A name is a capitalised word behind another word or a comma; the first word of a
+    sentence is none. (Each step is a column of its own, so none is worked out twice.)"""
+    named = F.regexp_replace("text", r"([\p{L}\p{M}\p{N},;)])\x20(?=\p{Lu}[\p{Ll}\p{M}]+(?!\p{L}))", "$1 " + _NAME)
+    units = F.regexp_replace("text", rf"([0-9])\x20?(?=(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}]))", "$1 " + _UNIT)
+    return (
+        rows.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+        .withColumn("text", F.when(F.col("text").rlike("[\x01-\x03]"), F.translate("text", _NAME + _UNIT + _NUM, "   ")).otherwise(F.col("text")))
+        .withColumn("text", named)
+        .withColumn("text", F.when(F.col("text").rlike("[0-9]"), units).otherwise(F.col("text")))
+        .withColumn("marked", F.lower("text"))
+        .drop("text")
+    )
+
+
+def _tokens(marked: Column) -> Column:
+    """The words and numbers of a marked text."""
+    return F.regexp_extract_all(F.translate(marked, _NAME + _UNIT, ""), F.lit(f"{_WORD}|{_NUMBER}"), F.lit(0))
+
+
+def _windows(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` with ``marked`` and ``template`` (the words with placeholders for names, units and numbers) instead of
+    ``text``, and a row for each window with ``pos`` and ``h``. The last rows of a text hold fewer words."""
+    steps = (
+        _marked(rows)
+        .withColumn("c", F.when(F.col("marked").rlike("[\x01\x02]"), F.regexp_replace("marked", f"([\x01\x02])\x20?{_WORD}", "$1")).otherwise(F.col("marked")))
+        .withColumn("c", F.when(F.col("c").rlike("[0-9]"), F.regexp_replace("c", _NUMBER, _NUM)).otherwise(F.col("c")))
+        .withColumn("template", F.regexp_extract_all("c", F.lit(f"[\x01-\x03]|{_WORD}"), F.lit(0)))
+        .drop("c")
+    )
+    window = F.transform("template", lambda w, i: F.xxhash64(w, *[F.get("template", i + k) for k in range(1, width)]))
+    # The hashes are a column of their own, so that the generator and the join behind it work on plain values; the
+    # outer form keeps the optimizer from working them out once more in a filter on their number.
+    return steps.withColumn("hashes", window).select(*[c for c in steps.columns], F.posexplode_outer("hashes").alias("pos", "h")).where("h is not null")
 
 
 def item_windows(benchmark: DataFrame, width: int = WINDOW, plain: int = PLAIN) -> DataFrame:
     """``(item, h, ipos, window, words, slots, n)`` for each window of ``benchmark(item_id, text)`` with
     enough plain words; ``n`` is at how many places the item has one. The first window comes in two forms
     if its first word would be a name inside a sentence."""
-    marks = [F.xxhash64(F.lit(x)) for x in (_NUM, _UNIT, _NAME)]
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     rows = rows.select(F.struct("item_id", F.xxhash64("text").alias("digest")).alias("item"), "text")
-    slots = F.transform(F.slice("template", F.col("pos") + 1, width), lambda x: x.isin(*marks))
-    both = _windows(rows, width).unionByName(_windows(rows, width, inside=True).where("pos = 0"))
-    w = both.select("item", "h", F.col("pos").alias("ipos"), F.slice("template", F.col("pos") + 1, width).alias("window"), F.transform(F.slice("tokens", F.col("pos") + 1, width), _word).alias("words"), slots.alias("slots"))
-    w = w.where(F.size(F.filter("slots", lambda x: ~x)) >= plain).dropDuplicates(["item", "ipos", "h"])
+    slots = F.transform(F.slice("template", F.col("pos") + 1, width), lambda x: x.isin(_NUM, _UNIT, _NAME))
+    inside = rows.withColumn("text", F.concat(F.lit(", "), "text"))
+    both = _windows(rows, width).unionByName(_windows(inside, width).where("pos = 0")).withColumn("tokens", _tokens(F.col("marked")))
+    w = both.select("item", "h", F.col("pos").alias("ipos"), F.slice("template", F.col("pos") + 1, width).alias("window"), F.slice("tokens", F.col("pos") + 1, width).alias("words"), slots.alias("slots"))
+    w = w.where((F.size("window") == width) & (F.size(F.filter("slots", lambda x: ~x)) >= plain)).dropDuplicates(["item", "ipos", "h"])
     n = w.groupBy(F.col("item").alias("item_n")).agg(F.countDistinct("ipos").alias("n"))
     return w.join(n, w.item == n.item_n).drop("item_n")
 
@@ -84,8 +91,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     side = F.broadcast(items) if small(items, BROADCAST_ROWS // 4) else items
     mine = _windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
     hit = mine.join(side, "h").where(F.slice("template", F.col("pos") + 1, width) == F.col("window"))
-    pairs = F.filter(F.zip_with("words", F.zip_with(F.slice("tokens", F.col("pos") + 1, width), "slots", lambda t, s: F.struct(_word(t).alias("t"), s.alias("s"))), lambda a, b: F.struct(a.alias("item"), b["t"].alias("doc"), b["s"].alias("slot"))), lambda x: x["slot"])
-    found = hit.select("doc_id", "item", "n", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), pairs.alias("pairs"))
+    mine_words = F.slice(_tokens(F.col("marked")), F.col("pos") + 1, width)
+    pairs = F.filter(F.zip_with(F.arrays_zip("words", "slots"), mine_words, lambda a, t: F.struct(a["words"].alias("item"), t.alias("doc"), a["slots"].alias("slot"))), lambda x: x["slot"])
+    none = F.array().cast("array<struct<item:string,doc:string,slot:boolean>>")
+    found = hit.select("doc_id", "item", "n", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.when(F.exists("slots", lambda x: x), pairs).otherwise(none).alias("pairs"))
     occurrence = found.groupBy("doc_id", "item", "n", "shift").agg(F.collect_set("ipos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     steady = occurrence.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))))
     whole = steady.groupBy("doc_id", "item", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.bool_and(F.forall("pairs", lambda p: p["item"] == p["doc"])).alias("verbatim"))
@@ -103,9 +112,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows of contaminated documents. The ids to remove are broadcast while they are
     counted to be few."""
-    ids = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")), "contaminated")
+    ids = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")), "contaminated")
     side = F.broadcast(ids) if small(ids) else ids
-    return docs.join(side, docs.doc_id.cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(side, docs.doc_id.cast("long").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
