@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import table
+from factloom.scratch import BROADCAST_ROWS, small, stage
 
 #: From so many distinct owners a value counts as a widely copied example.
 EXAMPLE_OWNERS = 3
@@ -69,16 +70,32 @@ def _random(value: Column) -> Column:
 
 
 def ownership(found: DataFrame, owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """``(hash, n_repositories, n_owners, class)`` of each candidate value in ``found``; the class is
+    """``(hash, n_repositories, n_owners, class)`` of each value in ``found(doc_id, source, s)``; the class is
     ``example``, ``live`` or ``shared``. Counts are combined before each shuffle; a null owner counts as
     one owner."""
-    each = found.select("doc_id", "source", F.explode("spans").alias("s")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.sha2("s.value", 256).alias("hash"), _random(F.col("s.value")).alias("random"))
+    each = found.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.sha2("s.value", 256).alias("hash"), _random(F.col("s.value")).alias("random"))
     by = each.groupBy("hash", "source", "doc_id").agg(F.first("random").alias("random")).groupBy("hash", "source").agg(F.count("*").alias("n"), F.first("random").alias("random"))
     total = by.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"), F.first("random").alias("random"))
     kind = F.when(F.col("n_owners") >= owners, "example").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("shared")
     return total.select("hash", "n_repositories", "n_owners", kind.alias("class"))
 
 
+def _digest() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def found_secrets(docs: DataFrame, owners: int = EXAMPLE_OWNERS) -> DataFrame:
+    """``(doc_id, digest, secrets)``, as ``scan``, of the documents that have any; each text is searched once."""
+    some = stage(candidates(docs).select("doc_id", "source", "digest", F.explode_outer("spans").alias("s")).where("s is not null"), "candidates")
+    known = ownership(some, owners)
+    each = some.select("doc_id", "digest", "s").distinct().withColumn("hash", F.sha2("s.value", 256))
+    joined = each.join(known, "hash").where((F.col("s.ord") < len(BASE)) | (F.col("class") == "live"))
+    rows = joined.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.ord", "s.stop", "s.kind", "s.value", "class", "n_repositories", "n_owners"))).alias("all"))
+    base = F.filter("all", lambda s: s["ord"] < len(BASE))
+    kept = F.filter("all", lambda s: (s["ord"] < len(BASE)) | ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    return rows.select("doc_id", "digest", kept.alias("secrets")).where(F.size("secrets") > 0)
+
+
 def scan(docs: DataFrame, owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """Secrets of every row of ``docs(doc_id, text, source)``:
     ``(doc_id, digest, secrets)`` with ``secrets`` an array of (start, ord, stop, kind, value, class,
@@ -89,16 +106,8 @@ def scan(docs: DataFrame, owners: int = EXAMPLE_OWNERS) -> DataFrame:
     columns are ignored; an empty table gives an empty result. Offsets are in code points, the end
     exclusive.
     """
-    found = candidates(docs)
-    some = found.where(F.size("spans") > 0)
-    known = ownership(some, owners)
-    each = some.select("doc_id", "digest", "spans").distinct().select("doc_id", "digest", F.explode("spans").alias("s")).withColumn("hash", F.sha2("s.value", 256))
-    joined = each.join(known, "hash").where((F.col("s.ord") < len(BASE)) | (F.col("class") == "live"))
-    rows = joined.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.ord", "s.stop", "s.kind", "s.value", "class", "n_repositories", "n_owners"))).alias("all"))
-    base = F.filter("all", lambda s: s["ord"] < len(BASE))
-    kept = F.filter("all", lambda s: (s["ord"] < len(BASE)) | ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    secrets = rows.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), kept.alias("secrets"))
-    here = found.select("doc_id", "digest")
+    secrets = found_secrets(docs, owners).select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), "secrets")
+    here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"))
     return here.join(secrets, here.doc_id.eqNullSafe(secrets.id) & (here.digest == secrets.d), "left").select("doc_id", "digest", F.coalesce("secrets", F.filter(F.array().cast(secrets.schema["secrets"].dataType), lambda _: F.lit(True))).alias("secrets"))
 
 
@@ -106,15 +115,17 @@ def redact(docs: DataFrame, owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """``docs`` with the value of every secret but widely copied examples replaced by ``[SECRET]``;
     ``n_chars``, if there, is set to the new length of a changed text. No row is dropped, and rows
     without secrets keep their text as it is."""
-    hits = scan(docs, owners).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.transform(F.filter("secrets", lambda s: s["class"] != "example"), lambda s: F.struct((s["stop"] - F.length(s["value"])).alias("start"), s["stop"].alias("stop"))).alias("_cut")).where(F.size("_cut") > 0).distinct()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(hits, docs.doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_digest")), "left")
-    done = F.aggregate("_cut", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]")).alias("out"))), lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    clean = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(done)
-    out = joined.withColumn("_new", clean)
+    hits = found_secrets(docs, owners).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.transform(F.filter("secrets", lambda s: s["class"] != "example"), lambda s: F.struct((s["stop"] - F.length(s["value"])).alias("start"), s["stop"].alias("stop"))).alias("__cut")).where(F.size("__cut") > 0)
+    hits = stage(hits, "redactions")
+    # Documents with secrets are few; beyond a bound both sides are shuffled by id.
+    side = F.broadcast(hits) if small(hits, BROADCAST_ROWS // 10) else hits
+    joined = docs.join(side, docs.doc_id.cast("long").eqNullSafe(F.col("__id")) & (_digest() == F.col("__digest")), "left")
+    done = F.aggregate("__cut", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]")).alias("out"))), lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    clean = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(done)
+    out = joined.withColumn("__new", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn("text", F.col("_new")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn("n_chars", F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast(docs.schema["n_chars"].dataType)))
+    return out.withColumn("text", F.col("__new")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:
