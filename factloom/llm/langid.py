@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.common import fold, small_batches, table
+from factloom.scratch import checked_broadcast, stage
 
 DIMENSIONS = 1024
 #: Labelled documents per language that prototypes are bundled from, about; fewer if there are fewer.
@@ -107,8 +108,8 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[l
     """
     small_batches(labelled.sparkSession)
     known = labelled.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    share = known.groupBy("lang").agg((per_language / F.count("*")).alias("share"))
-    sample = known.join(share, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
+    share = stage(known.groupBy("lang").agg((per_language / F.count("*")).alias("share")), "languages")
+    sample = known.join(checked_broadcast(share, 10_000), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
     rows = sample.mapInArrow(_bundles, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value")).collect()
     names = sorted({r.lang for r in rows})
     found = np.zeros((len(names), DIMENSIONS))
@@ -117,14 +118,14 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[l
     return names, (found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the largest cosine (0 if it is negative).
 
     A row whose text is null or has no letter, and every row if no language was learned, gets ``und`` and
     score 0. Equal cosines: the name that comes first. All columns of ``docs`` are kept; columns named
-    like the two results are replaced.
+    like the two results, whose names are ``out``, are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in out]
     fields = [docs.schema[c] for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +136,10 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str
                 best, score = cosine.argmax(axis=1), np.clip(cosine.max(axis=1).astype(np.float64), 0, 1)
             none = ~v.any(axis=1) | (not names)
             lang = [UNDETERMINED if none[i] else names[best[i]] for i in range(len(v))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.where(none, 0.0, score) if names else np.zeros(len(v)))], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.where(none, 0.0, score) if names else np.zeros(len(v)))], [*kept, *out])
 
     small_batches(docs.sparkSession)
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, T.StructType([*fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]))
 
 
 def identify(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
