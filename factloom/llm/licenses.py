@@ -102,7 +102,10 @@ def telling_words(least: float = SIMILARITY, texts: tuple = TEMPLATES) -> list[s
 
 
 def _holds(text: Column, words: list[str]) -> Column:
-    return text.rlike("|".join(words))
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
 
 
 def _units(text: Column) -> Column:
@@ -123,11 +126,11 @@ def matches(docs: DataFrame, least: float = SIMILARITY, texts: tuple = TEMPLATES
     sizes = [_bounds(len(set(zip(w, w[1:]))), least) for w in (template_words(t) for _, t in texts)]
     telling = telling_words(least, texts)
     low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("low"))
-    lines = low.where(_holds(F.col("low"), telling)).select("doc_id", "digest", F.posexplode_outer(_units(F.col("low"))).alias("unit", "line")).where(_holds(F.col("line"), telling))
+    lines = low.where(_holds(F.col("low"), telling)).select("doc_id", "digest", F.posexplode(_units(F.col("low"))).alias("unit", "line")).where(_holds(F.col("line"), telling))
     words = lines.select("doc_id", "digest", "unit", F.split(F.trim(F.translate("line", "\n", " ")), " +").alias("words")).where(F.size("words") > min(lo for lo, _ in sizes))
     pairs = F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
     sized = words.select("doc_id", "digest", "unit", pairs.alias("pairs")).withColumn("u", F.size("pairs")).where(F.col("u").between(min(lo for lo, _ in sizes), max(hi for _, hi in sizes)))
-    each = sized.select("doc_id", "digest", "unit", "u", F.explode_outer("pairs").alias("bigram"))
+    each = sized.select("doc_id", "digest", "unit", "u", F.explode("pairs").alias("bigram"))
     met = each.join(F.broadcast(side), "bigram").where("u >= lo and u <= hi")  # as many rows as the templates have bigrams
     both = met.groupBy("doc_id", "digest", "unit", "u", "template", "license", "m").agg(F.count("*").alias("both"))
     return both.withColumn("dice", 2 * F.col("both") / (F.col("u") + F.col("m"))).where(F.col("dice") >= least).select("doc_id", "digest", "unit", "license", "template", "dice")
