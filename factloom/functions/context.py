@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.numbers import blank, first_of, strip
+from factloom.functions.numbers import blank, first_of, let, strip
 
 SAME, DIFFERENT, OVERLAPPING, UNKNOWN = "same", "different", "overlapping", "unknown"
 
@@ -27,8 +27,7 @@ PERIOD = "struct<label:string,kind:string,year:int,quarter:int,half:int,month:in
 
 def _year(digits: Column) -> Column:
     """years below 70 are in the 2000s, others of two digits in the 1900s."""
-    n = F.when(digits != "", digits).cast("int")
-    return first_of([(n >= 100, n), (n < 70, n + 2000)], n + 1900)
+    return let(F.when(digits != "", digits).cast("int"), lambda n: first_of([(n >= 100, n), (n < 70, n + 2000)], n + 1900))
 
 
 def _period(label: Column, kind: str, **parts: Column) -> Column:
@@ -54,8 +53,11 @@ def parse_period(text: Column | str, compat: bool = False) -> Column:
     """struct (label, kind, year, quarter, half, month, day, span_start, span_end), or null if there
     is none. Rules are tried in order. Without ``compat``, a date in digits is a day and no span of years.
     """
-    raw = strip((F.col(text) if isinstance(text, str) else text).cast("string"))
-    s = F.translate(F.lower(raw), "–—", "--")
+    told = strip((F.col(text) if isinstance(text, str) else text).cast("string"))
+    return let(told, lambda raw: let(F.translate(F.lower(raw), "–—", "--"), lambda s: _parsed(raw, s, compat)))
+
+
+def _parsed(raw: Column, s: Column, compat: bool) -> Column:
     relative = s.contains(RELATIVE[0])
     for term in RELATIVE[1:]:
         relative = relative | s.contains(term)
@@ -116,6 +118,10 @@ def describe_period(p: Column) -> Column:
 
 def compare_parsed_periods(a: Column, b: Column) -> Column:
     """F13 over parsed periods."""
+    return let(a, lambda x: let(b, lambda y: _related(x, y)))
+
+
+def _related(a: Column, b: Column) -> Column:
 
     def says(relation: str, *detail: Column | str) -> Column:
         return F.struct(F.lit(relation).alias("relation"), F.coalesce(F.concat(*[F.lit(d) if isinstance(d, str) else d for d in detail]), F.lit("")).alias("detail"))
@@ -161,8 +167,11 @@ def scope_tokens(text: Column | str) -> Column:
 
 def compare_scopes(a: Column | str, b: Column | str) -> Column:
     """struct (relation, detail, dimension). All axes are tried for contrast before any for synonyms."""
-    x, y = scope_tokens(a), scope_tokens(b)
     ra, rb = ((F.col(c) if isinstance(c, str) else c).cast("string") for c in (a, b))
+    return let(scope_tokens(a), lambda x: let(scope_tokens(b), lambda y: _scoped(x, y, ra, rb)))
+
+
+def _scoped(x: Column, y: Column, ra: Column, rb: Column) -> Column:
 
     def says(relation: str, dimension: str, detail: str) -> Column:
         told = F.concat(F.lit(detail + ": "), F.coalesce(ra, F.lit("none")), F.lit(" and "), F.coalesce(rb, F.lit("none")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.numbers import blank, first_of, normalize_unit, number_tokens, parse_locale_number, strip
+from factloom.functions.numbers import blank, first_of, let, normalize_unit, number_tokens, parse_locale_number, strip
 from factloom.functions.text import quote_position
 
 UNGROUNDED, QUOTE_GROUNDED, FACT_VALIDATED = "ungrounded", "quote_grounded", "fact_validated"
@@ -29,7 +29,10 @@ def value_in_quote(value_numeric: Column | str, value: Column | str, quote: Colu
     """V1: whether a number of the fact is in the quote; null if the fact has none."""
     number = (F.col(value_numeric) if isinstance(value_numeric, str) else value_numeric).cast("double")
     targets = F.array_compact(F.concat(F.array(number), number_tokens(value)))
-    there = number_tokens(quote)
+    return let(targets, lambda t: let(number_tokens(quote), lambda q: _supported(t, q)))
+
+
+def _supported(targets: Column, there: Column) -> Column:
     near = F.exists(targets, lambda t: F.exists(there, lambda q: F.abs(t - q) < 1e-6 * F.greatest(F.lit(1.0), F.abs(t))))
     return first_of([(F.size(targets) == 0, F.lit(None).cast("boolean")), (F.size(there) == 0, F.lit(False))], near)
 
@@ -59,8 +62,11 @@ def check_evidence(grounded: Column | str, value_numeric: Column | str = "value_
     """
     g = F.col(grounded) if isinstance(grounded, str) else grounded
     q = F.coalesce((F.col(quote) if isinstance(quote, str) else quote).cast("string"), F.lit(""))
-    supported = value_in_quote(value_numeric, value, quote)
-    short = F.length(strip(q)) < LEAST_QUOTE
+    seen = F.struct(unit_in_quote(unit, quote).alias("u"), text_overlap(subject, quote).alias("s"), text_overlap(time_period, quote).alias("p"))
+    return let(value_in_quote(value_numeric, value, quote), lambda v: let(F.length(strip(q)) < LEAST_QUOTE, lambda short: _evidence(g, v, short, seen)))
+
+
+def _evidence(g: Column, supported: Column, short: Column, seen: Column) -> Column:
     status = first_of(
         [
             (~F.coalesce(g, F.lit(False)), F.lit(UNGROUNDED)),
@@ -70,7 +76,7 @@ def check_evidence(grounded: Column | str, value_numeric: Column | str = "value_
         F.lit(QUOTE_GROUNDED),
     )
     notes = F.array_compact(F.array(F.when(short, F.lit("the quote is too short to judge")), F.when(~supported, F.lit("no number of the fact is in the quote"))))
-    return F.struct(status.alias("status"), supported.alias("value_supported"), unit_in_quote(unit, quote).alias("unit_supported"), text_overlap(subject, quote).alias("subject_supported"), text_overlap(time_period, quote).alias("period_supported"), notes.alias("notes"))
+    return F.struct(status.alias("status"), supported.alias("value_supported"), seen["u"].alias("unit_supported"), seen["s"].alias("subject_supported"), seen["p"].alias("period_supported"), notes.alias("notes"))
 
 
 def evidence_detail(check: Column, table_context: Column | str | None = None) -> Column:

@@ -30,6 +30,12 @@ def blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once: a Column that is used many times would be copied into the plan
+    each time, and nested copies multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_of(rules: list[tuple[Column, Column]], otherwise: Column) -> Column:
     """A decision list: the value of the first rule whose condition is true."""
     return reduce(lambda rest, rule: F.when(rule[0], rule[1]).otherwise(rest), reversed(rules), otherwise)
@@ -41,8 +47,10 @@ def parse_locale_number(text: Column | str) -> Column:
     With both separators the later one is the decimal point; a repeated separator groups thousands; a
     single comma groups thousands and a single point is decimal.
     """
-    s = strip(_s(text))
-    body = F.regexp_replace(s, r"^[+-]+", "")
+    return let(strip(_s(text)), lambda s: let(F.regexp_replace(s, r"^[+-]+", ""), lambda body: _locale_number(s, body)))
+
+
+def _locale_number(s: Column, body: Column) -> Column:
     commas = F.length(body) - F.length(F.replace(body, F.lit(","), F.lit("")))
     dots = F.length(body) - F.length(F.replace(body, F.lit("."), F.lit("")))
     no_commas, no_dots = F.translate(body, ",", ""), F.translate(body, ".", "")
@@ -55,7 +63,10 @@ def parse_locale_number(text: Column | str) -> Column:
 def number_tokens(text: Column | str, compat: bool = False) -> Column:
     """numbers of a text; those in parentheses first, as negatives, then the others in order."""
     plain = NUMBER_COMPAT if compat else NUMBER
-    s = F.coalesce(_s(text), F.lit(""))
+    return let(F.coalesce(_s(text), F.lit("")), lambda s: _tokens(s, plain))
+
+
+def _tokens(s: Column, plain: str) -> Column:
     inside = F.transform(F.regexp_extract_all(s, F.lit(PAREN_NUMBER), F.lit(0)), lambda t: -F.abs(parse_locale_number(F.regexp_extract(t, plain, 0))))
     outside = F.transform(F.regexp_extract_all(F.regexp_replace(s, PAREN_NUMBER, "("), F.lit(plain), F.lit(0)), lambda t: parse_locale_number(t))
     return F.filter(F.concat(inside, outside), lambda x: x.isNotNull())
@@ -67,8 +78,7 @@ def _bare(unit: Column) -> Column:
 
 def is_percent_unit(unit: Column | str) -> Column:
     """F3; false for null."""
-    s = _bare(_s(unit))
-    return F.coalesce(s.isin(*PERCENT) | s.endswith("%"), F.lit(False))
+    return let(_bare(_s(unit)), lambda s: F.coalesce(s.isin(*PERCENT) | s.endswith("%"), F.lit(False)))
 
 
 def clean_unit(unit: Column | str) -> Column:
@@ -83,7 +93,10 @@ def clean_unit(unit: Column | str) -> Column:
 
 def _scaled(unit: Column) -> Column:
     """Struct of the unit's scale and what is left of it, without the longest scale word."""
-    cleaned = clean_unit(unit)
+    return let(clean_unit(unit), _scale_of)
+
+
+def _scale_of(cleaned: Column) -> Column:
     rules = [
         (cleaned.rlike(rf"(?U)\b{word}\b"), F.struct(F.lit(scale).alias("scale"), strip(F.regexp_replace(F.regexp_replace(cleaned, rf"(?U)^(.*?)\b{word}\b", "$1"), r"(?U)\s+", " ")).alias("rest")))
         for word, scale in sorted(SCALES, key=lambda x: -len(x[0]))
@@ -93,15 +106,24 @@ def _scaled(unit: Column) -> Column:
 
 def normalize_unit(value: Column | str, unit: Column | str) -> Column:
     """struct (value, base_unit, original_unit), or null without a value or a unit."""
-    v, u = (F.col(value) if isinstance(value, str) else value).cast("double"), strip(_s(unit))
-    scaled = _scaled(u)
-    percent = F.struct((F.when(_bare(u) == "bps", v * 0.01).otherwise(v)).alias("value"), F.lit("%").alias("base_unit"), u.alias("original_unit"))
-    other = F.struct((v * scaled["scale"]).alias("value"), F.when(scaled["rest"] == "", "unit").otherwise(scaled["rest"]).alias("base_unit"), u.alias("original_unit"))
-    return F.when(v.isNotNull() & ~blank(u), F.when(is_percent_unit(u), percent).otherwise(other))
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+
+    def other(u: Column, scaled: Column) -> Column:
+        return F.struct((v * scaled["scale"]).alias("value"), F.when(scaled["rest"] == "", "unit").otherwise(scaled["rest"]).alias("base_unit"), u.alias("original_unit"))
+
+    def normal(u: Column) -> Column:
+        percent = F.struct((F.when(_bare(u) == "bps", v * 0.01).otherwise(v)).alias("value"), F.lit("%").alias("base_unit"), u.alias("original_unit"))
+        return F.when(v.isNotNull() & ~blank(u), F.when(is_percent_unit(u), percent).otherwise(let(_scaled(u), lambda s: other(u, s))))
+
+    return let(strip(_s(unit)), normal)
 
 
 def compare_normalized(na: Column, nb: Column, va: Column, vb: Column, tolerance_pct: float = TOLERANCE_PCT) -> Column:
     """F6 over values that are normalised already; see ``compare_values``."""
+    return let(na, lambda x: let(nb, lambda y: _compared(x, y, va, vb, tolerance_pct)))
+
+
+def _compared(na: Column, nb: Column, va: Column, vb: Column, tolerance_pct: float) -> Column:
     a, b = na["value"], nb["value"]
     comparable = F.coalesce(na["base_unit"] == nb["base_unit"], F.lit(False))
     high, low = F.greatest(F.abs(a), F.abs(b)), F.least(F.abs(a), F.abs(b))
@@ -138,6 +160,10 @@ def compare_values(va: Column | str, ua: Column | str, vb: Column | str, ub: Col
 
 def short_number(x: Column) -> Column:
     """A number with up to six significant digits and no trailing zeros."""
+    return let(x, _short)
+
+
+def _short(x: Column) -> Column:
     whole = (F.abs(x) >= 1e-4) & (F.abs(x) < 1e6)
     fixed = F.regexp_replace(F.format_string("%.6g", x), r"(\.\d*?)0+$", "$1")
     wide = F.regexp_replace(F.format_string("%.5e", x), r"\.?0*e", "e")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.numbers import first_of, strip
+from factloom.functions.numbers import first_of, let, strip
 
 # Fixed values.
 STOPWORDS = ("the", "a", "an", "of", "for", "in", "on", "at", "to", "and", "or", "is", "was", "were", "as", "by", "with", "from", "its", "their", "this", "that", "total")
@@ -49,13 +49,13 @@ def jaccard_of(a: Column, b: Column) -> Column:
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
-    return jaccard_of(tokens(a), tokens(b))
+    return let(tokens(a), lambda x: let(tokens(b), lambda y: jaccard_of(x, y)))
 
 
 def entity_similarity(a: Column | str, b: Column | str) -> Column:
     """1 for equal names, 0.85 if one holds the other, else the words' Jaccard index; 0 without a name."""
     x, y = F.lower(strip(F.coalesce(_c(a), F.lit("")))), F.lower(strip(F.coalesce(_c(b), F.lit(""))))
-    return first_of([((x == "") | (y == ""), F.lit(0.0)), (x == y, F.lit(1.0)), (x.contains(y) | y.contains(x), F.lit(0.85))], jaccard(a, b))
+    return let(x, lambda x: let(y, lambda y: first_of([((x == "") | (y == ""), F.lit(0.0)), (x == y, F.lit(1.0)), (x.contains(y) | y.contains(x), F.lit(0.85))], jaccard(x, y))))
 
 
 def _collapsed(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions.context import DIFFERENT, OVERLAPPING, SAME, UNKNOWN
-from factloom.functions.numbers import compare_values, first_of, short_number
+from factloom.functions.numbers import compare_values, first_of, let, short_number
 from factloom.functions.text import entity_similarity, jaccard
 
 CONFIRMED, OVERRIDE, UNCHECKED = "deterministic_confirmed", "deterministic_override", "llm_unchecked"
@@ -19,8 +19,11 @@ EMBEDDING_STRONG, ENTITY_STRONG, LEXICAL_LEAST, NUMERIC_TOLERANCE = 0.40, 0.5, 0
 def score_pair(a: Column, b: Column, embedding_score: Column) -> Column:
     """Struct (embedding_score, entity_score, lexical_score, numeric_match, triggers, detail) of two
     fact structs. The pair is a candidate if it has a trigger."""
-    entity, lexical = entity_similarity(a["subject"], b["subject"]), jaccard(a["attribute"], b["attribute"])
-    cmp = compare_values(a["value_numeric"], a["unit"], b["value_numeric"], b["unit"], NUMERIC_TOLERANCE)
+    signals = F.struct(entity_similarity(a["subject"], b["subject"]).alias("entity"), jaccard(a["attribute"], b["attribute"]).alias("lexical"), compare_values(a["value_numeric"], a["unit"], b["value_numeric"], b["unit"], NUMERIC_TOLERANCE).alias("cmp"))
+    return let(signals, lambda s: _scored(s["entity"], s["lexical"], s["cmp"], embedding_score))
+
+
+def _scored(entity: Column, lexical: Column, cmp: Column, embedding_score: Column) -> Column:
     numeric = F.coalesce(cmp["comparable"] & cmp["agree"] & ~cmp["magnitude_suspect"] & (entity >= ENTITY_STRONG), F.lit(False))
     triggers = F.array_compact(F.array(F.when(embedding_score >= EMBEDDING_STRONG, F.lit("embedding")), F.when((entity >= ENTITY_STRONG) & (lexical >= LEXICAL_LEAST), F.lit("entity+lexical")), F.when(numeric, F.lit("numeric"))))
     detail = F.concat(F.when(F.size(triggers) > 0, F.array_join(triggers, "+")).otherwise("none"), F.format_string(" [embedding=%.2f, entity=%.2f, lexical=%.2f]", embedding_score.cast("double"), entity, lexical))
@@ -34,6 +37,11 @@ def adjudicate(llm: Column, comparison: Column, period: Column, scope: Column, c
     its fields maybe null; ``comparison``, ``period`` and ``scope`` come from the comparing functions and
     ``caveat`` is null if both values are evidenced. The first rule that fits decides.
     """
+    given = F.struct(llm.alias("llm"), comparison.alias("comparison"), period.alias("period"), scope.alias("scope"), caveat.alias("caveat"), both_numeric.alias("both_numeric"), (slice_a if slice_a is not None else F.lit(None).cast("string")).alias("slice_a"), (slice_b if slice_b is not None else F.lit(None).cast("string")).alias("slice_b"))
+    return let(given, lambda g: let(_decide(g["llm"], g["comparison"], g["period"], g["scope"], g["caveat"], g["both_numeric"]), lambda chosen: _result(chosen, g)))
+
+
+def _decide(llm: Column, comparison: Column, period: Column, scope: Column, caveat: Column, both_numeric: Column) -> Column:
     proposal = llm["relation_type"]
     comparable, suspect = F.coalesce(comparison["comparable"], F.lit(False)), F.coalesce(comparison["magnitude_suspect"], F.lit(False))
     trusted = comparable & ~suspect & caveat.isNull()
@@ -49,7 +57,7 @@ def adjudicate(llm: Column, comparison: Column, period: Column, scope: Column, c
         return F.struct(F.lit(number).alias("rule"), final.alias("relation_type"), source.alias("decision_source"), reason.alias("reason"), (reconciliation if reconciliation is not None else F.lit(None).cast("string")).alias("reconciliation_context"))
 
     unchecked = F.struct(F.lit(8).alias("rule"), F.coalesce(proposal, F.lit("uncertain")).alias("relation_type"), F.lit(UNCHECKED).alias("decision_source"), F.lit("no check applies to the pair").alias("reason"), llm["reconciliation_context"].alias("reconciliation_context"))
-    chosen = first_of(
+    return first_of(
         [
             (both_numeric & ~comparable, rule(1, "related_but_not_comparable", proposal == "related_but_not_comparable", F.concat(F.lit("the values cannot be compared: "), comparison["reason"]))),
             (comparable & suspect, rule(2, "uncertain", proposal == "uncertain", F.lit("the values are orders of magnitude apart, as if a scale was lost"))),
@@ -61,6 +69,11 @@ def adjudicate(llm: Column, comparison: Column, period: Column, scope: Column, c
         ],
         unchecked,
     )
+
+
+def _result(chosen: Column, g: Column) -> Column:
+    llm, comparison, period, scope = g["llm"], g["comparison"], g["period"], g["scope"]
+    proposal, suspect = llm["relation_type"], F.coalesce(comparison["magnitude_suspect"], F.lit(False))
     checked = chosen["decision_source"] != UNCHECKED
     disagreement = F.coalesce(checked & (proposal != chosen["relation_type"]), F.lit(False))
     told = llm["explanation"]
@@ -69,8 +82,8 @@ def adjudicate(llm: Column, comparison: Column, period: Column, scope: Column, c
     checks = F.struct(
         comparison["comparable"].alias("comparable"), comparison["value_a"].alias("value_a"), comparison["value_b"].alias("value_b"), comparison["common_unit"].alias("common_unit"),
         comparison["diff_pct"].alias("diff_pct"), comparison["agree"].alias("agree"), suspect.alias("magnitude_suspect"), period["relation"].alias("period"), period["detail"].alias("period_detail"),
-        scope["relation"].alias("scope"), scope["detail"].alias("scope_detail"), scope["dimension"].alias("scope_dimension"), caveat.alias("evidence_caveat"), both_numeric.alias("both_numeric"),
-        (slice_a if slice_a is not None else F.lit(None).cast("string")).alias("slice_a"), (slice_b if slice_b is not None else F.lit(None).cast("string")).alias("slice_b"), comparison["reason"].alias("comparison_reason"),
+        scope["relation"].alias("scope"), scope["detail"].alias("scope_detail"), scope["dimension"].alias("scope_dimension"), g["caveat"].alias("evidence_caveat"), g["both_numeric"].alias("both_numeric"),
+        g["slice_a"].alias("slice_a"), g["slice_b"].alias("slice_b"), comparison["reason"].alias("comparison_reason"),
     )
     return F.struct(
         chosen["rule"].alias("rule"),

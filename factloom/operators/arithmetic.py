@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.context import parse_period
-from factloom.functions.numbers import first_of, normalize_unit, power_of_ten, strip
+from factloom.functions.numbers import first_of, let, normalize_unit, power_of_ten, strip
 
 # Fixed values.
 TOLERANCE_PCT, SMALL_PART_PCT, LEAST_GROUP, MOST_GROUP = 0.5, 5.0, 3, 60
@@ -26,7 +26,10 @@ class Arithmetic:
 def period_key(text: Column | str) -> Column:
     """The period's kind and numbers, or its own text if it has no year."""
     raw = F.col(text) if isinstance(text, str) else text
-    p = parse_period(raw)
+    return let(parse_period(raw), lambda p: _period_key(p, raw))
+
+
+def _period_key(p: Column, raw: Column) -> Column:
     number = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
     return F.when(p["year"].isNotNull(), F.concat_ws(":", p["kind"], number(p["year"]), number(p["quarter"]), number(p["half"]))).otherwise(F.lower(strip(F.coalesce(raw.cast("string"), F.lit("")))))
 

@@ -1,9 +1,493 @@
-"""Queries over the driver's tables, one per operator."""
+"""Queries over the driver's tables, one or more per operator.
+
+The tables are not facts, so each query derives facts, edges or labels from them by plain rules; the SQL in
+``oracle`` states the same rules and what the operator must make of them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factloom.functions.context import compare_periods, compare_scopes, describe_period, parse_period
+from factloom.functions.evidence import check_evidence, confidence, grounded, relation, same_metric
+from factloom.functions.numbers import compare_values, normalize_unit, number_tokens, numeric_fallback, parse_locale_number, power_of_ten
+from factloom.functions.text import entity_similarity, hash_text, jaccard, search
+from factloom.operators import evaluate
+from factloom.operators.adjudicate import STORED, adjudicate, score_pair
+from factloom.operators.arithmetic import check_arithmetic
+from factloom.operators.coherence import check_coherence, claim_edges, implicated_edges
+from factloom.operators.graph import components
+from factloom.operators.priority import level_counts, score_facts, score_relationships
+from factloom.operators.relate import recall_at_k, top_k_similar, unordered_pairs
+from factloom.operators.timeline import points
+from factloom.sources import layout, store
+from factloom.sources.pages import chunks, page_context, select_pages
+from factloom.streaming.ingest import windowed_events
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(name: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def pick(key: Column, *values: Column | str | None) -> Column:
+    """The value at the key's remainder."""
+    lit = [v if isinstance(v, Column) else F.lit(v).cast("string") for v in values]
+    out = lit[-1]
+    for i in reversed(range(len(lit) - 1)):
+        out = F.when(key % len(lit) == i, lit[i]).otherwise(out)
+    return out
+
+
+# Numbers and units
+
+
+@query("f1_parse_locale_number")
+def _(spark, sf):
+    us = F.format_number("c_acctbal", 2)
+    return t(spark, sf, "customer").select("c_custkey", parse_locale_number(us).alias("us"), parse_locale_number(F.translate(us, ",.", ".,")).alias("eu"), parse_locale_number(F.concat(us, F.lit("x"))).alias("bad"))
+
+
+@query("f2_number_tokens")
+def _(spark, sf):
+    text = F.concat(F.lit("from "), F.col("l_quantity").cast("int").cast("string"), F.lit(", up to ("), F.col("l_linenumber").cast("string"), F.lit(") of "), F.col("l_orderkey").cast("string"), F.lit("."))
+    n = number_tokens(text)
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.size(n).cast("long").alias("n"), F.get(n, F.lit(0)).alias("first"), F.get(n, F.lit(1)).alias("second"), F.get(n, F.lit(2)).alias("third"))
+
+
+_UNITS = ("INR Crore", "Rs. million", "US dollars", "bps", "lakh", "Mn Tons", "hours", None)
+
+
+@query("f5_normalize_unit")
+def _(spark, sf):
+    n = normalize_unit("o_totalprice", pick(F.col("o_orderkey"), *_UNITS))
+    return t(spark, sf, "orders").select("o_orderkey", n["value"].alias("value"), n["base_unit"].alias("base_unit"))
+
+
+@query("f6_compare_values")
+def _(spark, sf):
+    k = F.col("o_orderkey") % 9
+    other = F.col("o_totalprice") * (100 + k) / 100 / 10
+    c = compare_values("o_totalprice", F.lit("INR million"), F.when(k == 8, F.col("o_totalprice") / 1e6).otherwise(other), F.when(k == 7, "USD").when(k == 6, None).otherwise("INR Crore"))
+    return t(spark, sf, "orders").select("o_orderkey", c["comparable"].alias("comparable"), c["agree"].alias("agree"), c["magnitude_suspect"].alias("suspect"), F.round(c["diff_pct"], 2).alias("diff_pct"))
+
+
+@query("f8_numeric_fallback")
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    value = pick(k, F.concat(F.lit("FY"), F.year("o_orderdate").cast("string")), F.concat(F.lit("about "), k.cast("string"), F.lit(" items")), F.concat(F.lit("("), k.cast("string"), F.lit(")")), "none")
+    return t(spark, sf, "orders").select("o_orderkey", numeric_fallback(value).alias("number"))
+
+
+@query("f9_power_of_ten")
+def _(spark, sf):
+    ratio = F.pow(F.lit(10.0), (F.col("p_size") % 12) - 6) * F.when(F.col("p_partkey") % 2 == 0, 1.001).otherwise(1.2)
+    return t(spark, sf, "part").select("p_partkey", F.round(F.log10(power_of_ten(ratio))).cast("long").alias("exponent"))
+
+
+# Periods and scopes
+
+
+def _labels() -> Column:
+    d, y = F.col("o_orderdate"), F.year("o_orderdate")
+    yy, month, day = F.lpad((y % 100).cast("string"), 2, "0"), F.date_format("o_orderdate", "MMMM"), F.dayofmonth(d).cast("string")
+    q, h = F.quarter(d).cast("string"), F.when(F.month(d) <= 6, "1").otherwise("2")
+    full = y.cast("string")
+    return pick(
+        F.col("o_orderkey"), F.concat(F.lit("Q"), q, F.lit(" FY"), yy), F.concat(F.lit("H"), h, F.lit(" "), full), F.concat(F.lit("FY"), (y - 1).cast("string"), F.lit("-"), yy), F.concat(F.lit("as of "), month, F.lit(" "), day, F.lit(", "), full),
+        F.concat(F.lit("year ended "), day, F.lit(" "), month, F.lit(" "), full), full, "previous year", F.concat(F.lit("fiscal year "), full), "sometime", None,
+    )
+
+
+@query("f10_parse_period")
+def _(spark, sf):
+    p = parse_period(_labels())
+    return t(spark, sf, "orders").select("o_orderkey", p["kind"].alias("kind"), *[p[c].cast("long").alias(c) for c in ("year", "quarter", "half", "month", "day")], F.when(p.isNotNull() & (p["kind"] == "quarter"), describe_period(p)).alias("quarter_name"))
+
+
+@query("f13_compare_periods")
+def _(spark, sf):
+    y = F.year("o_orderdate")
+    b = pick(F.col("o_orderkey"), F.concat(F.lit("FY"), (y - 1).cast("string"), F.lit("-"), y.cast("string")), F.concat(F.lit("FY"), (y + 1).cast("string")), y.cast("string"), F.concat(F.lit("Q2 "), y.cast("string")), "last year", None)
+    return t(spark, sf, "orders").select("o_orderkey", compare_periods(F.concat(F.lit("FY"), y.cast("string")), b)["relation"].alias("relation"))
+
+
+_SCOPES_A = ("Consolidated", "standalone basis", "gross actual", "segment: north", None)
+_SCOPES_B = ("group", "consolidated", "reported", "segment: south", "larval")
+
+
+@query("f15_compare_scopes")
+def _(spark, sf):
+    c = compare_scopes(pick(F.col("n_nationkey"), *_SCOPES_A), pick(F.floor(F.col("n_nationkey") / 5), *_SCOPES_B))
+    return t(spark, sf, "nation").select("n_nationkey", c["relation"].alias("relation"), c["dimension"].alias("dimension"))
+
+
+# Text
+
+
+@query("f17_hash_text")
+def _(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", hash_text("p_name", F.when(F.col("p_partkey") % 3 > 0, F.col("p_brand"))).alias("hash"))
+
+
+@query("f20_jaccard")
+def _(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", F.round(jaccard("p_name", F.concat_ws(" ", F.lit("The"), "p_type", F.lit("of a"), F.split("p_name", " ")[0])), 9).alias("jaccard"))
+
+
+@query("c1_entity_similarity")
+def _(spark, sf):
+    b = pick(F.col("p_partkey"), F.concat(F.lit("  "), F.upper("p_name")), F.concat_ws(" ", "p_name", F.lit("Limited")), F.concat_ws(" ", F.lit("zz"), F.split("p_name", " ")[0]), None)
+    return t(spark, sf, "part").select("p_partkey", F.round(entity_similarity("p_name", b), 9).alias("similarity"))
+
+
+@query("c3_score_pair")
+def _(spark, sf):
+    k = F.col("p_partkey")
+    a = F.struct(F.lit("Acme").alias("subject"), F.lit("revenue from operations").alias("attribute"), F.col("p_retailprice").alias("value_numeric"), F.lit("USD").alias("unit"))
+    b = F.struct(pick(k, "Acme Limited", "Other").alias("subject"), pick(F.floor(k / 2), "revenue from services", "staff").alias("attribute"), (F.col("p_retailprice") * F.when(F.floor(k / 4) % 2 == 0, 1.01).otherwise(1.5)).alias("value_numeric"), F.lit("dollars").alias("unit"))
+    s = score_pair(a, b, F.when(F.floor(k / 8) % 2 == 0, 0.4).otherwise(0.39))
+    return t(spark, sf, "part").select("p_partkey", F.array_join(s["triggers"], "+").alias("triggers"))
+
+
+@query("f21_grounding")
+def _(spark, sf):
+    d = t(spark, sf, "documents")
+    q = pick(F.col("doc_id"), F.substring("text", 5, 40), F.regexp_replace(F.substring("text", 5, 40), " ", "  "), F.lit("no such quote anywhere"), "")
+    return d.select("doc_id", grounded("text", q).alias("grounded"))
+
+
+@query("p1_search")
+def _(spark, sf):
+    return t(spark, sf, "part").where(search("AN", "p_name", "p_type")).select("p_partkey", "p_name")
+
+
+# Evidence and validation
+
+
+@query("v4_check_evidence")
+def _(spark, sf):
+    o = t(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    amount = F.col("o_orderkey").cast("string")
+    quote = pick(k, F.concat(F.lit("the total came to "), amount, F.lit(" in that year")), "a quote without any number in it", amount, F.concat(F.lit("it was "), (k + 1).cast("string"), F.lit(" at the end")))
+    e = check_evidence(k % 5 > 0, F.when(k % 7 > 0, k.cast("double")), F.lit(None).cast("string"), F.lit("USD"), quote, F.lit("total"), F.lit("year"))
+    return o.select("o_orderkey", e["status"].alias("status"), e["value_supported"].alias("value_supported"))
+
+
+@query("v7_confidence")
+def _(spark, sf):
+    c = pick(F.col("c_custkey"), "0.5", "1.5", "n/a", "-0.1", "1", "high", None)
+    return t(spark, sf, "customer").select("c_custkey", confidence(c).alias("confidence"))
+
+
+@query("v8_v9_judgments")
+def _(spark, sf):
+    k = F.col("c_custkey")
+    m = pick(k, "Yes", "0", "maybe", "TRUE")
+    r = pick(k, "Contextually-Reconciled", "agree", "CONTRADICTS", "not related", "whatever", None)
+    return t(spark, sf, "customer").select("c_custkey", same_metric(m).alias("same_metric"), relation(r).alias("relation"))
+
+
+# Adjudication
+
+
+def _order_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order's stated total beside the total of its lines, under varied units, periods and evidence."""
+    lines = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("recomputed"))
+    k, y = F.col("o_orderkey"), F.year("o_orderdate").cast("string")
+    fy = F.concat(F.lit("FY"), y)
+    return t(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        "o_orderkey", "o_totalprice", "recomputed", fy.alias("period_a"), F.when(k % 5 == 0, y).when(k % 7 == 0, None).otherwise(fy).alias("period_b"),
+        F.when(k % 13 == 0, "EUR").otherwise("USD").alias("unit_b"), F.when(k % 11 == 0, F.lit("the quote is missing")).alias("caveat"), F.when(k % 17 == 0, "net").otherwise("gross").alias("scope_b"),
+    )
+
+
+@query("x_adjudicate")
+def _(spark, sf):
+    p = _order_pairs(spark, sf)
+    cmp = compare_values("o_totalprice", F.lit("USD"), "recomputed", "unit_b")
+    llm = F.struct(F.lit("corroborates").alias("relation_type"), F.lit("they look alike").alias("explanation"), F.lit(None).cast("string").alias("reconciliation_context"), F.lit(0.6).alias("confidence"))
+    parts = p.withColumn("cmp", cmp).withColumn("per", compare_periods("period_a", "period_b")).withColumn("sc", compare_scopes(F.lit("gross"), F.col("scope_b")))
+    adj = adjudicate(llm, F.col("cmp"), F.col("per"), F.col("sc"), F.col("caveat"), F.col("recomputed").isNotNull())
+    return parts.select("o_orderkey", adj.alias("a")).select("o_orderkey", F.col("a.rule").cast("long").alias("rule"), "a.relation_type", "a.decision_source", "a.disagreement", "a.confidence")
+
+
+@query("flagship_order_reconciliation")
+def _(spark, sf):
+    return QUERIES["x_adjudicate"](spark, sf).groupBy("relation_type", "decision_source").agg(F.count("*").alias("n"))
+
+
+# Sources
+
+
+@query("s4_page_selector")
+def _(spark, sf):
+    pages = t(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("page_number"))
+    return select_pages(pages, "1,3,5-6").groupBy("page_number").agg(F.count("*").alias("n"))
+
+
+@query("s6_chunks")
+def _(spark, sf):
+    c = chunks(t(spark, sf, "documents").select("doc_id", "text"))
+    return c.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start"), F.md5("text").alias("text_md5"), (F.col("page_context") != "").alias("has_context"))
+
+
+@query("s7_page_context")
+def _(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.md5(page_context("text")).alias("context_md5"))
+
+
+@query("j7_list_documents")
+def _(spark, sf):
+    docs = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 10 == 0, F.col("c_custkey") - 1).alias("reused_from_document_id"))
+    facts = t(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"))
+    return store.list_documents(docs, facts).select("id", "fact_count")
+
+
+@query("a1_corpus_stats")
+def _(spark, sf):
+    o = t(spark, sf, "orders")
+    facts = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4 > 0).alias("quote_grounded"), pick(F.col("o_orderkey"), "ungrounded", "quote_grounded", "fact_validated", None).alias("evidence_status"))
+    docs = t(spark, sf, "customer").select(F.when(F.col("c_acctbal") > 0, "done").otherwise("failed").alias("status"))
+    s = store.corpus_stats(docs, facts, t(spark, sf, "supplier"), t(spark, sf, "part").where("p_size < 10"))
+    return s.select(*[F.col(c).cast("long").alias(c) for c in s.columns])
+
+
+@query("a4_top_values")
+def _(spark, sf):
+    return store.top_values(t(spark, sf, "part"), "p_brand")
+
+
+@query("a25_shares")
+def _(spark, sf):
+    return store.shares(store.count_by(t(spark, sf, "orders"), "o_orderstatus")).select("o_orderstatus", "n", F.col("pct").cast("long").alias("pct"))
+
+
+@query("a24_upper_median")
+def _(spark, sf):
+    return t(spark, sf, "customer").groupBy("c_nationkey").agg(layout.upper_median(F.collect_list("c_acctbal"), 0.0).alias("median"))
+
+
+@query("t_page_layout")
+def _(spark, sf):
+    cell = t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("document_id"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("r")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    cell = cell.where((F.col("document_id") % 2 == 0) | (F.col("c") == 0))
+    x0 = F.lit(72.0) + 110 * F.col("c")
+    words = cell.select("document_id", F.lit(1).alias("page_number"), x0.alias("x0"), (100.0 + 24 * F.col("r")).alias("y0"), (x0 + 15).alias("x1"), (110.0 + 24 * F.col("r")).alias("y1"), F.concat(F.lit("w"), F.col("r").cast("string"), F.col("c").cast("string")).alias("word"))
+    pages = t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("document_id"), F.lit(1).alias("page_number"), F.lit(612.0).alias("width"), F.concat(F.lit("plain text of "), "n_name").alias("text"))
+    return layout.page_texts(words, pages).select("document_id", "text", "table_context")
+
+
+# Similarity join
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+@query("j1_top_k_similar")
+def _(spark, sf):
+    v = _vectors(spark, sf)
+    return top_k_similar(v, v).select("id", "other_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("j2_unordered_pairs")
+def _(spark, sf):
+    v = _vectors(spark, sf)
+    return unordered_pairs(top_k_similar(v, v)).select("lo", "hi")
+
+
+@query("e4_recall_at_k")
+def _(spark, sf):
+    v = _vectors(spark, sf)
+    pairs = top_k_similar(v, v, 20).where("rank % 3 = 0").select(F.col("id").alias("fact_id_a"), F.col("other_id").alias("fact_id_b"))
+    return recall_at_k(pairs, v).select(F.col("k").cast("long").alias("k"), "pairs", "hits", F.round("recall", 6).alias("recall"))
+
+
+# Graph
+
+
+def _graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges between the customers of one nation and account band, so that the graph has triangles at any size."""
+    c = t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("g"), F.floor(F.col("c_custkey") / 50).alias("b"))
+    x, y = c.select(F.col("k").alias("i"), "g", "b"), c.select(F.col("k").alias("j"), "g", "b")
+    e = x.join(y, ["g", "b"]).where("i < j").withColumn("s", (F.col("i") * 7 + F.col("j") * 3) % 10)
+    r = pick(F.col("i") + F.col("j"), "corroborates", "corroborates", "reconciled", "corroborates", "contradicts", "unrelated", "uncertain")
+    return e.select((F.col("i") * 1000000 + F.col("j")).alias("id"), F.col("i").alias("fact_id_a"), F.col("j").alias("fact_id_b"), r.alias("relation_type"), (F.col("s") / 10).alias("confidence"), pick(F.col("s"), "deterministic_confirmed", "llm_unchecked", None).alias("decision_source"), (F.col("s") == 3).alias("disagreement"), F.lit("uncertain").alias("llm_proposal"))
+
+
+@query("g1_violations")
+def _(spark, sf):
+    return check_coherence(_graph(spark, sf), infer=False).violations.select("a", "b", "c", "suspect_edge_id", "basis", "is_strict_proof")
+
+
+@query("g3_inferences")
+def _(spark, sf):
+    return check_coherence(_graph(spark, sf)).inferences.select("b", "c", "relation_type", "via", "confidence")
+
+
+@query("g8_coherence_summary")
+def _(spark, sf):
+    return check_coherence(_graph(spark, sf), infer=False).summary.select("edges", "nodes", "triangles_checked", "violations", "implicated_edges", F.round("violation_rate", 6).alias("violation_rate"))
+
+
+@query("w4_best_edge")
+def _(spark, sf):
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 20).alias("fact_id_a"), (F.col("o_orderkey") % 20).alias("fact_id_b"), pick(F.col("o_orderkey"), "corroborates", "contradicts", "unrelated").alias("relation_type"), F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_orderkey") % 97) / 100).alias("confidence"))
+    return claim_edges(o).select("lo", "hi", "id", "kind")
+
+
+@query("g10_components")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    e = t(spark, sf, "supplier").select(k.alias("a"), F.when(k % 4 == 0, k).when(k % 4 == 1, k + 1).otherwise(F.floor(k / 3)).alias("b"))
+    return components(e)
+
+
+@query("j16_graph_view")
+def _(spark, sf):
+    return store.graph_view(_graph(spark, sf), t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).alias("document_id"), F.col("c_name").alias("statement")))[0].select("id", "degree")
+
+
+@query("a6_cross_document_edges")
+def _(spark, sf):
+    facts = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("document_id"))
+    return store.cross_document_edges(_graph(spark, sf), facts)
+
+
+# Priority
+
+
+@query("r2_relationships")
+def _(spark, sf):
+    g = _graph(spark, sf)
+    hit = implicated_edges(check_coherence(g, infer=False).violations)
+    return score_relationships(g, hit).select("id", "score", "level")
+
+
+@query("r3_facts")
+def _(spark, sf):
+    g = _graph(spark, sf)
+    facts = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), pick(F.col("c_custkey"), "fact_validated", "ungrounded", "quote_grounded", None).alias("evidence_status"))
+    suspects = facts.where("id % 11 = 0").select(F.col("id").alias("suspect_id"))
+    return score_facts(facts, g, implicated_edges(check_coherence(g, infer=False).violations), suspects).select("id", "score", "level")
+
+
+@query("a10_level_counts")
+def _(spark, sf):
+    return level_counts(QUERIES["r3_facts"](spark, sf))
+
+
+# Arithmetic and timelines
+
+
+def _line_facts(spark: SparkSession, sf: str) -> DataFrame:
+    unit = F.when(F.col("l_linenumber") % 3 == 0, "thousand units").otherwise("units")
+    lines = t(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
+    return lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("line "), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("statement"), F.col("l_quantity").alias("value_numeric"), unit.alias("unit"),
+        F.lit(None).cast("string").alias("time_period"), F.col("l_orderkey").cast("string").alias("scope"), F.when(F.col("l_orderkey") % 10 == 0, "ungrounded").alias("evidence_status"),
+    )
+
+
+@query("g14_identities")
+def _(spark, sf):
+    return check_arithmetic(_line_facts(spark, sf)).identities.select("a_id", "b_id", "c_id", F.round("error_pct", 2).alias("error_pct"))
+
+
+@query("g18_scale_anomalies")
+def _(spark, sf):
+    return check_arithmetic(_line_facts(spark, sf)).anomalies.select("a_id", "b_id", "c_id", "factor", "suspect_id")
+
+
+@query("a11_arithmetic_groups")
+def _(spark, sf):
+    facts = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("s").alias("statement"), (F.col("o_orderkey") % 4).cast("double").alias("value_numeric"), F.lit("items").alias("unit"), F.concat(F.lit("FY"), F.year("o_orderdate").cast("string")).alias("time_period"), (F.col("o_custkey") % 50).cast("string").alias("scope"), F.lit(None).cast("string").alias("evidence_status"))
+    return check_arithmetic(facts).summary
+
+
+def _nation_years(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Orders of each nation and year as facts, and the edges from each year to the next."""
+    o = t(spark, sf, "orders").join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").cast("long").alias("n"), F.year("o_orderdate").cast("long").alias("y")).agg(F.count("*").cast("double").alias("value_numeric"))
+    f = o.select((F.col("n") * 10000 + F.col("y")).alias("id"), F.col("n").alias("document_id"), F.lit("orders of a nation").alias("subject"), F.lit("count").alias("attribute"), "value_numeric", F.lit("orders").alias("unit"), F.concat(F.lit("FY"), F.col("y").cast("string")).alias("time_period"), F.lit("all").alias("scope"))
+    nxt = Window.partitionBy("document_id").orderBy("id")
+    e = f.withColumn("fact_id_b", F.lead("id").over(nxt)).where("fact_id_b is not null").select(F.col("id").alias("fact_id_a"), "fact_id_b", F.lit("reconciled").alias("relation_type"))
+    return f, e
+
+
+@query("g9_timelines")
+def _(spark, sf):
+    return points(*_nation_years(spark, sf)).select("timeline", "fact_id", "period_label", "value", "pct_change", F.col("n_points").alias("n_points"))
+
+
+# Evaluation
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    return t(spark, sf, "labels").select(name("quality").alias("expected"), name("toxic").alias("predicted"), (F.col("quality") == 1).alias("e"), (F.col("toxic") == 1).alias("p"))
+
+
+@query("a16_confusion")
+def _(spark, sf):
+    return evaluate.confusion(_labelled(spark, sf))
+
+
+@query("a17_per_class")
+def _(spark, sf):
+    return evaluate.per_class(_labelled(spark, sf)).select("label", "support", "predicted", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("a18_macro")
+def _(spark, sf):
+    return evaluate.macro(evaluate.per_class(_labelled(spark, sf))).select(*[F.round(f"macro_{c}", 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+
+
+@query("a20_binary")
+def _(spark, sf):
+    b = evaluate.binary(_labelled(spark, sf), "e", "p")
+    return b.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("e1_categories")
+def _(spark, sf):
+    k = F.col("c_custkey")
+    r, s = pick(k, "corroborates", "contradicts", "reconciled", "unrelated", "uncertain", "related_but_not_comparable", "insufficient_context"), pick(F.floor(k / 7), "deterministic_override", "llm_unchecked")
+    return t(spark, sf, "customer").select("c_custkey", evaluate.category(r, s).alias("category"))
+
+
+@query("e6_root_causes")
+def _(spark, sf):
+    k = F.col("c_custkey")
+    rows = t(spark, sf, "customer").select(k.alias("id"), pick(k, "CONTRADICTION", "UNRELATED", "UNCERTAIN").alias("expected"), pick(F.floor(k / 3), "UNCERTAIN", "CONTRADICTION").alias("predicted"), pick(F.floor(k / 6), "llm_unchecked", "deterministic_override").alias("decision_source"), (k % 5 > 0).alias("comparable"), (k % 2 == 0).alias("both_numeric"), F.when(k % 7 == 0, "unknown").otherwise("same").alias("period"), F.lit("same").alias("scope"))
+    return evaluate.failures_by_cause(rows).select("root_cause", "n")
+
+
+@query("a22_audit")
+def _(spark, sf):
+    g = _graph(spark, sf).where(F.col("relation_type").isin(*STORED)).select(F.col("fact_id_a").alias("lo"), F.col("fact_id_b").alias("hi"), "relation_type", "id")
+    fresh = g.where("id % 4 > 0").select("lo", "hi", F.when(F.col("id") % 4 == 1, F.lit("unrelated")).when(F.col("id") % 4 == 2, F.lit("contradicts")).otherwise(F.col("relation_type")).alias("relation_type"))
+    return evaluate.audit(g, fresh, STORED)
+
+
+# Beyond the reference: event windows
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+@query("i_windowed_events")
+def _(spark, sf):
+    w = windowed_events(t(spark, sf, "events"), "1 day")
+    return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 3).alias("total"))
