@@ -2,7 +2,7 @@
 
 A bounded sample of labelled documents is the example set. A text's terms are its words and their
 beginnings, each once more for its second, third and fourth occurrence, so that inflected words are known by
-their stem and one chance occurrence differs from several. The terms that go together with the label are
+their stem and one chance occurrence differs from several. The terms that speak for the label are
 the vocabulary, their document frequencies are counted over the whole corpus, and the examples' unit
 TF-IDF vectors form an inverted index in blocks, with the largest weight of each term in each block. A
 block whose sum of largest weights is below the k-th best cosine so far cannot hold a nearer example and
@@ -27,13 +27,14 @@ from factloom.llm.common import fold, small_batches, table
 from factloom.scratch import stage
 
 #: Labelled examples of each class, at most; those with the smallest hashes of their ids.
-EXAMPLES_PER_CLASS = 4096
+EXAMPLES_PER_CLASS = 2048
 #: Terms of the vocabulary, at most, the examples that must hold one, and the least chi-square.
-TERMS, LEAST_EXAMPLES, LEAST_CHI2 = 2048, 5, 25.0
+TERMS, LEAST_EXAMPLES, LEAST_CHI2 = 512, 5, 25.0
 #: Lengths of the beginnings of longer words that are terms, and occurrences that are told apart.
 STEMS, OCCURRENCES = (4, 5, 6, 7), 4
 _KEPT = 400_000
-NEIGHBOURS, BLOCK = 15, 64
+#: Examples of a block, and blocks that are scored at a time.
+NEIGHBOURS, BLOCK, STEP = 15, 64, 8
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
 
@@ -80,26 +81,21 @@ class Vocabulary:
 
 @dataclass
 class Model:
-    """Examples in blocks. ``postings`` of a term are its examples, in order, and their weights."""
+    """Examples in blocks: ``postings[term, block, place]`` is an example's weight for a term, ``most[term, block]``
+    the largest of a block."""
 
     terms: Vocabulary
     idf: np.ndarray
     ids: np.ndarray
     label: np.ndarray
     weight: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    postings: np.ndarray
     none: float
     curve: tuple[float, float] = (0.0, 0.0)
     most: np.ndarray = field(init=False)
-    edges: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        blocks = -(-len(self.ids) // BLOCK)
-        self.most = np.zeros((len(self.idf), blocks))
-        self.edges = np.zeros((len(self.idf), blocks + 1), np.int64)
-        for t, (at, w) in enumerate(self.postings):
-            np.maximum.at(self.most[t], at // BLOCK, w)
-            self.edges[t] = np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
+        self.most = self.postings.max(axis=2, initial=0.0)
 
     def vector(self, words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(self.terms.find(words), np.int64)
@@ -110,19 +106,17 @@ class Model:
         """Places and cosines of the k nearest examples with a cosine over 0, ties to the earlier one."""
         bound = w @ self.most[at]
         place, score, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        for i in range(0, len(order), STEP):
+            if bound[order[i]] < least - 1e-9:
                 break
-            found = np.zeros(BLOCK)
-            for t, x in zip(at, w):
-                lo, hi = self.edges[t, b], self.edges[t, b + 1]
-                if hi > lo:
-                    own, weights = self.postings[t]
-                    found[own[lo:hi] - b * BLOCK] += x * weights[lo:hi]
-            hit = np.flatnonzero(found)
-            here = hit + b * BLOCK
+            blocks = order[i : i + STEP]
+            found = np.tensordot(w, self.postings[at[:, None], blocks[None, :]], 1)
+            b, p = np.nonzero(found)
+            here, there = blocks[b] * BLOCK + p, found[b, p]
             keep = here != skip
-            place, score = np.concatenate((place, here[keep])), np.concatenate((score, found[hit[keep]]))
+            place, score = np.concatenate((place, here[keep])), np.concatenate((score, there[keep]))
             if len(place) >= k:
                 best = np.lexsort((place, -score))[:k]
                 place, score = place[best], score[best]
@@ -204,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS)
     by_family = found.groupBy("term", "family").agg(F.max("toxic").alias("toxic")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("m"))
     whole = by_family.where("term is null").first()
     f1, f = (whole.a, whole.m) if whole else (0.0, 0.0)
-    counts = by_family.where((F.col("m") >= LEAST_EXAMPLES) & F.col("term").isNotNull())
+    counts = by_family.where((F.col("m") >= LEAST_EXAMPLES) & F.col("term").isNotNull() & (F.col("a") * f > F.col("m") * f1))
     gap = F.col("a") * (f - f1) - (F.col("m") - F.col("a")) * f1
     chi2 = f * gap * gap / (max(f1, 1.0) * max(f - f1, 1.0) * F.col("m") * F.greatest(F.lit(f) - F.col("m"), F.lit(0.5)))
     terms = sorted(r.term for r in counts.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect())
@@ -220,16 +214,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS)
     label = np.array([known[d] for d in order], float)
     share = {1: size.get(1, 0) / max(n1, 1), 0: size.get(0, 0) / max(n0, 1)}
     weight = np.array([share[known[d]] for d in order], float)
-    lists: list[tuple[list, list]] = [([], []) for _ in terms]
+    postings = np.zeros((len(terms), -(-len(order) // BLOCK), BLOCK))
     for i, d in enumerate(order):
         length = np.sqrt(sum(x * x for x in vectors[d].values()))
         for t, x in vectors[d].items():
-            lists[t][0].append(i)
-            lists[t][1].append(x / length)
+            postings[t, i // BLOCK, i % BLOCK] = x / length
     silent = [known[d] for d in known if d not in vectors]
     rate = (size.get(1, 0) + 0.5) / (sum(size.values()) + 1)
     none = (share[1] * sum(silent) + rate) / (share[1] * sum(silent) + share[0] * (len(silent) - sum(silent)) + 1)
-    model = Model(Vocabulary(terms), idf, np.array([d[0] for d in order], np.int64), label, weight, [(np.array(a, np.int64), np.array(w)) for a, w in lists], float(none))
+    model = Model(Vocabulary(terms), idf, np.array([d[0] for d in order], np.int64), label, weight, postings, float(none))
     votes = []
     for i, d in enumerate(order):
         at = np.array(sorted(vectors[d]), np.int64)
