@@ -9,6 +9,7 @@ texts and units without any of them are dropped first.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,7 +63,8 @@ def template_words(text: str) -> list[str]:
 
 
 def _bounds(m: int, least: float) -> tuple[int, int]:
-    return int(-(-m * least // (2 - least))), int(m * (2 - least) / least)
+    """Fewest and most bigrams of a unit that can reach ``least``; rounding never narrows them."""
+    return math.ceil(m * least / (2 - least) - 1e-9), math.floor(m * (2 - least) / least + 1e-9)
 
 
 def templates(spark: SparkSession, least: float = SIMILARITY, texts: tuple = TEMPLATES) -> DataFrame:
@@ -87,7 +89,7 @@ def telling_words(least: float = SIMILARITY, texts: tuple = TEMPLATES) -> list[s
     for _, text in texts:
         words = template_words(text)
         pairs = set(zip(words, words[1:]))
-        open_.append((pairs, len(pairs) - int(-(-len(pairs) * least // (2 - least))) + 1))
+        open_.append((pairs, len(pairs) - _bounds(len(pairs), least)[0] + 1))
     found: list[str] = []
     while open_:
         gain: dict[str, float] = {}
