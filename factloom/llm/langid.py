@@ -72,8 +72,8 @@ def vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray
     """One row per text: its bundle, of length 1; zero if the text is null or has no letter."""
     first, second, third = _letter_vectors(dimensions)
     out = np.zeros((len(texts), dimensions), np.float32)
-    for at in range(0, len(texts), 64):
-        each = [_trigrams(t or "") for t in texts[at : at + 64]]
+    for at in range(0, len(texts), 32):
+        each = [_trigrams(t or "") for t in texts[at : at + 32]]
         keys, where = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
         if not len(keys):
             continue
@@ -83,7 +83,7 @@ def vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray
             bound[i : i + 1024] = first[k // _LETTERS**2] * second[k // _LETTERS % _LETTERS] * third[k % _LETTERS]
         counts = np.zeros((len(each), len(keys)), np.float32)
         counts[np.repeat(np.arange(len(each)), [len(k) for k, _ in each]), where] = np.concatenate([c for _, c in each])
-        out[at : at + 64] = counts @ bound
+        out[at : at + 32] = counts @ bound
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(length == 0, 1, length)
 

@@ -27,8 +27,10 @@ END = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of one length that are ranked in one task; more are dealt into several.
 RANKED = 20_000
-#: Distinct words whose ids a Python worker keeps; after that it starts anew.
-_KEPT = 800_000
+#: Distinct words that a Python worker keeps the ids of, as written, and as many plain ones: about 400 bytes each. They
+#: are in two generations: when one is full it becomes the old one, whose words are taken over when they come again,
+#: and the one before is dropped.
+KEPT = 800_000
 _MARKS = ".,;:!?&$#*%|()[]{}-"
 #: Characters that are tokenised at a time, about, and words in a call of the tokenizer.
 _AT_ONCE, _LOT = 1_000_000, 2000
@@ -44,7 +46,8 @@ class _Encoder:
     a word's end. All other words are tokenised one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int):
+        self.kept = kept // 2
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task has one core
         from tokenizers import Tokenizer
 
@@ -54,6 +57,8 @@ class _Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {"": b""}
         self.plain: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_plain: dict[str, bytes] = {}
 
     def _singly(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -72,14 +77,17 @@ class _Encoder:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Work out the words that are not known yet."""
-        new = set().union(*texts).difference(self.words)
+        new = set().union(*texts)
+        if len(self.words) > self.kept:
+            self.old_words, self.words = self.words, {"": b""}
+        if len(self.plain) > self.kept:
+            self.old_plain, self.plain = self.plain, {}
+        new = new.difference(self.words)
+        again = [w for w in new if w in self.old_words]
+        self.words.update((w, self.old_words[w]) for w in again)
+        new.difference_update(again)
         if not new:
             return
-        if len(self.words) > _KEPT:
-            self.words = {"": b""}
-            new = set().union(*texts) - {""}
-        if len(self.plain) > _KEPT:
-            self.plain = {}
         parts, odd, wanted = {}, set(), set()
         for w in new:
             core = w.rstrip(_MARKS)
@@ -90,7 +98,10 @@ class _Encoder:
                     odd.add(w[len(core) :])
             else:
                 odd.add(w)
-        self._together(sorted(wanted.difference(self.plain)))
+        wanted = wanted.difference(self.plain)
+        again = [w for w in wanted if w in self.old_plain]
+        self.plain.update((w, self.old_plain[w]) for w in again)
+        self._together(sorted(wanted.difference(again)))
         alone = sorted(odd)
         found = dict(zip(alone, self._singly(alone)))
         for w in new:
@@ -99,13 +110,13 @@ class _Encoder:
 
 
 @lru_cache(2)
-def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+def _encoder(path: str, kept: int) -> _Encoder:
+    return _Encoder(path, kept)
 
 
-def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
+def encode(texts: list[str | None], path: str, kept: int = KEPT) -> Iterator[bytes]:
     """Of each text its ids, then the end id, as little-endian unsigned 32-bit numbers."""
-    encoder, end = _encoder(path), END.to_bytes(4, "little")
+    encoder, end = _encoder(path, kept), END.to_bytes(4, "little")
     at = 0
     while at < len(texts):
         to, size = at, 0
@@ -119,11 +130,11 @@ def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
         at = to
 
 
-def _pieces(path: str, capacity: int):
+def _pieces(path: str, capacity: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), path)):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), path, kept)):
                 for n, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -177,16 +188,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return slots
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, kept: int = KEPT) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of each document's pieces."""
     import public_tokenizers
 
     small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(path, capacity, kept), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, ranked: int = RANKED) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, ranked: int = RANKED, kept: int = KEPT) -> DataFrame:
     """Pieces of ``docs(doc_id, text)`` and their place: ``sequence_id`` and ``offset``.
 
     Null and empty texts are the end id alone. Documents longer than ``capacity`` are cut into pieces of
@@ -198,7 +209,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     length and deal. A length that many pieces share is ranked in several tasks, each with its first rank.
     """
     spark = docs.sparkSession
-    cut = stage(pieces(docs, capacity, tokenizer), "pieces")
+    cut = stage(pieces(docs, capacity, tokenizer, kept), "pieces")
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = plan(counts, capacity)
     deals = F.broadcast(spark.createDataFrame([(k, -(-n // ranked)) for k, n in counts.items()], "length long, deals long"))
