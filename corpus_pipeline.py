@@ -51,7 +51,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    # The workers still hold what earlier stages loaded, so they keep fewer words here.
+    return packing.pack(docs, kept=200_000)
 
 
 STAGES = [
