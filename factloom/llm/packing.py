@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import small_batches, table
-from factloom.scratch import stage
+from factloom.scratch import checked_broadcast, stage
 
 CAPACITY = 2048
 END = 0
@@ -205,23 +205,21 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     often as they come; a null doc_id is kept. Other columns are ignored; an empty table gives an empty
     result.
 
-    What the driver gathers is bounded by ``capacity`` and by the rows over ``ranked``: a count for each
-    length and deal. A length that many pieces share is ranked in several tasks, each with its first rank.
+    What the driver gathers is a count for each length, so it is bounded by ``capacity``. A length that many
+    pieces share is ranked in several deals, each in one task; a deal's first rank is the sum of the counts of the
+    deals before it. Those counts go where the pieces already are.
     """
     spark = docs.sparkSession
     cut = stage(pieces(docs, capacity, tokenizer, kept), "pieces")
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = plan(counts, capacity)
     deals = F.broadcast(spark.createDataFrame([(k, -(-n // ranked)) for k, n in counts.items()], "length long, deals long"))
-    dealt = cut.join(deals, "length").withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece"), F.col("deals"))).drop("deals")
-    size = dealt.groupBy("length", "deal").agg(F.count("*").alias("n")).collect()
-    first, sums = [], dict.fromkeys(counts, 0)
-    for r in sorted(size, key=lambda r: (r.length, r.deal)):
-        first.append((r.length, r.deal, sums[r.length]))
-        sums[r.length] += r.n
-    first = spark.createDataFrame(first, "length long, deal long, before long")
+    dealt = cut.join(deals, "length").withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("deals"))).drop("deals")
+    ahead = Window.partitionBy("length").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
+    size = dealt.groupBy("length", "deal").agg(F.count("*").alias("n"))
+    first = stage(size.select("length", "deal", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before")), "deals")
     own = F.row_number().over(Window.partitionBy("length", "deal").orderBy("doc_id", "piece", "ids_crc32"))
-    rank = dealt.withColumn("own", own).join(F.broadcast(first), ["length", "deal"]).withColumn("rank", F.col("own") - 1 + F.col("before"))
+    rank = dealt.withColumn("own", own).join(checked_broadcast(first), ["length", "deal"]).withColumn("rank", F.col("own") - 1 + F.col("before"))
     room = F.broadcast(spark.createDataFrame(slots, "length long, slot long, many long, sequence long, place long, each long"))
     found = rank.join(room, "length").where("rank >= slot and rank < slot + many").withColumn("step", F.col("rank") - F.col("slot"))
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr("sequence + step div each").alias("sequence_id"), F.expr("place + step % each * length").alias("offset"))
