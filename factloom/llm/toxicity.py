@@ -1,9 +1,9 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples by TF-IDF cosine, exact over the terms of a vocabulary.
 
 A bounded sample of labelled documents is the example set. A text's terms are its words and their
 beginnings, each once more for its second, third and fourth occurrence, so that inflected words are known by
-their stem and one chance occurrence differs from several. The terms that speak for the label are
-the vocabulary, their document frequencies are counted over the whole corpus, and the examples' unit
+their stem and one chance occurrence differs from several. The terms that go together with the label,
+for or against it, are the vocabulary, their document frequencies are counted over the whole corpus, and the examples' unit
 TF-IDF vectors form an inverted index in blocks, with the largest weight of each term in each block. A
 block whose sum of largest weights is below the k-th best cosine so far cannot hold a nearer example and
 is skipped, so the k nearest are exact. Votes are weighted by cosine and by class, and a logistic curve
@@ -27,9 +27,9 @@ from factloom.llm.common import fold, small_batches, table
 from factloom.scratch import stage
 
 #: Labelled examples of each class, at most; those with the smallest hashes of their ids.
-EXAMPLES_PER_CLASS = 2048
-#: Terms of the vocabulary, at most, the examples that must hold one, and the least chi-square.
-TERMS, LEAST_EXAMPLES, LEAST_CHI2 = 512, 5, 25.0
+EXAMPLES_PER_CLASS = 4096
+#: A term of the vocabulary is in so many families of examples and has such a chi-square, at least.
+LEAST_EXAMPLES, LEAST_CHI2 = 5, 25.0
 #: Lengths of the beginnings of longer words that are terms, and occurrences that are told apart.
 STEMS, OCCURRENCES = (4, 5, 6, 7), 4
 _KEPT = 400_000
@@ -198,10 +198,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS)
     by_family = found.groupBy("term", "family").agg(F.max("toxic").alias("toxic")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("m"))
     whole = by_family.where("term is null").first()
     f1, f = (whole.a, whole.m) if whole else (0.0, 0.0)
-    counts = by_family.where((F.col("m") >= LEAST_EXAMPLES) & F.col("term").isNotNull() & (F.col("a") * f > F.col("m") * f1))
+    counts = by_family.where((F.col("m") >= LEAST_EXAMPLES) & F.col("term").isNotNull())
     gap = F.col("a") * (f - f1) - (F.col("m") - F.col("a")) * f1
     chi2 = f * gap * gap / (max(f1, 1.0) * max(f - f1, 1.0) * F.col("m") * F.greatest(F.lit(f) - F.col("m"), F.lit(0.5)))
-    terms = sorted(r.term for r in counts.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect())
+    terms = sorted(r.term for r in counts.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).select("term").collect())
     number = {t: i for i, t in enumerate(terms)}
     df = {r.term: r.n for r in text.select("text").mapInArrow(_frequencies(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], float))) + 1

@@ -307,6 +307,19 @@ def test_toxicity(spark):
     assert toxicity.score(d, toxicity.fit(d, labels.limit(0))).where("predicted = 1").count() == 0
 
 
+def test_toxicity_keeps_all_telling_terms(spark):
+    rng = random.Random(9)
+    bad = [f"{chr(97 + i // 12)}{chr(97 + i % 12)}qxvzkjw" for i in range(120)]
+    plain = lambda: [f"w{rng.randrange(3000)}" for _ in range(10)]
+    rows = [(i, " ".join([*plain(), bad[i % 120]])) for i in range(600)] + [(i, " ".join([*plain(), *(["calm"] if i % 2 else [])])) for i in range(600, 4200)]
+    asked = [(5000 + i, " ".join([*plain(), word])) for i, word in enumerate(bad)] + [(6000 + i, " ".join(plain())) for i in range(100)]
+    labels = spark.createDataFrame([(i, int(i < 600)) for i in range(4200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows + asked), labels)
+    assert len(model.terms.bases) > 512 and "calm" in model.terms.bases and (model.label == 0).sum() == 1800
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs(spark, asked), model).collect()}
+    assert all(got[i] == (i < 6000) for i, _ in asked)
+
+
 # Licences
 
 
