@@ -26,6 +26,10 @@ _WORD = r"[\p{L}\p{M}]+"
 _NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 
 
+def _digest(text: Column | str) -> Column:
+    return F.xxhash64((F.col(text) if isinstance(text, str) else text).cast("string")).alias("digest")
+
+
 def _marked(rows: DataFrame) -> DataFrame:
     """``rows`` with ``marked`` instead of ``text``: the lower-cased text with a mark before each name and before each
     unit behind a number. A name is a capitalised word behind another word or a comma; the first word of a
@@ -79,43 +83,45 @@ def item_windows(benchmark: DataFrame, width: int = WINDOW, plain: int = PLAIN)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = SHARE, plain: int = PLAIN) -> DataFrame:
-    """``(doc_id, item_id, coverage, verbatim)`` of the benchmark items found in ``docs(doc_id, text)``.
+    """``(doc_id, digest, item_id, coverage, verbatim)`` of the benchmark items found in ``docs(doc_id, text)``.
 
     ``coverage`` is the share of the item's windows in consistent occurrences, ``verbatim`` whether all
     slots hold the item's own values. Null, empty and short texts hold no item; an item with no window of
-    enough plain words is found nowhere. Rows with one doc_id, null included, are judged together. Other
-    columns are ignored; empty tables give an empty result. The benchmark's windows are broadcast while
+    enough plain words is found nowhere. Texts are judged one by one, also where they share a
+    doc_id or have none: ``digest`` is the text's hash. Other columns are ignored; empty tables give an empty result. The benchmark's windows are broadcast while
     they are counted to be few; beyond that both sides are shuffled on the window's hash.
     """
     items = stage(item_windows(benchmark, width, plain), "items")
     side = F.broadcast(items) if small(items, BROADCAST_ROWS // 4) else items
-    mine = _windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
+    mine = _windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest("text"), "text"), width)
     hit = mine.join(side, "h").where(F.slice("template", F.col("pos") + 1, width) == F.col("window"))
     mine_words = F.slice(_tokens(F.col("marked")), F.col("pos") + 1, width)
     pairs = F.filter(F.zip_with(F.arrays_zip("words", "slots"), mine_words, lambda a, t: F.struct(a["words"].alias("item"), t.alias("doc"), a["slots"].alias("slot"))), lambda x: x["slot"])
     none = F.array().cast("array<struct<item:string,doc:string,slot:boolean>>")
-    found = hit.select("doc_id", "item", "n", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.when(F.exists("slots", lambda x: x), pairs).otherwise(none).alias("pairs"))
-    occurrence = found.groupBy("doc_id", "item", "n", "shift").agg(F.collect_set("ipos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    found = hit.select("doc_id", "digest", "item", "n", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.when(F.exists("slots", lambda x: x), pairs).otherwise(none).alias("pairs"))
+    occurrence = found.groupBy("doc_id", "digest", "item", "n", "shift").agg(F.collect_set("ipos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     steady = occurrence.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))))
-    whole = steady.groupBy("doc_id", "item", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.bool_and(F.forall("pairs", lambda p: p["item"] == p["doc"])).alias("verbatim"))
-    return whole.where(F.col("held") >= share * F.col("n")).groupBy("doc_id", F.col("item.item_id").alias("item_id")).agg(F.max(F.col("held") / F.col("n")).alias("coverage"), F.bool_or("verbatim").alias("verbatim"))
+    whole = steady.groupBy("doc_id", "digest", "item", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.bool_and(F.forall("pairs", lambda p: p["item"] == p["doc"])).alias("verbatim"))
+    return whole.where(F.col("held") >= share * F.col("n")).groupBy("doc_id", "digest", F.col("item.item_id").alias("item_id")).agg(F.max(F.col("held") / F.col("n")).alias("coverage"), F.bool_or("verbatim").alias("verbatim"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """A row for each contaminated doc_id: the item with the largest coverage (ties: the smallest id), its
-    coverage, and how many items there are."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = SHARE, by: tuple[str, ...] = ("doc_id", "digest")) -> DataFrame:
+    """A row for each contaminated text of a doc_id, or for each doc_id that has one: the item with the
+    largest coverage (ties: the smallest id), its coverage, and how many items there are."""
     best = F.max_by(F.struct("item_id", "coverage", "verbatim"), F.struct("coverage", -F.col("item_id")))
-    each = matches(docs, benchmark, width, share).groupBy("doc_id").agg(best.alias("best"), F.count("*").alias("n_items"))
-    return each.select("doc_id", "best.item_id", F.round("best.coverage", 6).alias("coverage"), "best.verbatim", "n_items")
+    items = matches(docs, benchmark, width, share).groupBy(*by, "item_id").agg(F.max("coverage").alias("coverage"), F.bool_or("verbatim").alias("verbatim"))
+    each = items.groupBy(*by).agg(best.alias("best"), F.count("*").alias("n_items"))
+    return each.select(*by, "best.item_id", F.round("best.coverage", 6).alias("coverage"), "best.verbatim", "n_items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows of contaminated documents. The ids to remove are broadcast while they are
-    counted to be few."""
-    ids = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")), "contaminated")
-    side = F.broadcast(ids) if small(ids) else ids
-    return docs.join(side, docs.doc_id.cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """``docs`` without the rows whose own text is contaminated. The keys to remove are broadcast while they
+    are counted to be few."""
+    keys = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")), "contaminated")
+    side = F.broadcast(keys) if small(keys) else keys
+    same = docs.doc_id.cast("long").eqNullSafe(F.col("__id")) & (_digest(docs.text) == F.col("__digest"))
+    return docs.join(side, same, "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), by=("doc_id",))

@@ -150,6 +150,17 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_each_text(spark):
+    item = "In the race Anna ran 12 km in the rain while Bert and Anna drank 3 liters of cold tea together"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    half = item.split(" while ")
+    rows = [(None, f"so {item} it is"), (None, "a clean text without id"), (None, half[0]), (None, f"while {half[1]}"), (7, item), (7, "another clean text"), (8, half[0]), (8, f"while {half[1]}"), (9, None), (None, None)]
+    kept = [(r.doc_id, r.text) for r in decontaminate.clean(docs(spark, rows), bench).collect()]
+    assert sorted(kept, key=repr) == sorted([r for r in rows if item not in (r[1] or "")], key=repr)
+    folded = decontaminate.contaminated(docs(spark, rows), bench, by=("doc_id",)).collect()
+    assert sorted((repr(r.doc_id), r.n_items) for r in folded) == [("7", 1), ("None", 1)]
+
+
 def test_benchmark_passages_are_found(spark):
     d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [r.text for r in b.collect()]
