@@ -21,23 +21,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of rows with one id the
-    first by text, then by the other columns. Rows without id are told apart by their text and come behind all ids."""
-    # Numbers from 2^62 stand for the texts of rows without id.
-    by_text = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), by_text))
-    groups = stage(simhash.near_duplicates(named.select(F.col("__id").alias("doc_id"), "text")), "groups")
-    copies = stage(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "copies")
-    kept = named.join(checked_broadcast(copies), "__id", "left_anti")
-    # Ids that come more than once are few; only their rows are sorted.
-    again = stage(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id"), "again")
+    """Of each group of near-duplicates one row stays: that with the smallest id, of several texts of that id
+    the one with the smallest hash, and of several rows of that text the first by the other columns. Texts
+    that are no near-duplicates stay even if they share an id. Rows without id come behind all ids."""
+    key = ["__none", "__id", "__digest"]
+    marked = docs.withColumns({"__none": F.col("doc_id").cast("long").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__digest": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    groups = stage(simhash.grouped(marked.select(F.struct(*key).alias("key"), "text")).select("key", (F.col("key") != F.col("least")).alias("copy")), "groups")
+    copies = stage(groups.where("copy").select("key.*").distinct(), "copies")
+    kept = marked.join(checked_broadcast(copies), key, "left_anti")
+    # Texts that come more than once and stay are few; only their rows are sorted.
+    again = stage(groups.where("not copy").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key.*"), "again")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if again.isEmpty():
         return kept.select(*columns)
     side = checked_broadcast(again)
-    order = Window.partitionBy("__id").orderBy("text", *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    first = kept.join(side, "__id", "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1")
-    return kept.join(side, "__id", "left_anti").select(*columns).unionByName(first.select(*columns))
+    order = Window.partitionBy(*key).orderBy("text", *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    first = kept.join(side, key, "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1")
+    return kept.join(side, key, "left_anti").select(*columns).unionByName(first.select(*columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["key", "fp"])
 
 
 def _forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -113,6 +113,20 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     return rows.where(F.size("prints") > 1).select("prints").mapInArrow(_links(radius), "a long, b long")
 
 
+def grouped(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """``(key, fp, least)`` for every row of ``rows(key, text)``, whose keys may be of any type with an
+    order; ``least`` is the smallest key reachable, null only if all are."""
+    small_batches(rows.sparkSession)
+    kind = rows.schema["key"].dataType.simpleString()
+    each = stage(rows.select("key", F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, f"key {kind}, fp long"), "fingerprints")
+    distinct = stage(each.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+    group = components(links(distinct, radius, block))
+    rooted = distinct.join(group.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    keys = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    named = rooted.select("fp", "root").join(keys, "root").select("fp", "least")
+    return each.join(named, "fp").select("key", "fp", "least")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs(doc_id, text)``.
 
@@ -122,14 +136,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -
     Repeated rows are returned as often as they come. Other columns are ignored; an empty table gives an
     empty result.
     """
-    small_batches(docs.sparkSession)
-    each = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    distinct = stage(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    group = components(links(distinct, radius, block))
-    rooted = distinct.join(group.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = grouped(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), radius, block)
+    return found.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

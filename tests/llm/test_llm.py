@@ -374,6 +374,15 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     assert "hunter22" not in " ".join(r.text for r in docs_in.collect())
 
 
+def test_pipeline_keeps_different_texts_of_an_id(spark):
+    import corpus_pipeline
+
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abce")
+    rows = [(1, a), (5, a), (5, b), (9, b), (9, b), (7, c), (7, e), (7, c), (None, a), (None, "f " * 9), (None, "f " * 9)]
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs(spark, rows), "").collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (5, b), (7, c), (7, e), (None, "f " * 9)], key=repr)
+
+
 def test_turn_hash_by_hand(spark):
     got = {r.conv_id: r for r in QUERIES["op10_chat"](spark, SF).collect()}
     text = "</s>[INST] ok [/INST]"
