@@ -71,27 +71,38 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def _keyed(messages: DataFrame) -> DataFrame:
+    """``messages`` with a null tree as one of its own: ``none`` and a ``tree`` that is never null, for joins."""
+    return messages.withColumn("none", F.col("tree").isNull()).withColumn("tree", F.coalesce("tree", F.lit(0).cast(messages.schema["tree"].dataType)))
+
+
 def paths(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
     """``(tree, leaf, node, up)`` for every message on every root-to-leaf path of ``messages(tree, node,
     parent)``; ``up`` counts the steps from the leaf.
 
     A message whose parent is null or missing is a root. Messages that are their own ancestors, and those
-    below them, have no root: they raise an error. (tree, node) must be unique.
+    below them, have no root: they raise an error. (tree, node) must be unique; messages whose tree is null
+    are one tree.
     """
-    nodes = messages.select("tree", "node")
-    up = messages.where("parent is not null").select("tree", "node", F.col("parent").alias("top"))
-    jump = stage(up.join(nodes.withColumnRenamed("node", "top"), ["tree", "top"], "left_semi").select("tree", "node", "top"), "jump")
-    leaves = nodes.join(jump.select("tree", F.col("top").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    return _paths(_keyed(messages), most_rounds).select(F.when(~F.col("none"), F.col("tree")).alias("tree"), "leaf", "node", "up")
+
+
+def _paths(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """``paths`` of keyed messages, with ``none``."""
+    nodes = messages.select("none", "tree", "node")
+    up = messages.where("parent is not null").select("none", "tree", "node", F.col("parent").alias("top"))
+    jump = stage(up.join(nodes.withColumnRenamed("node", "top"), ["none", "tree", "top"], "left_semi").select("none", "tree", "node", "top"), "jump")
+    leaves = nodes.join(jump.select("none", "tree", F.col("top").alias("node")).distinct(), ["none", "tree", "node"], "left_anti")
     jumps = []
     while not jump.isEmpty():
         if len(jumps) == most_rounds or (len(jumps) > 1 and 2 ** len(jumps) > 2 * nodes.count()):
             raise ValueError("messages answer each other in a circle")
         jumps.append(jump)
-        over = jump.select("tree", F.col("node").alias("top"), F.col("top").alias("next"))
-        jump = stage(jump.join(over, ["tree", "top"]).select("tree", "node", F.col("next").alias("top")), "jump")
-    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+        over = jump.select("none", "tree", F.col("node").alias("top"), F.col("top").alias("next"))
+        jump = stage(jump.join(over, ["none", "tree", "top"]).select("none", "tree", "node", F.col("next").alias("top")), "jump")
+    found = leaves.select("none", "tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for i in reversed(range(len(jumps))):
-        more = found.join(jumps[i], ["tree", "node"]).select("tree", "leaf", F.col("top").alias("node"), (F.col("up") + 2**i).alias("up"))
+        more = found.join(jumps[i], ["none", "tree", "node"]).select("none", "tree", "leaf", F.col("top").alias("node"), (F.col("up") + 2**i).alias("up"))
         found = stage(found.unionByName(more), "paths")
     return found
 
@@ -111,15 +122,16 @@ def conversations(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     all) of ``messages(tree, node, parent, role, text, score)``.
 
     A path's score is the mean of its messages' scores, nulls counting as 0; ties go to the smaller leaf.
-    Null roles and texts are empty. Other columns are ignored; an empty table gives an empty result. A
+    Null roles and texts are empty; messages whose tree is null are one tree. Other columns are ignored; an empty table gives an empty result. A
     path is gathered in one row, as its conversation is one text.
     """
     small_batches(messages.sparkSession, 500)
-    full = paths(messages).join(messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "node"])
-    each = full.groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text")).alias("turns"))
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    keyed = _keyed(messages)
+    full = _paths(keyed).join(keyed.select("none", "tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")), ["none", "tree", "node"])
+    each = full.groupBy("none", "tree", "leaf").agg(F.avg("score").alias("score"), F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text")).alias("turns"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("none", "tree").orderBy(F.desc("score"), "leaf")))
     kept = ranked if branches is None else ranked.where(F.col("rank") <= branches)
-    return kept.select("tree", "leaf", "rank", F.array_sort("turns").alias("turns")).mapInArrow(_render, "tree long, leaf long, rank int, formatted string, loss_spans array<struct<start:long,stop:long>>")
+    return kept.select(F.when(~F.col("none"), F.col("tree")).alias("tree"), "leaf", "rank", F.array_sort("turns").alias("turns")).mapInArrow(_render, "tree long, leaf long, rank int, formatted string, loss_spans array<struct<start:long,stop:long>>")
 
 
 def from_turns(rows: DataFrame) -> DataFrame:

@@ -265,6 +265,17 @@ def test_reply_trees(spark):
         chat.paths(spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "tree long, node long, parent long"))
 
 
+def test_turns_without_a_conversation(spark, tmp_path):
+    rows = [(None, 0, "user", "who"), (None, 1, "assistant", "nobody"), (0, 0, "user", "zero"), (0, 1, "assistant", None), (None, 2, None, "end")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = chat.op10_chat(spark, f"file://{tmp_path}")
+    want = db.sql(chat.OP10_SQL).fetchall()
+    assert sorted(map(tuple, got.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()), key=repr) == sorted(want, key=repr)
+    assert len(want) == 3 and chat.paths(chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).where("tree is null").count() == 3
+
+
 # Nearest neighbours
 
 
