@@ -23,6 +23,8 @@ PLAIN = 3
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "inch", "inches", "feet", "miles", "pounds", "dollars", "euros", "cents", "percent", "degrees", "meters", "metres", "liters", "litres", "grams", "kilograms", "tons", "watts", "volts")
 _NUM, _UNIT, _NAME = "\x03", "\x02", "\x01"
 _WORD = r"[\p{L}\p{M}]+"
+#: Letters of scripts that put no spaces between words; each is a word of its own.
+_UNSPACED = r"[\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}&&\p{L}]"
 _NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 
 
@@ -39,6 +41,7 @@ def _marked(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
         .withColumn("text", F.when(F.col("text").rlike("[\x01-\x03]"), F.translate("text", _NAME + _UNIT + _NUM, "   ")).otherwise(F.col("text")))
+        .withColumn("text", F.when(F.col("text").rlike(_UNSPACED), F.regexp_replace("text", rf"({_UNSPACED}\p{{M}}*)", " $1 ")).otherwise(F.col("text")))
         .withColumn("text", named)
         .withColumn("text", F.when(F.col("text").rlike("[0-9]"), units).otherwise(F.col("text")))
         .withColumn("marked", F.lower("text"))
@@ -67,12 +70,17 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
     return steps.withColumn("hashes", window).select(*[c for c in steps.columns], F.posexplode_outer("hashes").alias("pos", "h")).where("h is not null")
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """``(item, text)`` of ``benchmark(item_id, text)``; an item is an id and the hash of its text."""
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    return rows.select(F.struct("item_id", F.xxhash64("text").alias("digest")).alias("item"), "text")
+
+
 def item_windows(benchmark: DataFrame, width: int = WINDOW, plain: int = PLAIN) -> DataFrame:
     """``(item, h, ipos, window, words, slots, n)`` for each window of ``benchmark(item_id, text)`` with
     enough plain words; ``n`` is at how many places the item has one. The first window comes in two forms
     if its first word would be a name inside a sentence."""
-    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    rows = rows.select(F.struct("item_id", F.xxhash64("text").alias("digest")).alias("item"), "text")
+    rows = _items(benchmark)
     slots = F.transform(F.slice("template", F.col("pos") + 1, width), lambda x: x.isin(_NUM, _UNIT, _NAME))
     inside = rows.withColumn("text", F.concat(F.lit(", "), "text"))
     both = _windows(rows, width).unionByName(_windows(inside, width).where("pos = 0")).withColumn("tokens", _tokens(F.col("marked")))
@@ -82,18 +90,43 @@ def item_windows(benchmark: DataFrame, width: int = WINDOW, plain: int = PLAIN)
     return w.join(n, w.item == n.item_n).drop("item_n")
 
 
+def plain_items(benchmark: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
+    """``(item, head, h, words)`` for each item of ``benchmark`` that has no window in ``items``: all its
+    words and numbers, and the hash of the first ``head`` of them, ``width`` at most."""
+    rows = _marked(_items(benchmark).join(items.select("item").distinct(), "item", "left_anti")).select("item", _tokens(F.col("marked")).alias("words"))
+    head = F.least(F.size("words"), F.lit(width))
+    return rows.where(F.size("words") > 0).select("item", head.alias("head"), F.xxhash64(F.slice("words", F.lit(1), head)).alias("h"), "words")
+
+
+def _head(k: int):
+    return lambda w, i: F.xxhash64(F.slice("mine", i + 1, k))
+
+
+def verbatim_matches(docs: DataFrame, plain: DataFrame) -> DataFrame:
+    """``matches`` of ``plain_items``: texts of ``docs(doc_id, digest, text)`` that hold all words and numbers of the
+    item in their order, in any case."""
+    heads = sorted(r["head"] for r in plain.select("head").distinct().collect())  # at most a window's width
+    rows = _marked(docs).select("doc_id", "digest", _tokens(F.col("marked")).alias("mine"))
+    hashes = F.concat(*[F.transform("mine", _head(k)) for k in heads])
+    each = rows.withColumn("hashes", hashes).select("doc_id", "digest", "mine", F.posexplode_outer("hashes").alias("at", "h")).where("h is not null")
+    side = F.broadcast(plain) if small(plain, BROADCAST_ROWS // 4) else plain
+    hit = each.join(side, "h").where(F.slice("mine", F.col("at") % F.size("mine") + 1, F.size("words")) == F.col("words"))
+    return hit.select("doc_id", "digest", F.col("item.item_id").alias("item_id")).distinct().select("*", F.lit(1.0).alias("coverage"), F.lit(True).alias("verbatim"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = SHARE, plain: int = PLAIN) -> DataFrame:
     """``(doc_id, digest, item_id, coverage, verbatim)`` of the benchmark items found in ``docs(doc_id, text)``.
 
     ``coverage`` is the share of the item's windows in consistent occurrences, ``verbatim`` whether all
-    slots hold the item's own values. Null, empty and short texts hold no item; an item with no window of
-    enough plain words is found nowhere. Texts are judged one by one, also where they share a
+    slots hold the item's own values. Of an item with no window of enough plain words all words and
+    numbers are compared; one without a word or number is found nowhere. Null and empty texts hold no item. Texts are judged one by one, also where they share a
     doc_id or have none: ``digest`` is the text's hash. Other columns are ignored; empty tables give an empty result. The benchmark's windows are broadcast while
     they are counted to be few; beyond that both sides are shuffled on the window's hash.
     """
     items = stage(item_windows(benchmark, width, plain), "items")
     side = F.broadcast(items) if small(items, BROADCAST_ROWS // 4) else items
-    mine = _windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest("text"), "text"), width)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest("text"), "text")
+    mine = _windows(rows, width)
     hit = mine.join(side, "h").where(F.slice("template", F.col("pos") + 1, width) == F.col("window"))
     mine_words = F.slice(_tokens(F.col("marked")), F.col("pos") + 1, width)
     pairs = F.filter(F.zip_with(F.arrays_zip("words", "slots"), mine_words, lambda a, t: F.struct(a["words"].alias("item"), t.alias("doc"), a["slots"].alias("slot"))), lambda x: x["slot"])
@@ -102,7 +135,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     occurrence = found.groupBy("doc_id", "digest", "item", "n", "shift").agg(F.collect_set("ipos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     steady = occurrence.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))))
     whole = steady.groupBy("doc_id", "digest", "item", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.bool_and(F.forall("pairs", lambda p: p["item"] == p["doc"])).alias("verbatim"))
-    return whole.where(F.col("held") >= share * F.col("n")).groupBy("doc_id", "digest", F.col("item.item_id").alias("item_id")).agg(F.max(F.col("held") / F.col("n")).alias("coverage"), F.bool_or("verbatim").alias("verbatim"))
+    found = whole.where(F.col("held") >= share * F.col("n")).groupBy("doc_id", "digest", F.col("item.item_id").alias("item_id")).agg(F.max(F.col("held") / F.col("n")).alias("coverage"), F.bool_or("verbatim").alias("verbatim"))
+    plain_ones = stage(plain_items(benchmark, items, width), "plain-items")
+    return found if plain_ones.isEmpty() else found.unionByName(verbatim_matches(rows, plain_ones))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = SHARE, by: tuple[str, ...] = ("doc_id", "digest")) -> DataFrame:

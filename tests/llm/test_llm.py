@@ -161,6 +161,14 @@ def test_decontamination_judges_each_text(spark):
     assert sorted((repr(r.doc_id), r.n_items) for r in folded) == [("7", 1), ("None", 1)]
 
 
+def test_items_without_countable_windows(spark):
+    items = ["too short", "What is 12 + 7 - 3 + 88?", "猫が好きです。犬も好きですか", "1 2 3 4 5 6 7", "?!"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(10, "it was Too  short, they said"), (11, f"Asked: {items[1]} No idea."), (12, f"昨日、{items[2]}と聞いた"), (13, "so 1 2 3 4 5 6 7"), (20, "too very short"), (21, "What is 12 + 7 - 3 + 89?"), (22, "猫が嫌いです。犬も苦手でしたか"), (23, "1 2 3 4 5 6 8"), (24, "too"), *AWKWARD]
+    got = {(r.doc_id, r.item_id, r.coverage, r.verbatim) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(10 + i, i, 1.0, True) for i in range(4)}
+
+
 def test_benchmark_passages_are_found(spark):
     d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [r.text for r in b.collect()]
