@@ -6,7 +6,8 @@ and benchmark items meet in a hash join. Matching windows with the same distance
 belong to one occurrence of the item, and its slots must be consistent: equal item values have equal
 document values. An item is in a document if consistent occurrences hold 0.8 of its windows or more; so
 an item whose numbers or names were exchanged throughout is found, and a text that shares only the shape
-of a few phrases is not.
+of a few phrases is not. Names are known by their capitals, so a second, case-folded template that keeps
+them as plain words finds copies in another case; either hit counts.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def _marked(rows: DataFrame) -> DataFrame:
         .withColumn("text", F.when(F.col("text").rlike(_UNSPACED), F.regexp_replace("text", rf"({_UNSPACED}\p{{M}}*)", " $1 ")).otherwise(F.col("text")))
         .withColumn("text", named)
         .withColumn("text", F.when(F.col("text").rlike("[0-9]"), units).otherwise(F.col("text")))
-        .withColumn("marked", F.lower("text"))
+        .withColumn("marked", F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")))
         .drop("text")
     )
 
@@ -54,20 +55,45 @@ def _tokens(marked: Column) -> Column:
     return F.regexp_extract_all(F.translate(marked, _NAME + _UNIT, ""), F.lit(f"{_WORD}|{_NUMBER}"), F.lit(0))
 
 
+def _words(raw: Column) -> Column:
+    return F.transform(raw, lambda x: F.translate(x, _NAME + _UNIT, ""))
+
+
+def _templates(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``raw`` (words and numbers, with their marks), ``template`` (placeholders for names, units and
+    numbers) and ``folded`` (the same without those for names) instead of ``text``."""
+
+    def typed(x: Column) -> Column:  # marks are less than digits, and those less than letters
+        return F.when(x >= ":", x).when(x < _UNIT, F.lit(_NAME)).when(x < _NUM, F.lit(_UNIT)).otherwise(F.lit(_NUM))
+
+    steps = _marked(rows).withColumn("raw", F.regexp_extract_all("marked", F.lit(f"[{_NAME}{_UNIT}]?{_WORD}|{_NUMBER}"), F.lit(0)))
+    steps = steps.withColumn("template", F.when(F.col("marked").rlike("[\x01\x020-9]"), F.transform("raw", typed)).otherwise(F.col("raw")))
+    return steps.withColumn("folded", F.when(F.col("marked").contains(_NAME), F.transform("template", _unnamed)).otherwise(F.col("template"))).drop("marked")
+
+
+def _unnamed(x: Column, i: Column) -> Column:
+    """A place of the template with its own word for a name. (A capitalised unit behind a number is marked as a name.)"""
+    word = F.translate(F.get("raw", i), _NAME, "")
+    unit = (F.get("template", i - 1) == _NUM) & word.isin(*UNITS)
+    return F.when(x != _NAME, x).when((i > 0) & unit, F.lit(_UNIT)).otherwise(word)
+
+
+def _hash(words: str, at: Column, width: int) -> Column:
+    return F.xxhash64(*[F.get(words, at + k) for k in range(width)])
+
+
 def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` with ``marked`` and ``template`` (the words with placeholders for names, units and numbers) instead of
-    ``text``, and a row for each window with ``pos`` and ``h``. The last rows of a text hold fewer words."""
-    steps = (
-        _marked(rows)
-        .withColumn("c", F.when(F.col("marked").rlike("[\x01\x02]"), F.regexp_replace("marked", f"([\x01\x02])\x20?{_WORD}", "$1")).otherwise(F.col("marked")))
-        .withColumn("c", F.when(F.col("c").rlike("[0-9]"), F.regexp_replace("c", _NUMBER, _NUM)).otherwise(F.col("c")))
-        .withColumn("template", F.regexp_extract_all("c", F.lit(f"[\x01-\x03]|{_WORD}"), F.lit(0)))
-        .drop("c")
-    )
-    window = F.transform("template", lambda w, i: F.xxhash64(w, *[F.get("template", i + k) for k in range(1, width)]))
+    """``_templates`` of ``rows`` and a row for each window of the template with ``pos`` and ``h``, and for each window
+    of the folded one that differs. The last rows of a text hold fewer words."""
+    names = F.filter(F.transform("template", lambda w, i: F.when(w == _NAME, i)), lambda i: i.isNotNull())
+    near = F.array_distinct(F.flatten(F.transform(names, lambda i: F.sequence(F.greatest(i - (width - 1), F.lit(0)), i))))
+    steps = _templates(rows).withColumn("near", F.when(F.array_contains("template", _NAME), near).otherwise(F.array().cast("array<int>")))
+    hashes = F.concat(F.transform("template", lambda w, i: _hash("template", i, width)), F.transform("near", lambda i: _hash("folded", i, width)))
     # The hashes are a column of their own, so that the generator and the join behind it work on plain values; the
     # outer form keeps the optimizer from working them out once more in a filter on their number.
-    return steps.withColumn("hashes", window).select(*[c for c in steps.columns], F.posexplode_outer("hashes").alias("pos", "h")).where("h is not null")
+    each = steps.withColumn("hashes", hashes).select(*steps.columns, F.posexplode_outer("hashes").alias("at", "h")).where("h is not null")
+    own = F.size("template")
+    return each.withColumn("pos", F.when(F.col("at") < own, F.col("at")).otherwise(F.get("near", F.col("at") - own))).drop("at", "near")
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -77,17 +103,22 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, width: int = WINDOW, plain: int = PLAIN) -> DataFrame:
-    """``(item, h, ipos, window, words, slots, n)`` for each window of ``benchmark(item_id, text)`` with
-    enough plain words; ``n`` is at how many places the item has one. The first window comes in two forms
-    if its first word would be a name inside a sentence."""
+    """``(item, folded_item, h, ipos, window, words, slots, n)`` for each window of ``benchmark(item_id, text)``
+    with enough plain words, of the template and of the folded one; ``n`` is at how many places the item has
+    one. The template's first window comes in two forms if its first word would be a name inside a sentence."""
+
+    def form(rows: DataFrame, template: str) -> DataFrame:
+        t = _templates(rows).withColumn("hashes", F.transform(template, lambda w, i: _hash(template, i, width)))
+        return t.select("item", F.lit(template == "folded").alias("folded_item"), F.col(template).alias("template"), "raw", F.posexplode("hashes").alias("ipos", "h"))
+
     rows = _items(benchmark)
-    slots = F.transform(F.slice("template", F.col("pos") + 1, width), lambda x: x.isin(_NUM, _UNIT, _NAME))
+    slots = F.transform(F.slice("template", F.col("ipos") + 1, width), lambda x: x.isin(_NUM, _UNIT, _NAME))
     inside = rows.withColumn("text", F.concat(F.lit(", "), "text"))
-    both = _windows(rows, width).unionByName(_windows(inside, width).where("pos = 0")).withColumn("tokens", _tokens(F.col("marked")))
-    w = both.select("item", "h", F.col("pos").alias("ipos"), F.slice("template", F.col("pos") + 1, width).alias("window"), F.slice("tokens", F.col("pos") + 1, width).alias("words"), slots.alias("slots"))
-    w = w.where((F.size("window") == width) & (F.size(F.filter("slots", lambda x: ~x)) >= plain)).dropDuplicates(["item", "ipos", "h"])
-    n = w.groupBy(F.col("item").alias("item_n")).agg(F.countDistinct("ipos").alias("n"))
-    return w.join(n, w.item == n.item_n).drop("item_n")
+    both = form(rows, "template").unionByName(form(inside, "template").where("ipos = 0")).unionByName(form(rows, "folded"))
+    w = both.select("item", "folded_item", "h", "ipos", F.slice("template", F.col("ipos") + 1, width).alias("window"), _words(F.slice("raw", F.col("ipos") + 1, width)).alias("words"), slots.alias("slots"))
+    w = w.where((F.size("window") == width) & (F.size(F.filter("slots", lambda x: ~x)) >= plain)).dropDuplicates(["item", "folded_item", "ipos", "h"])
+    n = w.groupBy(F.col("item").alias("item_n"), F.col("folded_item").alias("folded_n")).agg(F.countDistinct("ipos").alias("n"))
+    return w.join(n, (w.item == n.item_n) & (w.folded_item == n.folded_n)).drop("item_n", "folded_n")
 
 
 def plain_items(benchmark: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -127,14 +158,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     side = F.broadcast(items) if small(items, BROADCAST_ROWS // 4) else items
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest("text"), "text")
     mine = _windows(rows, width)
-    hit = mine.join(side, "h").where(F.slice("template", F.col("pos") + 1, width) == F.col("window"))
-    mine_words = F.slice(_tokens(F.col("marked")), F.col("pos") + 1, width)
+    template = F.when(F.col("folded_item"), F.col("folded")).otherwise(F.col("template"))
+    hit = mine.join(side, "h").where(F.slice(template, F.col("pos") + 1, width) == F.col("window"))
+    mine_words = _words(F.slice("raw", F.col("pos") + 1, width))
     pairs = F.filter(F.zip_with(F.arrays_zip("words", "slots"), mine_words, lambda a, t: F.struct(a["words"].alias("item"), t.alias("doc"), a["slots"].alias("slot"))), lambda x: x["slot"])
     none = F.array().cast("array<struct<item:string,doc:string,slot:boolean>>")
-    found = hit.select("doc_id", "digest", "item", "n", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.when(F.exists("slots", lambda x: x), pairs).otherwise(none).alias("pairs"))
-    occurrence = found.groupBy("doc_id", "digest", "item", "n", "shift").agg(F.collect_set("ipos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    found = hit.select("doc_id", "digest", "item", "folded_item", "n", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.when(F.exists("slots", lambda x: x), pairs).otherwise(none).alias("pairs"))
+    occurrence = found.groupBy("doc_id", "digest", "item", "folded_item", "n", "shift").agg(F.collect_set("ipos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     steady = occurrence.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))))
-    whole = steady.groupBy("doc_id", "digest", "item", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.bool_and(F.forall("pairs", lambda p: p["item"] == p["doc"])).alias("verbatim"))
+    whole = steady.groupBy("doc_id", "digest", "item", "folded_item", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.bool_and(F.forall("pairs", lambda p: p["item"] == p["doc"])).alias("verbatim"))
     found = whole.where(F.col("held") >= share * F.col("n")).groupBy("doc_id", "digest", F.col("item.item_id").alias("item_id")).agg(F.max(F.col("held") / F.col("n")).alias("coverage"), F.bool_or("verbatim").alias("verbatim"))
     plain_ones = stage(plain_items(benchmark, items, width), "plain-items")
     return found if plain_ones.isEmpty() else found.unionByName(verbatim_matches(rows, plain_ones))

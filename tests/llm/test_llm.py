@@ -161,6 +161,16 @@ def test_decontamination_judges_each_text(spark):
     assert sorted((repr(r.doc_id), r.n_items) for r in folded) == [("7", 1), ("None", 1)]
 
 
+def test_items_in_another_case_are_found(spark):
+    item = "In the race Anna ran 12 km in the rain while Bert and Anna drank 3 liters of cold tea together"
+    german = "Am Morgen ging der Bäcker mit dem Hund über die Straße zum Markt und kaufte dort zwölf Eier"
+    bench = spark.createDataFrame([(1, item), (2, german)], "item_id long, text string")
+    rows = [(100 * i + k, f"before, {t} after") for i, text in ((1, item), (2, german)) for k, t in enumerate((text, text.upper(), text.lower(), text.title()))]
+    rows += [(300, item.replace("Anna", "Carla").replace("Bert", "Dora")), (301, item.lower().replace("12 km", "90 miles")), (400, "in the race someone ran in the sun while others slept and drank nothing of cold tea")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(i, 2 if 200 <= i < 300 else 1) for i, _ in rows if i != 400}
+
+
 def test_items_without_countable_windows(spark):
     items = ["too short", "What is 12 + 7 - 3 + 88?", "猫が好きです。犬も好きですか", "1 2 3 4 5 6 7", "?!"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
