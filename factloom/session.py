@@ -35,3 +35,4 @@ def reach(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, (root, env.get("PYTHONPATH"))))
+    env.setdefault("OMP_NUM_THREADS", "1")  # a task has one core
