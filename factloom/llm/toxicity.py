@@ -1,14 +1,19 @@
-"""Toxicity from the nearest labelled examples by TF-IDF cosine, exact over the terms of a vocabulary.
-
-A bounded sample of labelled documents is the example set. A text's terms are its words and their
-beginnings, each once more for its second, third and fourth occurrence, so that inflected words are known by
-their stem and one chance occurrence differs from several. The terms that go together with the label,
-for or against it, are the vocabulary, their document frequencies are counted over the whole corpus, and the examples' unit
-TF-IDF vectors form an inverted index in blocks, with the largest weight of each term in each block. A
-block whose sum of largest weights is below the k-th best cosine so far cannot hold a nearer example and
-is skipped, so the k nearest are exact. Votes are weighted by cosine and by class, and a logistic curve
-fitted on the examples (each left out of its own vote) makes them probabilities. The neighbours are the
-evidence.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over block-max inverted lists.
+
+A bounded sample of labelled documents is the example set. Every word of a text is a term, and of longer words
+also their beginning, so that inflected words are known by their stem; no term is left out. A term's weight is
+(1 + ln tf) x idf x relevance: document frequencies are counted over the whole corpus, and the relevance
+(x + 0.25) / (x + 5.25), x being the term's chi-square with the label by Yates, keeps the many words that say
+nothing about it from outweighing the few that do. (Without it, ``relevance=0``, the neighbours of a text are those
+that share its topic and not its toxicity: on ``check_l`` no cut would find any toxic text and leave 99.7 % of the
+others alone, and with it every cut in a wide range finds all.)
+
+Examples stand in blocks. A term's inverted list that is long is held block by block with the largest weight in each
+block; a short one is read as a whole. A text's cosines with a block's examples are at most its sum over short lists
+plus the sum of the block's largest weights; blocks whose bound is below the k-th best cosine found so far hold no
+nearer example and are skipped, so the k nearest are exact. Votes are weighted by cosine and class, and a
+logistic curve fitted on the examples (their own near copies left out of the vote) makes them probabilities. The
+neighbours are the evidence.
 """
 
 from __future__ import annotations
@@ -17,119 +22,186 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import fold, small_batches, table
 from factloom.scratch import stage
 
-#: Labelled examples of each class, at most; those with the smallest hashes of their ids.
-EXAMPLES_PER_CLASS = 4096
-#: A term of the vocabulary is in so many families of examples and has such a chi-square, at least.
-LEAST_EXAMPLES, LEAST_CHI2 = 5, 25.0
-#: Lengths of the beginnings of longer words that are terms, and occurrences that are told apart.
-STEMS, OCCURRENCES = (4, 5, 6, 7), 4
-_KEPT = 400_000
-#: Examples of a block, and blocks that are scored at a time.
-NEIGHBOURS, BLOCK, STEP = 15, 64, 8
+#: Labelled examples of each class, at most, and their characters; those with the smallest hashes come first.
+EXAMPLES_PER_CLASS, CHARACTERS_PER_CLASS = 4096, 32_000_000
+#: Length of the beginning that is a term of longer words.
+STEM = 6
+#: Chi-square at which a term keeps half of its weight, about, and what is added to each, so that every term has some.
+RELEVANCE, LEAST = 5.0, 0.25
+#: Words that a worker keeps the terms of.
+_KEPT = 200_000
+#: Neighbours, examples of a block, lists that are held in blocks, and blocks that are opened first.
+NEIGHBOURS, BLOCK, LONG_LISTS, FIRST = 15, 64, 1024, 4
+#: Texts, and entries of their lists, that are scored at a time.
+_TEXTS, _ENTRIES = 128, 2_000_000
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
 
 
-def _words(text: str | None) -> Counter[str]:
+def words_of(text: str | None) -> Counter[str]:
     return Counter(_WORD.findall((text or "").lower()))
 
 
-def _bases(word: str) -> list[str]:
-    return [word, *[f"{word[:n]}*" for n in STEMS if n < len(word)]]
-
-
-def _named(words: Counter[str]) -> list[str]:
-    """All terms of a text."""
-    counts: Counter[str] = Counter()
-    for word, n in words.items():
-        for base in _bases(word):
-            counts[base] += n
-    return [f"{base}#{k}" for base, n in counts.items() for k in range(1, min(n, OCCURRENCES) + 1)]
+def terms_of(word: str) -> tuple[str, ...]:
+    """The word, and its beginning with a star behind it if it is longer."""
+    return (word, word[:STEM] + "*") if len(word) > STEM else (word,)
 
 
 class Vocabulary:
-    """Numbers of the vocabulary's terms in a text; which terms a word counts for is worked out once."""
+    """Numbers of the examples' terms in a text; which ones a word has is looked up once."""
 
     def __init__(self, terms: list[str]):
-        self.bases: dict[str, list[tuple[int, int]]] = {}
-        for i, t in enumerate(terms):
-            base, _, k = t.rpartition("#")
-            self.bases.setdefault(base, []).append((int(k), i))
-        self.known: dict[str, tuple[str, ...]] = {}
-
-    def find(self, words: Counter[str]) -> list[int]:
-        counts: dict[str, int] = {}
-        for word, n in words.items():
-            hit = self.known.get(word)
-            if hit is None:
-                if len(self.known) > _KEPT:
-                    self.known = {}
-                hit = self.known[word] = tuple(b for b in _bases(word) if b in self.bases)
-            for b in hit:
-                counts[b] = counts.get(b, 0) + n
-        return sorted(i for b, n in counts.items() for k, i in self.bases[b] if k <= n)
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.last = np.zeros(len(terms), np.int64)
+
+    def find(self, words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, each once, and how often the text has each."""
+        if len(self.known) > _KEPT:
+            self.known = {}
+        known, number = self.known, self.number
+        for w in words:
+            if w not in known:
+                known[w] = tuple(number[t] for t in terms_of(w) if t in number)
+        each = [known[w] for w in words]
+        at = np.fromiter(chain.from_iterable(each), np.int64)
+        n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, each), np.int64, len(each)))
+        # Terms that several words share are added up at the place of the last of them.
+        place = np.arange(len(at))
+        self.last[at] = place
+        own = self.last[at]
+        return at[own == place], np.bincount(own, n, len(at))[own == place]
 
 
 @dataclass
 class Model:
-    """Examples in blocks: ``postings[term, block, place]`` is an example's weight for a term, ``most[term, block]``
-    the largest of a block."""
+    """Examples in blocks; ``lists`` is the inverted index: term ``t`` stands at ``place[ptr[t]:ptr[t + 1]]``, with ``weight``."""
 
-    terms: Vocabulary
-    idf: np.ndarray
+    terms: list[str]
+    factor: np.ndarray
     ids: np.ndarray
     label: np.ndarray
+    vote_weight: np.ndarray
+    family: np.ndarray
+    ptr: np.ndarray
+    place: np.ndarray
     weight: np.ndarray
-    postings: np.ndarray
     none: float
     curve: tuple[float, float] = (0.0, 0.0)
-    most: np.ndarray = field(init=False)
+    vocabulary: Vocabulary = field(init=False)
 
     def __post_init__(self) -> None:
-        self.most = self.postings.max(axis=2, initial=0.0)
+        self.index()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("vocabulary", "row", "blocks", "most")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.index()
+
+    def index(self) -> None:
+        """The parts of the index that follow from the lists."""
+        self.vocabulary = Vocabulary(self.terms)
+        size = np.diff(self.ptr)
+        long = np.argsort(-size, kind="stable")[:LONG_LISTS]
+        self.row = np.full(len(size), -1, np.int64)
+        self.row[long] = np.arange(len(long))
+        n = -(-len(self.ids) // BLOCK)
+        self.blocks = np.zeros((n, len(long), BLOCK))
+        for r, t in enumerate(long):
+            at = self.place[self.ptr[t] : self.ptr[t + 1]]
+            self.blocks[at // BLOCK, r, at % BLOCK] = self.weight[self.ptr[t] : self.ptr[t + 1]]
+        self.most = self.blocks.max(axis=2, initial=0.0).T.copy()
 
     def vector(self, words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(self.terms.find(words), np.int64)
-        w = self.idf[at]
-        return at, w / (np.linalg.norm(w) or 1)
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine over 0, ties to the earlier one."""
-        bound = w @ self.most[at]
-        place, score, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        for i in range(0, len(order), STEP):
-            if bound[order[i]] < least - 1e-9:
-                break
-            blocks = order[i : i + STEP]
-            found = np.tensordot(w, self.postings[at[:, None], blocks[None, :]], 1)
-            b, p = np.nonzero(found)
-            here, there = blocks[b] * BLOCK + p, found[b, p]
-            keep = here != skip
-            place, score = np.concatenate((place, here[keep])), np.concatenate((score, there[keep]))
-            if len(place) >= k:
-                best = np.lexsort((place, -score))[:k]
-                place, score = place[best], score[best]
-                least = score[-1]
-        best = np.lexsort((place, -score))[:k]
-        return place[best], score[best]
-
-    def vote(self, place: np.ndarray, score: np.ndarray) -> float:
-        w = score * self.weight[place]
-        return float((w @ self.label[place]) / w.sum())
-
-    def probability(self, vote: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * vote, -30, 30))))
+        """Terms of the examples that the text has, and their weights in its vector of length 1. (Words that no example has
+        have no relevance, so no weight.)"""
+        at, n = self.vocabulary.find(words)
+        w = (1 + np.log(n)) * self.factor[at]
+        at, w = at[w > 0], w[w > 0]
+        return at, w / (np.sqrt(w @ w) or 1)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], family: np.ndarray | None = None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place and cosine of each text's k nearest examples with a cosine over 0, the nearest first, ties to the earlier
+        place. ``family`` names for each text the examples that are not asked."""
+        found = []
+        at = 0
+        while at < len(vectors):
+            to, entries = at, 0
+            while to < len(vectors) and to - at < _TEXTS and (entries < _ENTRIES or to == at):
+                t = vectors[to][0]
+                entries += int((self.ptr[t + 1] - self.ptr[t])[self.row[t] < 0].sum())
+                to += 1
+            doc, place, score = self._some(vectors[at:to], None if family is None else family[at:to], k)
+            found.append((doc + at, place, score))
+            at = to
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _some(self, vectors: list[tuple[np.ndarray, np.ndarray]], family: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, blocks = len(vectors), len(self.blocks)
+        if not blocks:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        doc = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        term, q = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+        row = self.row[term]
+        short = row < 0
+        size = (self.ptr[term + 1] - self.ptr[term])[short]
+        entry = np.arange(size.sum()) + np.repeat(self.ptr[term[short]] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        sums = np.bincount(np.repeat(doc[short] * (blocks * BLOCK), size) + self.place[entry], np.repeat(q[short], size) * self.weight[entry], n * blocks * BLOCK).astype(float).reshape(n, blocks, BLOCK)
+        if family is not None:
+            own = np.full(blocks * BLOCK, -1, np.int64)
+            own[: len(self.family)] = self.family
+            sums[own.reshape(blocks, BLOCK)[None] == family[:, None, None]] = -np.inf
+        rest = np.zeros((n, len(self.most)))
+        rest[doc[~short], row[~short]] = q[~short]
+        partly = sums.max(axis=2)
+        bound = partly + rest @ self.most
+        opened = np.zeros((n, blocks), bool)
+
+        def open_(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                who = np.flatnonzero(wanted[:, b])
+                sums[who, b] += rest[who] @ self.blocks[b]
+            opened[:] |= wanted
+
+        first = np.zeros((n, blocks), bool)
+        m = min(FIRST, blocks)
+        np.put_along_axis(first, np.argpartition(-bound, m - 1, axis=1)[:, :m], True, axis=1)
+        open_(first & (bound > 0))
+        # k examples reach what the k-th best of an opened block, or of the blocks' best sums so far, has.
+        least = np.zeros(n)
+        if m * BLOCK >= k:
+            least = np.maximum(least, np.partition(sums[first].reshape(n, -1), m * BLOCK - k, axis=1)[:, m * BLOCK - k])
+        if blocks >= k:
+            least = np.maximum(least, np.partition(partly, blocks - k, axis=1)[:, blocks - k])
+        open_(~opened & (bound >= least[:, None] - 1e-9) & (bound > 0))
+        who, block, at = np.nonzero(opened[:, :, None] & (sums > 0) & (sums >= least[:, None, None] - 1e-9))
+        score, place = sums[who, block, at], block * BLOCK + at
+        order = np.lexsort((place, -score, who))
+        who, place, score = who[order], place[order], score[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        return who[rank < k], place[rank < k], score[rank < k]
+
+    def probabilities(self, n: int, doc: np.ndarray, place: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Of each of n texts, from its neighbours; ``none`` for a text without any."""
+        w = score * self.vote_weight[place]
+        total, bad = np.bincount(doc, w, n), np.bincount(doc, w * self.label[place], n)
+        vote = bad / np.where(total > 0, total, 1)
+        return np.where(total > 0, 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * vote, -30, 30))), self.none)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -145,91 +217,146 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 
 
 def _family(words: Counter[str]) -> int:
-    """One number for texts that have nearly all words in common: their three least hashes under different seeds."""
+    """One number for texts that have nearly all words in common: their least hashes under four seeds."""
     import xxhash
 
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    return hash(tuple(min((xxhash.xxh64_intdigest(w, seed) for w in raw), default=0) for seed in (1, 2, 3)))
+    least = [min((xxhash.xxh64_intdigest(w, seed) for w in raw), default=0) for seed in (1, 2, 3, 4)]
+    return xxhash.xxh64_intdigest(repr(least)) >> 1
+
+
+_EXAMPLE = "doc_id long, toxic int, family long, words array<string>, counts array<int>"
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each term of each example, and one without a term for the example itself."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for doc_id, key, y, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words = _words(text)
-            family, terms = _family(words), [None, *_named(words)]
-            n = len(terms)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([doc_id] * n, [key] * n, [y] * n, [family] * n, terms), kinds)], ["doc_id", "key", "toxic", "family", "term"])
+        found = [words_of(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([_family(w) for w in found], pa.int64()), pa.array([list(w) for w in found], pa.list_(pa.string())), pa.array([list(w.values()) for w in found], pa.list_(pa.int32()))],
+            ["doc_id", "toxic", "family", "words", "counts"],
+        )
 
 
-def _frequencies(terms: list[str]):
+def _frequencies(terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts, total = Vocabulary(terms), Counter(), 0
+        vocabulary, total = Vocabulary(terms.value), 0
+        counts = np.zeros(len(terms.value), np.int64)
         for batch in batches:
             total += batch.num_rows
             for text in batch.column(0).to_pylist():
-                counts.update(vocabulary.find(_words(text)))
-        rows = [*counts.items(), (-1, total)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], ["term", "n"])
+                counts[vocabulary.find(words_of(text))[0]] += 1
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(counts[seen], total), pa.int64())], ["term", "n"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS) -> Model:
+def _chosen(text: DataFrame, own: DataFrame, per_class: int, characters: int) -> DataFrame:
+    """Labelled texts ``(doc_id, toxic, text)``, by the hashes of their ids, within the two bounds of a class."""
+    spark = text.sparkSession
+    ids = own.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(per_class).unionByName(own.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(per_class))
+    side = spark.createDataFrame([(r.doc_id, r.toxic) for r in ids.collect()], "doc_id long, toxic int")
+    mine = stage(text.join(F.broadcast(side), "doc_id").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "toxic", "text").dropDuplicates(["doc_id", "key"]), "labelled")
+    kept = []
+    for toxic in (0, 1):
+        used = 0
+        for r in mine.where(F.col("toxic") == toxic).select("doc_id", "key", F.length(F.coalesce("text", F.lit(""))).alias("n")).orderBy(F.xxhash64("doc_id"), "key").limit(per_class).collect():
+            if used + r.n <= characters:
+                kept.append((r.doc_id, r.key))
+                used += r.n
+    wanted = spark.createDataFrame(kept, "doc_id long, key long")
+    return mine.join(F.broadcast(wanted), ["doc_id", "key"], "left_semi").select("doc_id", "toxic", "text")
+
+
+def _lists(words: pa.ChunkedArray, counts: pa.ChunkedArray, part: int = 1024) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The examples' terms, and for each term of each example (example, term, occurrences)."""
+    flat = pc.dictionary_encode(pc.list_flatten(words).combine_chunks()) if len(words) else pa.array([], pa.string()).dictionary_encode()
+    if isinstance(flat, pa.ChunkedArray):
+        flat = flat.combine_chunks()
+    names = flat.dictionary.to_pylist()
+    number: dict[str, int] = {}
+    pairs = np.full((len(names), 2), -1, np.int64)
+    for i, w in enumerate(names):
+        for j, t in enumerate(terms_of(w)):
+            pairs[i, j] = number.setdefault(t, len(number))
+    code, n = flat.indices.to_numpy(zero_copy_only=False), pc.list_flatten(counts).to_numpy()
+    size = pc.list_value_length(words).to_numpy()
+    edge = np.concatenate(([0], np.cumsum(size)))
+    found = []
+    for at in range(0, len(size), part):  # a part at a time, as its terms come several times over
+        to = min(at + part, len(size))
+        cut = slice(edge[at], edge[to])
+        example = np.repeat(np.arange(at, to), size[at:to])
+        term = pairs[code[cut]]
+        keys = (example[:, None] * len(number) + term)[term >= 0]
+        key, where = np.unique(keys, return_inverse=True)
+        found.append((key // len(number), key % len(number), np.bincount(where, np.repeat(n[cut], 2).reshape(-1, 2)[term >= 0], len(key))))
+    if not found:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return list(number), *(np.concatenate(x) for x in zip(*found))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS, relevance: float = RELEVANCE, characters: int = CHARACTERS_PER_CLASS) -> Model:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, whose labels are all taken as
-    training labels. Null labels and ids, and ids with both labels, are left out.
+    training labels. Null labels and ids, and ids with both labels, are left out; near copies count once where terms
+    are compared with the label.
 
-    The driver gets the examples' vectors over the vocabulary: at most 2 x ``per_class`` sparse rows.
-    Document frequencies are counted over all of ``docs``.
+    The driver gets the words of the examples: ``per_class`` of each class and ``characters`` of text, at most.
+    Document frequencies are counted over all of ``docs``. With ``relevance`` 0 terms have their plain TF-IDF weight.
     """
     small_batches(docs.sparkSession)
     own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("y"), F.max("toxic").alias("z")).where("y = z").select("doc_id", F.least(F.greatest("y", F.lit(0)), F.lit(1)).cast("int").alias("toxic"))
     size = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    sample = own.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(per_class).unionByName(own.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(per_class))
-    chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in sample.collect()], "doc_id long, toxic int")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    examples = text.join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "toxic", "text").dropDuplicates(["doc_id", "key"])
-    known = {(r.doc_id, r.key): r.toxic for r in examples.select("doc_id", "key", "toxic").collect()}
-    n1 = sum(known.values())
-    n0 = len(known) - n1
-    found = stage(examples.mapInArrow(_terms, "doc_id long, key long, toxic int, family long, term string"), "terms")
-    # Near copies count once, else the words of a copied text would look like signs of its label.
-    by_family = found.groupBy("term", "family").agg(F.max("toxic").alias("toxic")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("m"))
-    whole = by_family.where("term is null").first()
-    f1, f = (whole.a, whole.m) if whole else (0.0, 0.0)
-    counts = by_family.where((F.col("m") >= LEAST_EXAMPLES) & F.col("term").isNotNull())
-    gap = F.col("a") * (f - f1) - (F.col("m") - F.col("a")) * f1
-    chi2 = f * gap * gap / (max(f1, 1.0) * max(f - f1, 1.0) * F.col("m") * F.greatest(F.lit(f) - F.col("m"), F.lit(0.5)))
-    terms = sorted(r.term for r in counts.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).select("term").collect())
-    number = {t: i for i, t in enumerate(terms)}
-    df = {r.term: r.n for r in text.select("text").mapInArrow(_frequencies(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], float))) + 1
-    mine = found.join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in terms], "term string")), "term").collect()
-    vectors: dict[tuple, dict[int, float]] = {}
-    for r in mine:
-        vectors.setdefault((r.doc_id, r.key), {})[number[r.term]] = idf[number[r.term]]
-    # Examples whose heaviest term is the same stand together, so that blocks differ in their terms.
-    order = sorted(vectors, key=lambda d: (max(vectors[d], key=lambda t: (vectors[d][t], -t)), d))
-    label = np.array([known[d] for d in order], float)
-    share = {1: size.get(1, 0) / max(n1, 1), 0: size.get(0, 0) / max(n0, 1)}
-    weight = np.array([share[known[d]] for d in order], float)
-    postings = np.zeros((len(terms), -(-len(order) // BLOCK), BLOCK))
-    for i, d in enumerate(order):
-        length = np.sqrt(sum(x * x for x in vectors[d].values()))
-        for t, x in vectors[d].items():
-            postings[t, i // BLOCK, i % BLOCK] = x / length
-    silent = [known[d] for d in known if d not in vectors]
+    got = _chosen(text, own, per_class, characters).mapInArrow(_examples, _EXAMPLE).toArrow().sort_by([("doc_id", "ascending"), ("family", "ascending")])
+    label, family = got.column("toxic").to_numpy().astype(float), got.column("family").to_numpy()
+    terms, example, term, n = _lists(got.column("words"), got.column("counts"))
+    held = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the examples
+    counted = text.select("text").mapInArrow(_frequencies(held), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    where, many = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    df = np.zeros(len(terms))
+    df[where[where >= 0]] = many[where >= 0]
+    total = many[where < 0].sum()
+    factor = np.log((1 + total) / (1 + df))
+    if relevance:
+        names, group = np.unique(family, return_inverse=True)
+        bad = np.zeros(len(names))
+        np.maximum.at(bad, group, label)
+        pair = np.unique(term * max(len(names), 1) + group[example])
+        m = np.bincount(pair // max(len(names), 1), minlength=len(terms)).astype(float)
+        a = np.bincount(pair // max(len(names), 1), bad[pair % max(len(names), 1)], len(terms))
+        f, f1 = float(len(names)), bad.sum()
+        gap = np.maximum(np.abs(a * (f - f1) - (m - a) * f1) - f / 2, 0)
+        chi2 = f * gap * gap / (max(f1, 1.0) * max(f - f1, 1.0) * m * np.maximum(f - m, 0.5))
+        factor = factor * (chi2 + LEAST) / (chi2 + LEAST + relevance)
+    weight = (1 + np.log(n)) * factor[term]
+    length = np.sqrt(np.bincount(example, weight**2, len(label)))
+    kept = weight > 0
+    example, term, weight = example[kept], term[kept], weight[kept] / length[example[kept]]
+    # Examples whose heaviest term is the same stand together, so that blocks differ in their terms; silent ones go.
+    heaviest = np.lexsort((term, -weight, example))
+    speaks, first = np.unique(example[heaviest], return_index=True)
+    order = speaks[np.argsort(term[heaviest][first], kind="stable")]
+    place = np.zeros(len(label), np.int64)
+    place[order] = np.arange(len(order))
+    by = np.lexsort((place[example], term))
+    ptr = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(terms)))))
+    n1, n0 = label.sum(), len(label) - label.sum()
+    share = np.where(label == 1, size.get(1, 0) / max(n1, 1), size.get(0, 0) / max(n0, 1))
+    silent = np.setdiff1d(np.arange(len(label)), order)
     rate = (size.get(1, 0) + 0.5) / (sum(size.values()) + 1)
-    none = (share[1] * sum(silent) + rate) / (share[1] * sum(silent) + share[0] * (len(silent) - sum(silent)) + 1)
-    model = Model(Vocabulary(terms), idf, np.array([d[0] for d in order], np.int64), label, weight, postings, float(none))
-    votes = []
-    for i, d in enumerate(order):
-        at = np.array(sorted(vectors[d]), np.int64)
-        w = np.array([vectors[d][t] for t in at])
-        place, score = model.nearest(at, w / np.linalg.norm(w), skip=i)
-        votes.append(model.vote(place, score) if len(place) else none)
-    model.curve = _logistic(np.array(votes), label, weight / max(weight.mean(), 1e-12)) if len(votes) else (0.0, 0.0)
+    none = (share[silent] @ label[silent] + rate) / (share[silent].sum() + 1)
+    model = Model(terms, factor, got.column("doc_id").to_numpy()[order], label[order], share[order], family[order], ptr, place[example][by].astype(np.int32), weight[by], float(none))
+    if len(order):
+        own_terms = np.argsort(place[example], kind="stable")
+        edge = np.searchsorted(place[example][own_terms], np.arange(len(order) + 1))
+        vectors = [(term[own_terms[a:b]], weight[own_terms[a:b]]) for a, b in zip(edge, edge[1:])]
+        doc, at, score = model.nearest(vectors, model.family)
+        w = score * model.vote_weight[at]
+        total_w = np.bincount(doc, w, len(order))
+        has = total_w > 0
+        vote = np.bincount(doc, w * model.label[at], len(order))[has] / total_w[has]
+        model.curve = _logistic(vote, model.label[has], model.vote_weight[has] / max(model.vote_weight[has].mean(), 1e-12)) if has.any() else (0.0, 0.0)
     return model
 
 
@@ -237,23 +364,20 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """``(doc_id, score, predicted, evidence)`` for every row of ``docs(doc_id, text)``; the evidence is
     an array of (doc_id, cosine, toxic), nearest first.
 
-    A text that is null, empty or without any term of the vocabulary has no neighbour and gets the rate of
+    A text that is null, empty or without any term that an example has has no neighbour and gets the rate of
     toxic examples among those without terms. Repeated rows are returned as often as they come, a null
     doc_id is kept, other columns are ignored; an empty table gives an empty result.
     """
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the example set
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column(1).to_pylist():
-                at, w = model.vector(_words(text))
-                place, cosine = model.nearest(at, w) if len(at) else (at, w)
-                scores.append(model.probability(model.vote(place, cosine)) if len(place) else model.none)
-                evidence.append([{"doc_id": int(model.ids[p]), "cosine": float(c), "toxic": int(model.label[p])} for p, c in zip(place, cosine)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind)], ["doc_id", "score", "predicted", "evidence"])
+            doc, place, cosine = model.nearest([model.vector(words_of(t)) for t in batch.column(1).to_pylist()])
+            scores = model.probabilities(batch.num_rows, doc, place, cosine)
+            evidence = pa.StructArray.from_arrays([pa.array(model.ids[place], pa.int64()), pa.array(cosine, pa.float64()), pa.array(model.label[place].astype(np.int32))], ["doc_id", "cosine", "toxic"])
+            edge = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), pa.ListArray.from_arrays(edge, evidence)], ["doc_id", "score", "predicted", "evidence"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")

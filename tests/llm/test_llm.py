@@ -322,29 +322,76 @@ def test_nearest_neighbours(spark):
 # Toxicity
 
 
-def test_toxicity(spark):
+def plain_weights(train, corpus, relevance):
+    """Weights of terms and unit vectors of the examples, by definition and with nothing but dicts."""
+
+    def terms(text):
+        out = {}
+        for w in re.findall(r"[^\W_]+", (text or "").lower()):
+            for t in (w, w[:6] + "*") if len(w) > 6 else (w,):
+                out[t] = out.get(t, 0) + 1
+        return out
+
+    df = {}
+    for text in corpus:
+        for t in terms(text):
+            df[t] = df.get(t, 0) + 1
+    family = lambda text: toxicity._family(toxicity.words_of(text))
+    bad, seen = {}, {}
+    for text, y in train:
+        bad[family(text)] = max(y, bad.get(family(text), 0))
+        for t in terms(text):
+            seen.setdefault(t, set()).add(family(text))
+    f, f1 = len(bad), sum(bad.values())
+
+    def weight(t):
+        if t not in seen:
+            return 0.0
+        a, m = sum(bad[k] for k in seen[t]), len(seen[t])
+        gap = max(abs(a * (f - f1) - (m - a) * f1) - f / 2, 0)
+        x = f * gap * gap / (f1 * (f - f1) * m * max(f - m, 0.5)) + 0.25
+        return np.log((1 + len(corpus)) / (1 + df[t])) * (x / (x + relevance) if relevance else 1)
+
+    def vector(text):
+        v = {t: (1 + np.log(n)) * weight(t) for t, n in terms(text).items()}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items() if x} if length else {}
+
+    return vector
+
+
+@pytest.mark.parametrize("relevance, long_lists", [(5.0, 1024), (0.0, 1024), (5.0, 3)])
+def test_toxicity_against_brute_force(spark, monkeypatch, relevance, long_lists):
+    monkeypatch.setattr(toxicity, "LONG_LISTS", long_lists)
+    monkeypatch.setattr(toxicity, "FIRST", 1)
     rng = random.Random(8)
-    words = [f"w{i}" for i in range(300)]
+    words = [f"w{i}" for i in range(300)] + [f"longword{i}" for i in range(30)]
     bad = ["vile", "nasty", "awful"]
     rows = []
     for i in range(400):
-        text = [rng.choice(words) for _ in range(30)]
+        text = [rng.choice(words) for _ in range(rng.randint(5, 60))]
         if i % 4 == 0:
-            text[3], text[9] = rng.sample(bad, 2)
+            text[1:3] = rng.sample(bad, 2)
         rows.append((i, " ".join(text)))
-    d = docs(spark, rows + [(1000 + k, r[1]) for k, r in enumerate(AWKWARD)])
+    odd = [(1000 + k, r[1]) for k, r in enumerate(AWKWARD)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] + [(5, 1), (None, 1), (7, None)], "doc_id long, toxic int")
-    model = toxicity.fit(d, labels)
-    got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
-    assert len(got) == 409
-    assert np.mean([got[i].predicted == (i % 4 == 0) for i in range(300, 400)]) > 0.97
-    assert all(got[1000 + k].predicted == 0 and 0 <= got[1000 + k].score <= 1 for k in range(len(AWKWARD)))
-    for i in (300, 304):
-        at, w = model.vector(toxicity._words(rows[i][1]))
-        flat = np.einsum("t,tbp->bp", w, model.postings[at]).ravel()
-        best = np.lexsort((np.arange(len(flat)), -flat))[: toxicity.NEIGHBOURS]
-        assert [e.doc_id for e in got[i].evidence] == model.ids[best[flat[best] > 0]].tolist()
-    assert toxicity.score(d, toxicity.fit(d, labels.limit(0))).where("predicted = 1").count() == 0
+    model = toxicity.fit(docs(spark, rows + odd), labels, relevance=relevance)
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, rows + odd), model).collect()}
+    assert len(got) == 409 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
+    train = [(t, int(i % 4 == 0), i) for i, t in rows if i < 300 and i != 5]
+    vector = plain_weights([(t, y) for t, y, _ in train], [t for _, t in rows + odd], relevance)
+    examples = [(vector(t), i) for t, _, i in train]
+    for i, text in rows + odd:
+        v = vector(text)
+        cosine = sorted((sum(x * e.get(t, 0) for t, x in v.items()) for e, _ in examples), reverse=True)
+        exact = {d: sum(x * e.get(t, 0) for t, x in v.items()) for e, d in examples}
+        want = [c for c in cosine[: toxicity.NEIGHBOURS] if c > 1e-12]
+        assert [e.cosine for e in got[i].evidence] == pytest.approx(want, abs=1e-9), i
+        assert all(abs(exact[e.doc_id] - e.cosine) < 1e-9 and e.toxic == (e.doc_id % 4 == 0) for e in got[i].evidence)
+    if relevance:
+        assert np.mean([got[i].predicted == (i % 4 == 0) for i in range(300, 400)]) > 0.97
+        assert all(got[i].predicted == 0 for i, _ in odd)
+    assert toxicity.score(docs(spark, rows), toxicity.fit(docs(spark, rows), labels.limit(0))).where("predicted = 1").count() == 0
 
 
 def test_toxicity_keeps_all_telling_terms(spark):
@@ -355,9 +402,16 @@ def test_toxicity_keeps_all_telling_terms(spark):
     asked = [(5000 + i, " ".join([*plain(), word])) for i, word in enumerate(bad)] + [(6000 + i, " ".join(plain())) for i in range(100)]
     labels = spark.createDataFrame([(i, int(i < 600)) for i in range(4200)], "doc_id long, toxic int")
     model = toxicity.fit(docs(spark, rows + asked), labels)
-    assert len(model.terms.bases) > 512 and "calm" in model.terms.bases and (model.label == 0).sum() == 1800
+    assert len(model.terms) > 3000 and {"calm", *bad} <= set(model.terms)
     got = {r.doc_id: r.predicted for r in toxicity.score(docs(spark, asked), model).collect()}
-    assert all(got[i] == (i < 6000) for i, _ in asked)
+    assert np.mean([got[i] == (i < 6000) for i, _ in asked]) > 0.98
+
+
+def test_toxicity_bounds_its_examples(spark):
+    rows = [(i, f"text number {i} of some length") for i in range(100)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    assert len(toxicity.fit(docs(spark, rows), labels, per_class=10).ids) == 20
+    assert len(toxicity.fit(docs(spark, rows), labels, characters=100).ids) <= 8
 
 
 # Licences
