@@ -11,7 +11,7 @@ others alone, and with it every cut in a wide range finds all.)
 Examples stand in blocks. A term's inverted list that is long is held block by block with the largest weight in each
 block; a short one is read as a whole. A text's cosines with a block's examples are at most its sum over short lists
 plus the sum of the block's largest weights; blocks whose bound is below the k-th best cosine found so far hold no
-nearer example and are skipped, so the k nearest are exact. Votes are weighted by cosine and class, and a
+nearer example and are skipped, so the k nearest are exact (long lists in single precision). Votes are weighted by cosine and class, and a
 logistic curve fitted on the examples (their own near copies left out of the vote) makes them probabilities. The
 neighbours are the evidence.
 """
@@ -21,8 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +38,6 @@ EXAMPLES_PER_CLASS, CHARACTERS_PER_CLASS = 4096, 32_000_000
 STEM = 6
 #: Chi-square at which a term keeps half of its weight, about, and what is added to each, so that every term has some.
 RELEVANCE, LEAST = 5.0, 0.25
-#: Words that a worker keeps the terms of.
-_KEPT = 200_000
 #: Neighbours, examples of a block, lists that are held in blocks, and blocks that are opened first.
 NEIGHBOURS, BLOCK, LONG_LISTS, FIRST = 15, 64, 1024, 4
 #: Texts, and entries of their lists, that are scored at a time.
@@ -59,26 +56,21 @@ def terms_of(word: str) -> tuple[str, ...]:
 
 
 class Vocabulary:
-    """Numbers of the examples' terms in a text; which ones a word has is looked up once."""
+    """Numbers of the examples' terms in a text."""
 
     def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.last = np.zeros(len(terms), np.int64)
+        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
+        self.stems = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*")}
+        self.last = np.zeros(len(terms), np.int32)
 
     def find(self, words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
         """Terms, each once, and how often the text has each."""
-        if len(self.known) > _KEPT:
-            self.known = {}
-        known, number = self.known, self.number
-        for w in words:
-            if w not in known:
-                known[w] = tuple(number[t] for t in terms_of(w) if t in number)
-        each = [known[w] for w in words]
-        at = np.fromiter(chain.from_iterable(each), np.int64)
-        n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, each), np.int64, len(each)))
-        # Terms that several words share are added up at the place of the last of them.
-        place = np.arange(len(at))
+        word, stem = self.words.get, self.stems.get
+        at = np.array([word(w, -1) for w in words] + [stem(w[:STEM], -1) if len(w) > STEM else -1 for w in words], np.int32)
+        n = np.tile(np.fromiter(words.values(), np.int64, len(words)), 2)
+        at, n = at[at >= 0], n[at >= 0]
+        # Stems that several words share are added up at the place of the last of them.
+        place = np.arange(len(at), dtype=np.int32)
         self.last[at] = place
         own = self.last[at]
         return at[own == place], np.bincount(own, n, len(at))[own == place]
@@ -99,13 +91,14 @@ class Model:
     weight: np.ndarray
     none: float
     curve: tuple[float, float] = (0.0, 0.0)
-    vocabulary: Vocabulary = field(init=False)
+    #: What ``terms_of_texts`` gives for the documents that the model was fitted with.
+    found: DataFrame | None = None
 
     def __post_init__(self) -> None:
         self.index()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("vocabulary", "row", "blocks", "most")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("found", "row", "blocks", "most")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -113,60 +106,60 @@ class Model:
 
     def index(self) -> None:
         """The parts of the index that follow from the lists."""
-        self.vocabulary = Vocabulary(self.terms)
         size = np.diff(self.ptr)
         long = np.argsort(-size, kind="stable")[:LONG_LISTS]
         self.row = np.full(len(size), -1, np.int64)
         self.row[long] = np.arange(len(long))
         n = -(-len(self.ids) // BLOCK)
-        self.blocks = np.zeros((n, len(long), BLOCK))
+        self.blocks = np.zeros((n, len(long), BLOCK), np.float32)
         for r, t in enumerate(long):
             at = self.place[self.ptr[t] : self.ptr[t + 1]]
             self.blocks[at // BLOCK, r, at % BLOCK] = self.weight[self.ptr[t] : self.ptr[t + 1]]
-        self.most = self.blocks.max(axis=2, initial=0.0).T.copy()
-
-    def vector(self, words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of the examples that the text has, and their weights in its vector of length 1. (Words that no example has
-        have no relevance, so no weight.)"""
-        at, n = self.vocabulary.find(words)
-        w = (1 + np.log(n)) * self.factor[at]
-        at, w = at[w > 0], w[w > 0]
-        return at, w / (np.sqrt(w @ w) or 1)
-
-    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], family: np.ndarray | None = None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, place and cosine of each text's k nearest examples with a cosine over 0, the nearest first, ties to the earlier
-        place. ``family`` names for each text the examples that are not asked."""
-        found = []
+        self.most = self.blocks.max(axis=2, initial=0.0).T.copy() * np.float32(1 + 1e-6)
+
+    def vectors(self, edge: np.ndarray, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts whose terms and occurrences stand between the edges: the edges, terms and weights of their vectors of
+        length 1. (Words that no example has have no relevance, so no weight.)"""
+        doc = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        w = (1 + np.log(n)) * self.factor[term]
+        length = np.sqrt(np.bincount(doc, w * w, len(edge) - 1))
+        kept = w > 0
+        doc, term, w = doc[kept], term[kept], w[kept]
+        return np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(edge) - 1)))), term, w / length[doc]
+
+    def nearest(self, edge: np.ndarray, term: np.ndarray, q: np.ndarray, family: np.ndarray | None = None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place and cosine of each vector's k nearest examples with a cosine over 0, the nearest first, ties to the
+        earlier place. ``family`` names for each text the examples that are not asked."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        entries = np.concatenate(([0], np.cumsum(np.where(self.row[term] < 0, self.ptr[term + 1] - self.ptr[term], 0))))[edge]
         at = 0
-        while at < len(vectors):
-            to, entries = at, 0
-            while to < len(vectors) and to - at < _TEXTS and (entries < _ENTRIES or to == at):
-                t = vectors[to][0]
-                entries += int((self.ptr[t + 1] - self.ptr[t])[self.row[t] < 0].sum())
-                to += 1
-            doc, place, score = self._some(vectors[at:to], None if family is None else family[at:to], k)
+        while at < len(edge) - 1:
+            to = max(at + 1, min(at + _TEXTS, int(np.searchsorted(entries, entries[at] + _ENTRIES, "right")) - 1, len(edge) - 1))
+            cut = slice(edge[at], edge[to])
+            doc, place, score = self._some(edge[at : to + 1] - edge[at], term[cut], q[cut], None if family is None else family[at:to], k)
             found.append((doc + at, place, score))
             at = to
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def _some(self, vectors: list[tuple[np.ndarray, np.ndarray]], family: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, blocks = len(vectors), len(self.blocks)
+    def _some(self, edge: np.ndarray, term: np.ndarray, q: np.ndarray, family: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, blocks = len(edge) - 1, len(self.blocks)
         if not blocks:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        doc = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
-        term, q = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(edge))
         row = self.row[term]
         short = row < 0
         size = (self.ptr[term + 1] - self.ptr[term])[short]
         entry = np.arange(size.sum()) + np.repeat(self.ptr[term[short]] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        sums = np.bincount(np.repeat(doc[short] * (blocks * BLOCK), size) + self.place[entry], np.repeat(q[short], size) * self.weight[entry], n * blocks * BLOCK).astype(float).reshape(n, blocks, BLOCK)
+        where = self.place.take(entry)
+        where += np.repeat(doc[short] * np.int32(blocks * BLOCK), size)
+        value = self.weight.take(entry)
+        value *= np.repeat(q[short], size)
+        sums = np.bincount(where, value, n * blocks * BLOCK).astype(float, copy=False).reshape(n, blocks, BLOCK)
         if family is not None:
             own = np.full(blocks * BLOCK, -1, np.int64)
             own[: len(self.family)] = self.family
             sums[own.reshape(blocks, BLOCK)[None] == family[:, None, None]] = -np.inf
-        rest = np.zeros((n, len(self.most)))
+        rest = np.zeros((n, len(self.most)), np.float32)
         rest[doc[~short], row[~short]] = q[~short]
         partly = sums.max(axis=2)
         bound = partly + rest @ self.most
@@ -188,8 +181,8 @@ class Model:
             least = np.maximum(least, np.partition(sums[first].reshape(n, -1), m * BLOCK - k, axis=1)[:, m * BLOCK - k])
         if blocks >= k:
             least = np.maximum(least, np.partition(partly, blocks - k, axis=1)[:, blocks - k])
-        open_(~opened & (bound >= least[:, None] - 1e-9) & (bound > 0))
-        who, block, at = np.nonzero(opened[:, :, None] & (sums > 0) & (sums >= least[:, None, None] - 1e-9))
+        open_(~opened & (bound >= least[:, None] - 1e-5) & (bound > 0))
+        who, block, at = np.nonzero(opened[:, :, None] & (sums > 0) & (sums >= least[:, None, None]))
         score, place = sums[who, block, at], block * BLOCK + at
         order = np.lexsort((place, -score, who))
         who, place, score = who[order], place[order], score[order]
@@ -237,20 +230,25 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _frequencies(terms):
+def _found(terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, total = Vocabulary(terms.value), 0
-        counts = np.zeros(len(terms.value), np.int64)
+        vocabulary = Vocabulary(terms.value)
         for batch in batches:
-            total += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                counts[vocabulary.find(words_of(text))[0]] += 1
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(counts[seen], total), pa.int64())], ["term", "n"])
+            each = [vocabulary.find(words_of(t)) for t in batch.column(1).to_pylist()]
+            edge = pa.array(np.concatenate(([0], np.cumsum([len(t) for t, _ in each]))), pa.int32())
+            flat = [np.concatenate(x).astype(np.int32) if each else np.zeros(0, np.int32) for x in (list(zip(*each)) or [(), ()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.ListArray.from_arrays(edge, pa.array(x, pa.int32())) for x in flat]], ["doc_id", "terms", "counts"])
 
     return run
 
 
+def terms_of_texts(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """``(doc_id, terms, counts)`` of every row of ``docs(doc_id, text)``: the numbers of those terms that it has."""
+    small_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the examples
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_found(held), "doc_id long, terms array<int>, counts array<int>")
+
+
 def _chosen(text: DataFrame, own: DataFrame, per_class: int, characters: int) -> DataFrame:
     """Labelled texts ``(doc_id, toxic, text)``, by the hashes of their ids, within the two bounds of a class."""
     spark = text.sparkSession
@@ -268,31 +266,26 @@ def _chosen(text: DataFrame, own: DataFrame, per_class: int, characters: int) ->
     return mine.join(F.broadcast(wanted), ["doc_id", "key"], "left_semi").select("doc_id", "toxic", "text")
 
 
-def _lists(words: pa.ChunkedArray, counts: pa.ChunkedArray, part: int = 1024) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def _lists(words: pa.ChunkedArray, counts: pa.ChunkedArray, part: int = 512) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The examples' terms, and for each term of each example (example, term, occurrences)."""
-    flat = pc.dictionary_encode(pc.list_flatten(words).combine_chunks()) if len(words) else pa.array([], pa.string()).dictionary_encode()
-    if isinstance(flat, pa.ChunkedArray):
-        flat = flat.combine_chunks()
-    names = flat.dictionary.to_pylist()
+    flat = pc.list_flatten(words).combine_chunks().dictionary_encode()
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
     number: dict[str, int] = {}
-    pairs = np.full((len(names), 2), -1, np.int64)
-    for i, w in enumerate(names):
-        for j, t in enumerate(terms_of(w)):
+    pairs = np.full((len(flat.dictionary), 2), -1, np.int32)
+    for i, w in enumerate(flat.dictionary):
+        for j, t in enumerate(terms_of(w.as_py())):
             pairs[i, j] = number.setdefault(t, len(number))
     code, n = flat.indices.to_numpy(zero_copy_only=False), pc.list_flatten(counts).to_numpy()
     size = pc.list_value_length(words).to_numpy()
     edge = np.concatenate(([0], np.cumsum(size)))
-    found = []
+    found = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))]
     for at in range(0, len(size), part):  # a part at a time, as its terms come several times over
         to = min(at + part, len(size))
         cut = slice(edge[at], edge[to])
-        example = np.repeat(np.arange(at, to), size[at:to])
         term = pairs[code[cut]]
-        keys = (example[:, None] * len(number) + term)[term >= 0]
+        keys = (np.repeat(np.arange(at, to), size[at:to])[:, None] * len(number) + term)[term >= 0]
         key, where = np.unique(keys, return_inverse=True)
-        found.append((key // len(number), key % len(number), np.bincount(where, np.repeat(n[cut], 2).reshape(-1, 2)[term >= 0], len(key))))
-    if not found:
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        found.append(((key // len(number)).astype(np.int32), (key % len(number)).astype(np.int32), np.bincount(where, np.repeat(n[cut], 2).reshape(-1, 2)[term >= 0], len(key)).astype(np.float32)))
     return list(number), *(np.concatenate(x) for x in zip(*found))
 
 
@@ -310,49 +303,56 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS,
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = _chosen(text, own, per_class, characters).mapInArrow(_examples, _EXAMPLE).toArrow().sort_by([("doc_id", "ascending"), ("family", "ascending")])
     label, family = got.column("toxic").to_numpy().astype(float), got.column("family").to_numpy()
+    ids = got.column("doc_id").to_numpy()
     terms, example, term, n = _lists(got.column("words"), got.column("counts"))
-    held = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the examples
-    counted = text.select("text").mapInArrow(_frequencies(held), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    where, many = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    del got
+    found = stage(terms_of_texts(docs, terms), "terms")
+    counted = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()
     df = np.zeros(len(terms))
-    df[where[where >= 0]] = many[where >= 0]
-    total = many[where < 0].sum()
+    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    total = found.count()
+    del counted
     factor = np.log((1 + total) / (1 + df))
     if relevance:
         names, group = np.unique(family, return_inverse=True)
         bad = np.zeros(len(names))
         np.maximum.at(bad, group, label)
-        pair = np.unique(term * max(len(names), 1) + group[example])
+        pair = np.unique(term.astype(np.int64) * max(len(names), 1) + group[example])
         m = np.bincount(pair // max(len(names), 1), minlength=len(terms)).astype(float)
         a = np.bincount(pair // max(len(names), 1), bad[pair % max(len(names), 1)], len(terms))
         f, f1 = float(len(names)), bad.sum()
+        del pair
         gap = np.maximum(np.abs(a * (f - f1) - (m - a) * f1) - f / 2, 0)
         chi2 = f * gap * gap / (max(f1, 1.0) * max(f - f1, 1.0) * m * np.maximum(f - m, 0.5))
         factor = factor * (chi2 + LEAST) / (chi2 + LEAST + relevance)
-    weight = (1 + np.log(n)) * factor[term]
+    weight = (1 + np.log(n.astype(float))) * factor[term]
+    del n
     length = np.sqrt(np.bincount(example, weight**2, len(label)))
     kept = weight > 0
     example, term, weight = example[kept], term[kept], weight[kept] / length[example[kept]]
     # Examples whose heaviest term is the same stand together, so that blocks differ in their terms; silent ones go.
-    heaviest = np.lexsort((term, -weight, example))
-    speaks, first = np.unique(example[heaviest], return_index=True)
-    order = speaks[np.argsort(term[heaviest][first], kind="stable")]
-    place = np.zeros(len(label), np.int64)
+    top = np.zeros(len(label))
+    np.maximum.at(top, example, weight)
+    heaviest = np.full(len(label), len(terms))
+    np.minimum.at(heaviest, example[weight == top[example]], term[weight == top[example]])
+    speaks = np.flatnonzero(heaviest < len(terms))
+    order = speaks[np.argsort(heaviest[speaks], kind="stable")]
+    place = np.zeros(len(label), np.int32)
     place[order] = np.arange(len(order))
-    by = np.lexsort((place[example], term))
+    at = place[example]
+    by = np.lexsort((at, term))
     ptr = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(terms)))))
     n1, n0 = label.sum(), len(label) - label.sum()
     share = np.where(label == 1, size.get(1, 0) / max(n1, 1), size.get(0, 0) / max(n0, 1))
     silent = np.setdiff1d(np.arange(len(label)), order)
     rate = (size.get(1, 0) + 0.5) / (sum(size.values()) + 1)
     none = (share[silent] @ label[silent] + rate) / (share[silent].sum() + 1)
-    model = Model(terms, factor, got.column("doc_id").to_numpy()[order], label[order], share[order], family[order], ptr, place[example][by].astype(np.int32), weight[by], float(none))
+    model = Model(terms, factor, ids[order], label[order], share[order], family[order], ptr, at[by], weight[by], float(none), found=found)
     if len(order):
-        own_terms = np.argsort(place[example], kind="stable")
-        edge = np.searchsorted(place[example][own_terms], np.arange(len(order) + 1))
-        vectors = [(term[own_terms[a:b]], weight[own_terms[a:b]]) for a, b in zip(edge, edge[1:])]
-        doc, at, score = model.nearest(vectors, model.family)
-        w = score * model.vote_weight[at]
+        own_terms = np.argsort(at, kind="stable")
+        edge = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(order)))))
+        doc, at, cosine = model.nearest(edge, term[own_terms], weight[own_terms], model.family)
+        w = cosine * model.vote_weight[at]
         total_w = np.bincount(doc, w, len(order))
         has = total_w > 0
         vote = np.bincount(doc, w * model.label[at], len(order))[has] / total_w[has]
@@ -368,23 +368,29 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     toxic examples among those without terms. Repeated rows are returned as often as they come, a null
     doc_id is kept, other columns are ignored; an empty table gives an empty result.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the examples
+    return score_terms(terms_of_texts(docs, model.terms), model, threshold)
+
+
+def score_terms(found: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``score`` of texts whose terms are found already: ``found(doc_id, terms, counts)``."""
+    held = found.sparkSession.sparkContext.broadcast(model)  # bounded by the examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            doc, place, cosine = model.nearest([model.vector(words_of(t)) for t in batch.column(1).to_pylist()])
+            edge = np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())))
+            doc, place, cosine = model.nearest(*model.vectors(edge, pc.list_flatten(batch.column(1)).to_numpy(), pc.list_flatten(batch.column(2)).to_numpy()))
             scores = model.probabilities(batch.num_rows, doc, place, cosine)
             evidence = pa.StructArray.from_arrays([pa.array(model.ids[place], pa.int64()), pa.array(cosine, pa.float64()), pa.array(model.label[place].astype(np.int32))], ["doc_id", "cosine", "toxic"])
-            edge = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), pa.ListArray.from_arrays(edge, evidence)], ["doc_id", "score", "predicted", "evidence"])
+            first = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), pa.ListArray.from_arrays(first, evidence)], ["doc_id", "score", "predicted", "evidence"])
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    small_batches(found.sparkSession)
+    return found.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels").where(fold() != 1).select("doc_id", "toxic"))
     nearest = F.get("evidence", F.lit(0))
-    return score(docs, model).select("doc_id", (fold() == 1).alias("held_out"), "score", "predicted", F.size("evidence").alias("n_neighbours"), nearest["doc_id"].alias("nearest_doc_id"), nearest["cosine"].alias("nearest_cosine"))
+    return score_terms(model.found, model).select("doc_id", (fold() == 1).alias("held_out"), "score", "predicted", F.size("evidence").alias("n_neighbours"), nearest["doc_id"].alias("nearest_doc_id"), nearest["cosine"].alias("nearest_cosine"))
