@@ -11,7 +11,7 @@ others alone, and with it every cut in a wide range finds all.)
 Examples stand in blocks. A term's inverted list that is long is held block by block with the largest weight in each
 block; a short one is read as a whole. A text's cosines with a block's examples are at most its sum over short lists
 plus the sum of the block's largest weights; blocks whose bound is below the k-th best cosine found so far hold no
-nearer example and are skipped, so the k nearest are exact (long lists in single precision). Votes are weighted by cosine and class, and a
+nearer example and are skipped, so the k nearest are exact (weights of examples have single precision). Votes are weighted by cosine and class, and a
 logistic curve fitted on the examples (their own near copies left out of the vote) makes them probabilities. The
 neighbours are the evidence.
 """
@@ -98,7 +98,7 @@ class Model:
         self.index()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("found", "row", "blocks", "most")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("found", "row", "blocks", "most", "both")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -115,6 +115,10 @@ class Model:
         for r, t in enumerate(long):
             at = self.place[self.ptr[t] : self.ptr[t + 1]]
             self.blocks[at // BLOCK, r, at % BLOCK] = self.weight[self.ptr[t] : self.ptr[t + 1]]
+        # Place and weight of an entry side by side, so that one look finds both.
+        both = np.empty((len(self.place), 2), np.int32)
+        both[:, 0], both[:, 1] = self.place, self.weight.view(np.int32)
+        self.both = both.view(np.int64).ravel()
         self.most = self.blocks.max(axis=2, initial=0.0).T.copy() * np.float32(1 + 1e-6)
 
     def vectors(self, edge: np.ndarray, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,15 +149,15 @@ class Model:
         n, blocks = len(edge) - 1, len(self.blocks)
         if not blocks:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(edge))
+        doc = np.repeat(np.arange(n), np.diff(edge))
         row = self.row[term]
         short = row < 0
         size = (self.ptr[term + 1] - self.ptr[term])[short]
-        entry = np.arange(size.sum()) + np.repeat(self.ptr[term[short]] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        where = self.place.take(entry)
-        where += np.repeat(doc[short] * np.int32(blocks * BLOCK), size)
-        value = self.weight.take(entry)
-        value *= np.repeat(q[short], size)
+        entry = np.arange(size.sum())
+        entry += np.repeat(self.ptr[term[short]] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        both = self.both.take(entry).view(np.int32).reshape(-1, 2)
+        where = both[:, 0] + np.repeat(doc[short] * (blocks * BLOCK), size)
+        value = both[:, 1].view(np.float32) * np.repeat(q[short], size)
         sums = np.bincount(where, value, n * blocks * BLOCK).astype(float, copy=False).reshape(n, blocks, BLOCK)
         if family is not None:
             own = np.full(blocks * BLOCK, -1, np.int64)
@@ -182,8 +186,10 @@ class Model:
         if blocks >= k:
             least = np.maximum(least, np.partition(partly, blocks - k, axis=1)[:, blocks - k])
         open_(~opened & (bound >= least[:, None] - 1e-5) & (bound > 0))
-        who, block, at = np.nonzero(opened[:, :, None] & (sums > 0) & (sums >= least[:, None, None]))
-        score, place = sums[who, block, at], block * BLOCK + at
+        who, block = np.nonzero(opened & (sums.max(axis=2) >= least[:, None]))
+        near = sums[who, block]
+        row, at = np.nonzero((near >= least[who, None]) & (near > 0))
+        who, score, place = who[row], near[row, at], block[row] * BLOCK + at
         order = np.lexsort((place, -score, who))
         who, place, score = who[order], place[order], score[order]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
@@ -347,7 +353,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS,
     silent = np.setdiff1d(np.arange(len(label)), order)
     rate = (size.get(1, 0) + 0.5) / (sum(size.values()) + 1)
     none = (share[silent] @ label[silent] + rate) / (share[silent].sum() + 1)
-    model = Model(terms, factor, ids[order], label[order], share[order], family[order], ptr, at[by], weight[by], float(none), found=found)
+    model = Model(terms, factor, ids[order], label[order], share[order], family[order], ptr, at[by], weight[by].astype(np.float32), float(none), found=found)
     if len(order):
         own_terms = np.argsort(at, kind="stable")
         edge = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(order)))))
