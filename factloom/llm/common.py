@@ -23,3 +23,31 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+def fresh(name: str, *taken: list[str]) -> str:
+    """A column name like ``name`` that none of the lists has, in any case."""
+    used = {c.lower() for cols in taken for c in cols}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+#: Elements of an array that are accumulated at a time.
+_RUN = 64
+
+
+def running(values: Column, most: bool = False) -> Column:
+    """The sums of an integer array's elements so far, or the largest so far, in time that follows its length: runs of
+    elements are accumulated by themselves, as each append copies what it appends to. ``values`` should be a column that
+    is there already, as it is read again for each run."""
+    step = (lambda a, x: F.greatest(a, x)) if most else (lambda a, x: a + x)
+    nothing = F.array().cast("array<int>")
+
+    def one(at: Column, run: Column) -> Column:
+        found = F.aggregate(F.slice(values, run * _RUN + 1, F.lit(_RUN)), F.array(at), lambda acc, x: F.array_append(acc, step(F.element_at(acc, -1), x)))
+        return F.slice(found, 2, F.size(found))
+
+    runs = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _RUN).cast("int"))
+    parts = F.aggregate(runs, F.array(nothing), lambda acc, run: F.array_append(acc, one(F.coalesce(F.try_element_at(F.element_at(acc, -1), F.lit(-1)), F.lit(0)), run)))
+    return F.when(F.size(values) > 0, F.flatten(parts)).otherwise(nothing)
