@@ -2,8 +2,9 @@
 product-quantised residuals, asymmetric distance tables, and exact reranking.
 
 Coarse centroids and the quantiser's codebooks are fitted on a bounded sample; every vector is indexed.
-How many lists a query probes is set from the same sample, so that the lists hold most true neighbours
-there: few lists for clustered vectors, many for vectors without structure.
+There are about as many lists as the square root of the number of vectors. How many of them a query probes is set from
+the same sample, so that the lists hold most true neighbours there: few lists for clustered vectors, many for vectors
+without structure.
 """
 
 from __future__ import annotations
@@ -20,21 +21,22 @@ from pyspark.sql import functions as F
 from factloom.llm.common import small_batches, table
 from factloom.scratch import stage
 
-#: Vectors that the index is fitted on, at most.
-SAMPLE = 20_000
+#: Vectors that the index is fitted on, at most, and of them for each list, at least.
+SAMPLE, PER_LIST = 65_536, 16
 #: Share of the sample's true neighbours that the probed lists must hold.
-REACH = 0.985
+REACH = 0.96
 #: Parts of a vector that are quantised by themselves, and code words for each.
 PARTS, WORDS = 16, 256
 #: Vectors of a list that one task searches; longer lists are dealt into several.
 BLOCK = 4096
 #: Vectors of each block that are reranked by their exact inner product, for each neighbour wanted.
-DEPTH = 5
+DEPTH = 3
+_FOUND = "array<struct<below:double,none:boolean,vec_id:long,rid:long>>"
 
 
 @dataclass
 class Index:
-    """What was fitted, and the table ``(list, part, vec_id, vec, code)`` of all vectors."""
+    """What was fitted, and the table ``(list, rid, vec_id, vec, code)`` of all vectors."""
 
     coarse: np.ndarray
     books: list[np.ndarray]
@@ -44,13 +46,11 @@ class Index:
 
 
 def valid(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """``(vec_id, vec)``: one row for each non-null vec_id whose vector is not null or zero and has only
-    finite components; of several vectors with one id the smallest, and of several lengths the most
-    frequent (then the largest) one."""
+    """``(rid, vec_id, vec)``, staged: the rows whose vector is not null or zero and has only finite components, each with a
+    number of its own."""
     vec = F.col(vector).cast("array<double>")
-    kept = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).where(F.col("vec_id").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
-    size = kept.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    return kept.where(F.size("vec") == (size[0].d if size else 0)).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    kept = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
+    return stage(kept.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "vec"), "vectors")
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -76,34 +76,37 @@ def _spans(d: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edge, edge[1:])]
 
 
+def _matrix(vec: pa.ListArray) -> np.ndarray:
+    return np.asarray(vec.flatten()).reshape(len(vec), -1)
+
+
 def _encode(coarse: np.ndarray, books: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            x = _matrix(batch.column(2))
             own = _nearest(x, coarse)
             rest = x - coarse[own]
             code = np.stack([_nearest(rest[:, s], b) for s, b in zip(_spans(x.shape[1]), books)], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *batch.columns, pa.array([c.tobytes() for c in code], pa.binary())], ["list", "vec_id", "vec", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *batch.columns, pa.array([c.tobytes() for c in code], pa.binary())], ["list", "rid", "vec_id", "vec", "code"])
 
     return run
 
 
-def build(vectors: DataFrame, k: int = 20, sample: int = SAMPLE, reach: float = REACH) -> Index | None:
-    """An index of ``vectors(vec_id, vec)``, all of one length; None if there is none.
+def build(rows: DataFrame, k: int = 20, sample: int = SAMPLE, reach: float = REACH) -> Index | None:
+    """An index of ``rows(rid, vec_id, vec)``, a staged table of vectors of one length; None if there is none.
 
-    The driver gets at most ``sample`` vectors, those with the smallest hashes of their ids, and a count
+    The driver gets at most ``sample`` vectors, those with the smallest hashes of their numbers, and a count
     for each list.
     """
-    small_batches(vectors.sparkSession, 4096)
-    rows = stage(vectors, "vectors")
+    small_batches(rows.sparkSession, 4096)
     total = rows.count()
     if not total:
         return None
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < min(1.0, 1.2 * sample / total) * (1 << 30)).orderBy(F.xxhash64("vec_id")).limit(sample)
-    x = np.array([r.vec for r in drawn.collect()])
-    coarse = _kmeans(x, max(1, min(4096, len(x) // 8, math.ceil(math.sqrt(total) / 4))), 10, 1)
+    drawn = rows.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < min(1.0, 1.2 * sample / total) * (1 << 30)).orderBy(F.xxhash64("rid")).limit(sample)
+    x = _matrix(drawn.select("vec").toArrow().column("vec").combine_chunks())
+    coarse = _kmeans(x, max(1, min(math.ceil(math.sqrt(total)), len(x) // PER_LIST)), 10, 1)
     own = _nearest(x, coarse)
     rest = x - coarse[own]
     books = [_kmeans(rest[:, s], WORDS, 8, 2 + i) for i, s in enumerate(_spans(x.shape[1]))]
@@ -111,14 +114,13 @@ def build(vectors: DataFrame, k: int = 20, sample: int = SAMPLE, reach: float =
     near = min(len(x) - 1, max(5, math.ceil(k * len(x) / total)))
     probes = len(coarse)
     if near > 0:
-        q = x[:: max(1, len(x) // 400)]
-        score = q @ x.T
-        score[np.arange(len(q)), np.arange(len(x))[:: max(1, len(x) // 400)]] = -np.inf
+        at = np.arange(0, len(x), max(1, len(x) // 400))
+        score = x[at] @ x.T
+        score[np.arange(len(at)), at] = -np.inf
         found = own[np.argpartition(-score, near - 1, axis=1)[:, :near]]
-        place = np.argsort(np.argsort(-(q @ coarse.T), axis=1), axis=1)
+        place = np.argsort(np.argsort(-(x[at] @ coarse.T), axis=1), axis=1)
         probes = int(np.quantile(np.take_along_axis(place, found, axis=1), reach, method="higher")) + 1
-    coded = rows.mapInArrow(_encode(coarse, books), "list int, vec_id long, vec array<double>, code binary")
-    indexed = stage(coded, "index")
+    indexed = stage(rows.mapInArrow(_encode(coarse, books), "list int, rid long, vec_id long, vec array<double>, code binary"), "index")
     parts = {r.list: -(-r.n // BLOCK) for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     return Index(coarse, books, probes, parts, indexed)
 
@@ -128,80 +130,85 @@ def _probe(coarse: np.ndarray, probes: int, parts: dict[int, int]):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 cut = batch.slice(at, 256)
-                x = np.asarray(cut.column(1).flatten()).reshape(cut.num_rows, -1)
-                best = np.argsort(-(x @ coarse.T), axis=1, kind="stable")[:, :probes]
+                best = np.argsort(-(_matrix(cut.column(1)) @ coarse.T), axis=1, kind="stable")[:, :probes]
                 where = [(i, int(c), p) for i, row in enumerate(best) for c in row for p in range(parts.get(int(c), 0))]
                 take = pa.array([w[0] for w in where], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([w[1] for w in where], pa.int32()), pa.array([w[2] for w in where], pa.int32()), cut.column(0).take(take), cut.column(1).take(take)], ["list", "part", "query_id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array([w[1] for w in where], pa.int32()), pa.array([w[2] for w in where], pa.int32()), cut.column(0).take(take), cut.column(1).take(take)], ["list", "part", "query", "vec"])
 
     return run
 
 
 def _search(coarse: np.ndarray, books: list[np.ndarray], k: int):
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "found": pa.array([], pa.list_(pa.struct([("below", pa.float64()), ("vec_id", pa.int64())])))})
+    entry = pa.struct([("below", pa.float64()), ("none", pa.bool_()), ("vec_id", pa.int64()), ("rid", pa.int64())])
+    empty = pa.table({"query": pa.array([], pa.int64()), "found": pa.array([], pa.list_(entry))})
 
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
         if not index.num_rows or not queries.num_rows:
             return empty
-        ids = index.column("vec_id").to_numpy()
-        order = np.argsort(ids)
-        ids = ids[order]
-        x = index.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
-        code = np.frombuffer(b"".join(index.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-        q_ids = queries.column("query_id").to_numpy()
-        q = queries.column("vec").combine_chunks().flatten().to_numpy().reshape(len(q_ids), -1)
-        centre = coarse[index.column("list")[0].as_py()]
-        spans, deep = _spans(x.shape[1]), min(len(ids), DEPTH * k)
-        out = []
+        # In the order of their ids, those without one last, so that equal products come in that order.
+        index = index.sort_by([("vec_id", "ascending"), ("rid", "ascending")])
+        ids, rid = index.column("vec_id").combine_chunks(), index.column("rid").to_numpy()
+        x = _matrix(index.column("vec").combine_chunks())
+        code = np.frombuffer(b"".join(index.column("code").to_pylist()), np.uint8).reshape(len(rid), -1)
+        query = queries.column("query").to_numpy()
+        q = _matrix(queries.column("vec").combine_chunks())
+        centre, spans, deep = coarse[index.column("list")[0].as_py()], _spans(x.shape[1]), min(len(rid), DEPTH * k)
+        picks, scores = [], []
         for at in range(0, len(q), 128):
             part = q[at : at + 128]
             # Asymmetric distance: a table of each query's products with all code words, summed by code.
-            rough = np.repeat((part @ centre)[:, None], len(ids), axis=1).astype(np.float32)
+            rough = np.repeat((part @ centre)[:, None], len(rid), axis=1).astype(np.float32)
             for j, (s, b) in enumerate(zip(spans, books)):
                 rough += (part[:, s] @ b.T).astype(np.float32)[:, code[:, j]]
-            own = np.searchsorted(ids, q_ids[at : at + 128]).clip(0, len(ids) - 1)
-            mine = ids[own] == q_ids[at : at + 128]
-            rough[np.flatnonzero(mine), own[mine]] = -np.inf
-            for i, row in enumerate(rough):
-                if deep < len(ids):
-                    edge = np.partition(row, len(row) - deep)[len(row) - deep]
-                    above = np.flatnonzero(row > edge)
-                    pick = np.concatenate((above, np.flatnonzero(row == edge)[: deep - len(above)]))
-                else:
-                    pick = np.arange(len(ids))
-                pick = pick[np.isfinite(row[pick])]
-                exact = (x[pick] * part[i]).sum(axis=1)
-                best = np.lexsort((ids[pick], -exact))[:k]
-                out.append([{"below": -float(exact[b]), "vec_id": int(ids[pick[b]])} for b in best])
-        return pa.table({"query_id": pa.array(q_ids, pa.int64()), "found": pa.array(out, empty.schema.field("found").type)})
+            own = rid[None, :] == query[at : at + 128, None]
+            rough[own] = -np.inf
+            pick = np.sort(np.argsort(-rough, axis=1, kind="stable")[:, :deep], axis=1)
+            exact = np.stack([(x[p] * v).sum(axis=1) for p, v in zip(pick, part)])
+            exact[np.take_along_axis(own, pick, axis=1)] = -np.inf
+            best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+            picks.append(np.take_along_axis(pick, best, axis=1))
+            scores.append(np.take_along_axis(exact, best, axis=1))
+        pick, score = np.concatenate(picks), np.concatenate(scores)
+        there = np.isfinite(score)
+        flat = pa.array(pick[there], pa.int64())
+        found = pa.StructArray.from_arrays([pa.array(-score[there]), ids.is_null().take(flat), ids.take(flat), pa.array(rid[pick[there]], pa.int64())], fields=list(entry))
+        edge = pa.array(np.concatenate(([0], np.cumsum(there.sum(axis=1)))), pa.int32())
+        return pa.table({"query": pa.array(query, pa.int64()), "found": pa.ListArray.from_arrays(edge, found)})
 
     return run
 
 
 def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for each row of ``queries(query_id, vec)`` the k vectors with
-    the largest inner products found, ties to the smaller vec_id; never the vector with the query's id.
+    """``(query_id, rank, vec_id, score)``: for each row of ``queries(rid, query_id, vec)`` the k rows with
+    the largest inner products found, ties to the smaller vec_id, null behind all; never the row of the query itself.
     Scores are exact, in double precision. Each pair of a list's block and the queries that probe it is one
     task's work; k results of each go on."""
     parts = F.create_map(*[F.lit(x) for item in index.parts.items() for x in item])
-    dealt = index.rows.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.get(F.array(parts[F.col("list")]), F.lit(0)).cast("long")).cast("int"))
-    asked = queries.mapInArrow(_probe(index.coarse, index.probes, index.parts), "list int, part int, query_id long, vec array<double>")
-    found = dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(_search(index.coarse, index.books, k), "query_id long, found array<struct<below:double,vec_id:long>>")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("best"))
-    each = best.select("query_id", F.posexplode("best").alias("at", "b"))
-    return each.select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", (-F.col("b.below")).alias("score"))
+    dealt = index.rows.withColumn("part", F.pmod(F.xxhash64("rid", F.lit(3)), F.get(F.array(parts[F.col("list")]), F.lit(0)).cast("long")).cast("int"))
+    asked = queries.select("rid", "vec").mapInArrow(_probe(index.coarse, index.probes, index.parts), "list int, part int, query long, vec array<double>")
+    found = dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(_search(index.coarse, index.books, k), f"query long, found {_FOUND}")
+    best = found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("best"))
+    each = best.select("query", F.posexplode("best").alias("at", "b"))
+    named = each.join(queries.select(F.col("rid").alias("query"), "query_id"), "query")
+    return named.select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", (-F.col("b.below")).alias("score"))
 
 
 def neighbours(rows: DataFrame, every: int = 20, k: int = 20, vector: str = "embedding") -> DataFrame:
     """The k nearest neighbours of each row whose vec_id is divisible by ``every``, among all other rows.
 
-    Vectors that are null or zero or hold null or non-finite components take no part, on either side, nor
-    do rows without vec_id; other columns are ignored; an empty table gives an empty result.
+    Vectors that are null or zero or hold null or non-finite components take no part, on either side. Rows are told apart
+    by themselves: rows that share a vec_id are candidates, and queries, each for itself, and rows without one are
+    candidates. Vectors of different lengths have no inner product, so each length has an index of its own. Other
+    columns are ignored; an empty table gives an empty result.
     """
-    index = build(valid(rows, vector), k)
-    if index is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(index, index.rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec"), k)
+    all_rows, out = valid(rows, vector), None
+    lengths = sorted(r.d for r in all_rows.select(F.size("vec").alias("d")).distinct().collect())
+    for d in lengths:
+        mine = all_rows.where(F.size("vec") == d)
+        index = build(mine, k)
+        found = search(index, index.rows.where(F.col("vec_id") % every == 0).select("rid", F.col("vec_id").alias("query_id"), "vec"), k)
+        out = found if out is None else out.unionByName(found)
+    return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
