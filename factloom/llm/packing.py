@@ -25,8 +25,8 @@ from factloom.scratch import checked_broadcast, stage
 CAPACITY = 2048
 END = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces of one length that are ranked in one task; more are dealt into several.
-RANKED = 20_000
+#: Pieces of one length that are ranked in one task, about; more are dealt into several.
+RANKED = 1000
 #: Distinct words that a Python worker keeps the ids of, as written, and as many plain ones: about 400 bytes each. They
 #: are in two generations: when one is full it becomes the old one, whose words are taken over when they come again,
 #: and the one before is dropped.
@@ -206,23 +206,29 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     result.
 
     What the driver gathers is a count for each length, so it is bounded by ``capacity``. A length that many
-    pieces share is ranked in several deals, each in one task; a deal's first rank is the sum of the counts of the
-    deals before it. Those counts go where the pieces already are.
+    pieces share is ranked in several deals, each in one task; pieces are dealt by the row that they stand in, so
+    copies are dealt out as evenly as others. A deal's first rank is the sum of the counts of the deals before it.
+    A piece's slot is found by halving in its length's sorted slots.
     """
     spark = docs.sparkSession
     cut = stage(pieces(docs, capacity, tokenizer, kept), "pieces")
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = plan(counts, capacity)
-    deals = F.broadcast(spark.createDataFrame([(k, -(-n // ranked)) for k, n in counts.items()], "length long, deals long"))
-    dealt = cut.join(deals, "length").withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("deals"))).drop("deals")
+    slots: dict[int, list[tuple[int, int, int, int]]] = {k: [] for k in counts}
+    for length, rank, _, sequence, place, each in plan(counts, capacity):
+        slots[length].append((rank, sequence, place, each))
+    rows = [(k, -(-n // ranked), sorted(slots[k])) for k, n in counts.items()]
+    side = F.broadcast(spark.createDataFrame(rows, "length long, deals long, slots array<struct<first:long,sequence:long,place:long,each:long>>"))
+    named = cut.select("*", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("row"))
+    dealt = named.join(side.select("length", "deals"), "length").withColumn("deal", F.pmod("row", F.col("deals"))).drop("deals")
     ahead = Window.partitionBy("length").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
     size = dealt.groupBy("length", "deal").agg(F.count("*").alias("n"))
     first = stage(size.select("length", "deal", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before")), "deals")
-    own = F.row_number().over(Window.partitionBy("length", "deal").orderBy("doc_id", "piece", "ids_crc32"))
+    own = F.row_number().over(Window.partitionBy("length", "deal").orderBy("row"))
     rank = dealt.withColumn("own", own).join(checked_broadcast(first), ["length", "deal"]).withColumn("rank", F.col("own") - 1 + F.col("before"))
-    room = F.broadcast(spark.createDataFrame(slots, "length long, slot long, many long, sequence long, place long, each long"))
-    found = rank.join(room, "length").where("rank >= slot and rank < slot + many").withColumn("step", F.col("rank") - F.col("slot"))
-    return found.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr("sequence + step div each").alias("sequence_id"), F.expr("place + step % each * length").alias("offset"))
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(max([len(x) for x in slots.values()], default=1).bit_length()))])
+    at = F.aggregate(halves, F.lit(0), lambda acc, step: acc + F.when(F.get("slots", acc + step)["first"] <= F.col("rank"), step).otherwise(0))
+    found = rank.join(side.select("length", "slots"), "length").withColumn("slot", F.get("slots", at)).withColumn("step", F.col("rank") - F.col("slot.first"))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr("slot.sequence + step div slot.each").alias("sequence_id"), F.expr("slot.place + step % slot.each * length").alias("offset"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
