@@ -13,16 +13,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.common import fold, small_batches, table
-from factloom.scratch import checked_broadcast, stage
+from factloom.scratch import stage
 
 DIMENSIONS = 1024
-#: Labelled documents per language that prototypes are bundled from, about; fewer if there are fewer.
-SAMPLE_PER_LANGUAGE = 2000
+#: Distinct labelled texts of each language that prototypes are bundled from, at most, and languages that are learned.
+SAMPLE_PER_LANGUAGE, LANGUAGES = 2000, 1000
 UNDETERMINED = "und"
 #: Code points below have letter vectors of their own; the rest share as many by hash.
 _OWN = 4096
@@ -102,14 +102,19 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Language names and their unit prototypes, from ``labelled(text, lang)``.
 
-    Prototypes come from a sample of about ``per_language`` documents of each language (all, if there
-    are fewer), taken by a hash of the text; the sample's size does not grow with the input. Rows whose
-    text or lang is null are left out. The driver receives a vector for each language.
+    Prototypes come from at most ``per_language`` distinct texts of each language, those with the smallest hashes, and
+    at most ``LANGUAGES`` languages, the most frequent ones (then by name), are learned; so the sample and what the
+    driver receives, a vector for each language, do not grow with the input. Rows whose text or lang is null are
+    left out.
     """
     small_batches(labelled.sparkSession)
-    known = labelled.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    share = stage(known.groupBy("lang").agg((per_language / F.count("*")).alias("share")), "languages")
-    sample = known.join(checked_broadcast(share, 10_000), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
+    known = labelled.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("texts")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    share = stage(counts.select("lang", (1.3 * (per_language + 20) / F.greatest("texts", F.lit(1))).alias("share")), "languages")
+    # Only hashes below a share of their range are ranked, so a frequent language is not gathered.
+    drawn = known.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    sample = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("lang", "text")
     rows = sample.mapInArrow(_bundles, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value")).collect()
     names = sorted({r.lang for r in rows})
     found = np.zeros((len(names), DIMENSIONS))
