@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import small_batches, table
@@ -71,31 +71,47 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+_NO_NODE = -(2**63)
+
+
 def _keyed(messages: DataFrame) -> DataFrame:
-    """``messages`` with a null tree as one of its own: ``none`` and a ``tree`` that is never null, for joins."""
-    return messages.withColumn("none", F.col("tree").isNull()).withColumn("tree", F.coalesce("tree", F.lit(0).cast(messages.schema["tree"].dataType)))
+    """``messages`` with keys that are never null, for joins: ``none`` marks those of the null tree, and a null node has a
+    number of its own. Of rows that share tree and node one stays, the first by their other columns."""
+    own = [c for c in ("parent", "role", "text", "score") if c in messages.columns]
+    named = messages.select(F.col("tree").isNull().alias("none"), F.coalesce("tree", F.lit(0).cast(messages.schema["tree"].dataType)).alias("tree"), F.coalesce(F.col("node").cast("long"), F.lit(_NO_NODE)).alias("node"), F.struct(*own).alias("m"))
+    return named.groupBy("none", "tree", "node").agg(F.min("m").alias("m")).select("none", "tree", "node", "m.*")
+
+
+def _tree() -> Column:
+    return F.when(~F.col("none"), F.col("tree")).alias("tree")
+
+
+def _node(name: str) -> Column:
+    return F.when(F.col(name) != _NO_NODE, F.col(name)).alias(name)
 
 
-def paths(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
+def paths(messages: DataFrame) -> DataFrame:
     """``(tree, leaf, node, up)`` for every message on every root-to-leaf path of ``messages(tree, node,
     parent)``; ``up`` counts the steps from the leaf.
 
     A message whose parent is null or missing is a root. Messages that are their own ancestors, and those
-    below them, have no root: they raise an error. (tree, node) must be unique; messages whose tree is null
-    are one tree.
+    below them, have no root: they raise an error. Rows that share tree and node are one message, the first of them by
+    parent, role, text and score; messages whose tree is null are one tree, and one without a node is never answered.
     """
-    return _paths(_keyed(messages), most_rounds).select(F.when(~F.col("none"), F.col("tree")).alias("tree"), "leaf", "node", "up")
+    return _paths(_keyed(messages)).select(_tree(), _node("leaf"), _node("node"), "up")
 
 
-def _paths(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
+def _paths(messages: DataFrame) -> DataFrame:
     """``paths`` of keyed messages, with ``none``."""
-    nodes = messages.select("none", "tree", "node")
-    up = messages.where("parent is not null").select("none", "tree", "node", F.col("parent").alias("top"))
+    nodes = stage(messages.select("none", "tree", "node", "parent"), "nodes")
+    total = nodes.count()
+    up = nodes.where("parent is not null").select("none", "tree", "node", F.col("parent").cast("long").alias("top"))
+    nodes = nodes.drop("parent")
     jump = stage(up.join(nodes.withColumnRenamed("node", "top"), ["none", "tree", "top"], "left_semi").select("none", "tree", "node", "top"), "jump")
     leaves = nodes.join(jump.select("none", "tree", F.col("top").alias("node")).distinct(), ["none", "tree", "node"], "left_anti")
     jumps = []
     while not jump.isEmpty():
-        if len(jumps) == most_rounds or (len(jumps) > 1 and 2 ** len(jumps) > 2 * nodes.count()):
+        if 2 ** len(jumps) > total:
             raise ValueError("messages answer each other in a circle")
         jumps.append(jump)
         over = jump.select("none", "tree", F.col("node").alias("top"), F.col("top").alias("next"))
@@ -122,16 +138,16 @@ def conversations(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     all) of ``messages(tree, node, parent, role, text, score)``.
 
     A path's score is the mean of its messages' scores, nulls counting as 0; ties go to the smaller leaf.
-    Null roles and texts are empty; messages whose tree is null are one tree. Other columns are ignored; an empty table gives an empty result. A
-    path is gathered in one row, as its conversation is one text.
+    Null roles and texts are empty, and keys are read as ``paths`` reads them, so repeated rows count once. Other columns
+    are ignored; an empty table gives an empty result. A path is gathered in one row, as its conversation is one text.
     """
     small_batches(messages.sparkSession, 500)
-    keyed = _keyed(messages)
+    keyed = stage(_keyed(messages), "messages")
     full = _paths(keyed).join(keyed.select("none", "tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")), ["none", "tree", "node"])
     each = full.groupBy("none", "tree", "leaf").agg(F.avg("score").alias("score"), F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text")).alias("turns"))
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("none", "tree").orderBy(F.desc("score"), "leaf")))
     kept = ranked if branches is None else ranked.where(F.col("rank") <= branches)
-    return kept.select(F.when(~F.col("none"), F.col("tree")).alias("tree"), "leaf", "rank", F.array_sort("turns").alias("turns")).mapInArrow(_render, "tree long, leaf long, rank int, formatted string, loss_spans array<struct<start:long,stop:long>>")
+    return kept.select(_tree(), _node("leaf"), "rank", F.array_sort("turns").alias("turns")).mapInArrow(_render, "tree long, leaf long, rank int, formatted string, loss_spans array<struct<start:long,stop:long>>")
 
 
 def from_turns(rows: DataFrame) -> DataFrame:
