@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table
+from factloom.llm.common import fresh, table
 from factloom.scratch import BROADCAST_ROWS, small, stage
 
 WINDOW, SHARE = 5, 0.8
@@ -183,10 +183,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose own text is contaminated. The keys to remove are broadcast while they
-    are counted to be few."""
-    keys = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")), "contaminated")
+    are counted to be few; columns may have any names."""
+    own, digest = fresh("_id", docs.columns), fresh("_digest", docs.columns)
+    keys = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias(own), F.col("digest").alias(digest)), "contaminated")
     side = F.broadcast(keys) if small(keys) else keys
-    same = docs.doc_id.cast("long").eqNullSafe(F.col("__id")) & (_digest(docs.text) == F.col("__digest"))
+    same = docs.doc_id.cast("long").eqNullSafe(F.col(own)) & (_digest(docs.text) == F.col(digest))
     return docs.join(side, same, "left_anti")
 
 
