@@ -99,10 +99,36 @@ def test_language_of_awkward_rows(spark):
     rows = langid.predict(docs(spark, AWKWARD), names, prototypes).collect()
     und = sorted(r.doc_id for r in rows if r.lang_pred == "und")
     assert len(rows) == len(AWKWARD) and und == [1, 2, 3] and all(0 <= r.score <= 1 for r in rows)
+    copies = spark.createDataFrame([("mille fois", "fr")] * 300 + [(f"text {i}", "en") for i in range(300)], "text string, lang string")
+    assert langid.fit(copies, per_language=50)[0] == ["en", "fr"]
     none = langid.predict(docs(spark, [(1, "abc")]), [], np.zeros((0, langid.DIMENSIONS), np.float32)).collect()
     assert none[0].lang_pred == "und"
 
 
+def test_language_against_brute_force(spark):
+    """Prototypes and cosines by loops over the trigrams."""
+    first, second, third = langid._letter_vectors(langid.DIMENSIONS)
+    number = lambda c: int(langid._letter_ids()[ord(c)])
+
+    def bundle(text):
+        letters = [0] + [number(c) for c in re.sub(r"[^a-z]+", "\n", text.lower())] + [0]
+        letters = [x for k, x in enumerate(letters) if x or not k or letters[k - 1]]
+        out = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(letters, letters[1:], letters[2:]):
+            out += first[a].astype(float) * second[b] * third[c]
+        return out / (np.linalg.norm(out) or 1)
+
+    rng = random.Random(6)
+    make = lambda bits: " ".join("".join(rng.choice(bits) for _ in range(3)) for _ in range(30))
+    train = [(make(["ka", "to", "mi"]), "x") for _ in range(20)] + [(make(["sch", "ung", "ei"]), "y") for _ in range(20)]
+    asked = [(i, make(["ka", "to", "mi"] if i % 2 else ["sch", "ung", "ei"])) for i in range(10)]
+    names, prototypes = langid.fit(spark.createDataFrame(train, "text string, lang string"))
+    want = {k: sum(bundle(t) for t, lang in train if lang == k) for k in "xy"}
+    for r in langid.predict(docs(spark, asked), names, prototypes).collect():
+        cosine = {k: bundle(r.text) @ v / np.linalg.norm(v) for k, v in want.items()}
+        assert r.lang_pred == max(cosine, key=cosine.get) == ("x" if r.doc_id % 2 else "y") and abs(r.score - cosine[r.lang_pred]) < 1e-4
+
+
 # Secrets
 
 
@@ -116,20 +142,47 @@ def plain_base(text):
 
 def test_secrets(spark):
     key, live = "AKIA" + "Q" * 3 + "1234567890ABC", "ghp_" + "a1B2c3D4e5F6g7H8i9J0"
-    rows = [(1, f"😀 password = hunter22 and {key}", "a"), (2, "token: abc token: abcdef secret: token: abcdefgh", "a"), (3, f"{live} {'0f' * 15}", "b"), (4, f"Api_Key='{'9' * 8}'", "c"), *[(10 + i, "token=EXAMPLEKEY12345", f"o{i}") for i in range(4)], *[(100 + k, r[1]) for k, r in enumerate(AWKWARD)]]
+    rows = [(1, f"😀 password = hunter22 and {key}", "a"), (2, "token: abc token: abcdef secret: token: abcdefgh", "a"), (3, f"{live} {'0f' * 15}", "b"), (4, f"Api_Key='{'9' * 8}'", "c"), *[(10 + i, f"{i}: token=changemechangeme", f"o{i}") for i in range(4)], *[(20 + i, f"{i}, token=s3cR3t-K3y-0f-4ll", f"o{i}") for i in range(4)], *[(30 + i, "passwd: copiedcopied", f"o{i}") for i in range(4)], *[(100 + k, r[1]) for k, r in enumerate(AWKWARD)]]
     found = {}
     for r in secrets.scan(docs(spark, rows)).collect():
         found.setdefault(r.doc_id, []).append(r.secrets)
     for i, text, *_ in rows:
         got = [(s.start, s.ord, s.stop, s.kind) for s in found[i][0] if s.ord < 3]
         assert got == plain_base(text), text
-    assert [s["class"] for s in found[11][0]] == ["example"] and found[11][0][0].n_owners == 4
+    assert [s["class"] for s in found[11][0]] == ["example"] and found[11][0][0].n_owners == found[11][0][0].n_repositories == 4
+    assert [(s["class"], s.n_owners, s.n_repositories) for s in found[31][0]] == [("shared", 1, 4)]  # copies of one text
     assert any(s.kind == "prefixed" and s["class"] == "live" for s in found[3][0])
     clean = {r.doc_id: r for r in secrets.redact(docs(spark, rows)).collect()}
     assert "hunter22" not in clean[1].text and clean[1].n_chars == len(clean[1].text) and clean[1].kind == "x"
-    assert clean[11].text == "token=EXAMPLEKEY12345" and clean[4].text.startswith("Api_Key='[SECRET]")
+    assert clean[11].text == "1: token=changemechangeme" and clean[21].text == "1, token=[SECRET]" and clean[31].text == "passwd: [SECRET]" and clean[4].text.startswith("Api_Key='[SECRET]")
     assert len(secrets.redact(docs(spark, rows)).collect()) == len(rows)
     assert secrets.scan(docs(spark, [])).count() == 0
+    names = spark.createDataFrame([(1, "token=abcdefgh", 2, 3, 4, 5)], "doc_id long, text string, _id int, _digest int, _new int, _blocks int")
+    assert tuple(secrets.redact(names).first()) == (1, "token=[SECRET]", 2, 3, 4, 5)
+
+
+def test_secrets_in_overlapping_places(spark):
+    hexa = "0123456789abcdef" * 2
+    text = f"é token='{hexa}' and {hexa}, secret=AKIA{'Z' * 16}{'9' * 8}; " + "x" * 1020 + f" passwd:{'w' * 3000} end"
+    clean = secrets.redact(docs(spark, [(1, text)])).first()
+    assert clean.text == f"é token='[SECRET]' and [SECRET], secret=[SECRET]; " + "x" * 1020 + " passwd:[SECRET] end" and clean.n_chars == len(clean.text)
+
+
+def test_secrets_take_time_in_proportion_to_length(spark):
+    import time
+
+    def seconds(text):
+        began = time.perf_counter()
+        out = secrets.redact(docs(spark, [(1, text)])).first().text
+        return time.perf_counter() - began, out
+
+    many = "".join(f"token=a{i:07d} " for i in range(60_000))  # 0.9 MB of secrets
+    runs = "eyJ" * 330_000
+    seconds(many[:1500])
+    took, out = seconds(many)
+    assert out == "token=[SECRET] " * 60_000 and took < 60
+    took, out = seconds(runs)
+    assert took < 30
 
 
 # Decontamination
@@ -256,6 +309,15 @@ def test_urls(spark):
     assert urlfilter.judge(pages, listed).count() == len(urls) and urlfilter.judge(pages.limit(0), listed).count() == 0
 
 
+def test_a_long_list_is_exact_in_parts(spark):
+    keys = spark.range(1_250_000).select(F.concat(F.lit("h"), "id", F.lit(".test")).alias("key"), (F.col("id") % 5 > 0).alias("listed"))
+    pages = keys.select(F.xxhash64("key").alias("page_id"), F.concat(F.lit("x://"), "key", F.lit("/p")).alias("url"))
+    for most in (urlfilter.MOST_BITS, 1 << 20):
+        got = urlfilter.judge(pages, keys.where("listed").select("key"), most_bits=most)
+        wrong = got.select(F.col("host").alias("key"), "verdict").join(keys, "key").where((F.col("verdict") == "block") != F.col("listed"))
+        assert wrong.count() == 0
+
+
 # Chat
 
 
@@ -283,6 +345,21 @@ def test_reply_trees(spark):
         chat.paths(spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "tree long, node long, parent long"))
 
 
+def test_repeated_and_unnumbered_messages(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 0.1), (1, 3, 2, "user", "b", 0.1)] * 2 + [(1, 2, 1, "assistant", "z", 9.0), (2, None, None, "user", "alone", 0.0), (2, None, None, "user", "alone", 0.0), (None, 1, None, "user", "x", None)]
+    m = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = {(r.tree, r.leaf): chat.parse(r.formatted) for r in chat.conversations(m, branches=None).collect()}
+    assert got == {(1, 3): [("user", "q"), ("assistant", "a"), ("user", "b")], (2, None): [("user", "alone")], (None, 1): [("user", "x")]}
+
+
+def test_a_long_reply_tree(spark):
+    n = 3000
+    rows = [(7, i, i - 1 if i else None, "user" if i % 2 == 0 else "assistant", f"{i} " + "y" * 200, 0.0) for i in range(n)] + [(7, n, 5, "assistant", "x" * 300_000, 5.0)]
+    m = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = {r.leaf: chat.parse(r.formatted) for r in chat.conversations(m, branches=2).collect()}
+    assert len(got[n - 1]) == n and len(got[n]) == 7 and got[n][-1] == ("assistant", "x" * 300_000)
+
+
 def test_turns_without_a_conversation(spark, tmp_path):
     rows = [(None, 0, "user", "who"), (None, 1, "assistant", "nobody"), (0, 0, "user", "zero"), (0, 1, "assistant", None), (None, 2, None, "end")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
@@ -301,24 +378,42 @@ def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 32))
     x[200:500] = x[0]
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(2000, None, 0), (2020, [0.0] * 32, 0), (2040, [float("nan")] * 32, 0), (2060, [1.0], 0), (None, x[1].tolist(), 0), (0, x[0].tolist(), 1)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(2000, None, 0), (2020, [0.0] * 32, 0), (2040, [float("nan")] * 32, 0), (2060, [1.0], 0), (2080, [2.0], 0), (2081, [-3.0], 0), (None, x[1].tolist(), 0), (0, (2 * x[0]).tolist(), 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {}
     for r in ann.neighbours(df).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert set(got) == set(range(0, 1500, 20))
+    assert set(got) == {*range(0, 1500, 20), 2060, 2080}
+    assert got[2060] == [(2080, 2.0), (2081, -3.0)] and got[2080] == [(2060, 2.0), (2081, -6.0)]
+    whole = np.concatenate((x, [x[1], 2 * x[0]]))
+    ids = [*range(1500), None, 0]
     hit = 0
-    for q, found in got.items():
-        s = x @ x[q]
+    for q in range(20, 1500, 20):
+        s = whole @ x[q]
         s[q] = -np.inf
-        best = np.lexsort((np.arange(len(s)), -s))[:20]
-        assert len(found) == 20 and all(abs(s[i] - v) < 1e-9 for i, v in found)
-        hit += np.sum([v >= s[best[-1]] - 1e-9 for _, v in found])
-    assert hit / (20 * len(got)) >= 0.9
-    assert [i for i, _ in got[0]] == list(range(200, 220))
+        best = np.sort(s)[::-1][:20]
+        assert len(got[q]) == 20 and all(any(i == j and abs(v - t) < 1e-9 for j, t in zip(ids, s)) for i, v in got[q])
+        hit += np.sum([v >= best[-1] - 1e-9 for _, v in got[q]])
+    assert hit / (20 * len(range(20, 1500, 20))) >= 0.9
+    # Two rows have the id 0 and both are asked; each finds the other, and then the copies by their ids.
+    assert len(got[0]) == 40 and sorted(i for i, _ in got[0])[:2] == [0, 0] and {*range(200, 219)} <= {i for i, _ in got[0]}
     assert ann.neighbours(df.limit(0)).count() == 0
 
 
+def test_lists_prune_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(60, 32)) * 3
+    x = centre[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 32))
+    rows = ann.valid(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    index = ann.build(rows)
+    assert len(index.coarse) == 78 and index.probes < len(index.coarse) / 4
+    found = ann.search(index, index.rows.where("vec_id % 20 = 0").selectExpr("rid", "vec_id query_id", "vec")).collect()
+    s = x[::20] @ x.T
+    s[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert sum(r.vec_id in best[r.query_id // 20] for r in found) / best.size >= 0.9
+
+
 # Toxicity
 
 
@@ -386,8 +481,8 @@ def test_toxicity_against_brute_force(spark, monkeypatch, relevance, long_lists)
         cosine = sorted((sum(x * e.get(t, 0) for t, x in v.items()) for e, _ in examples), reverse=True)
         exact = {d: sum(x * e.get(t, 0) for t, x in v.items()) for e, d in examples}
         want = [c for c in cosine[: toxicity.NEIGHBOURS] if c > 1e-12]
-        assert [e.cosine for e in got[i].evidence] == pytest.approx(want, abs=1e-9), i
-        assert all(abs(exact[e.doc_id] - e.cosine) < 1e-9 and e.toxic == (e.doc_id % 4 == 0) for e in got[i].evidence)
+        assert [e.cosine for e in got[i].evidence] == pytest.approx(want, abs=1e-6), i
+        assert all(abs(exact[e.doc_id] - e.cosine) < 1e-6 and e.toxic == (e.doc_id % 4 == 0) for e in got[i].evidence)
     if relevance:
         assert np.mean([got[i].predicted == (i % 4 == 0) for i in range(300, 400)]) > 0.97
         assert all(got[i].predicted == 0 for i, _ in odd)
