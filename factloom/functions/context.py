@@ -11,8 +11,10 @@ SAME, DIFFERENT, OVERLAPPING, UNKNOWN = "same", "different", "overlapping", "unk
 
 # Fixed values.
 RELATIVE = ("current period", "current year", "current quarter", "this year", "previous year", "prior year", "last year", "preceding year", "previous period", "prior period", "year ago", "corresponding period", "to date", "ytd", "year to date")
-MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-SHORT_MONTHS = (("jan", 1), ("feb", 2), ("mar", 3), ("apr", 4), ("jun", 6), ("jul", 7), ("aug", 8), ("sep", 9), ("sept", 9), ("oct", 10), ("nov", 11), ("dec", 12))
+MONTHS = (
+    ("january", 1), ("february", 2), ("march", 3), ("april", 4), ("may", 5), ("june", 6), ("july", 7), ("august", 8), ("september", 9), ("october", 10), ("november", 11), ("december", 12),
+    ("jan", 1), ("feb", 2), ("mar", 3), ("apr", 4), ("jun", 6), ("jul", 7), ("aug", 8), ("sep", 9), ("sept", 9), ("oct", 10), ("nov", 11), ("dec", 12),
+)
 SCOPE_STOP = ("the", "a", "an", "of", "for", "in", "on", "at", "to", "and", "or", "is", "as", "by", "with", "from", "basis", "level")
 AXES = (
     ("scope", ("consolidated", "group"), ("standalone", "separate", "company", "entity")),
@@ -36,9 +38,8 @@ def _period(label: Column, kind: str, **parts: Column) -> Column:
 
 
 def _month(tail: Column) -> Column:
-    names = [*((m, i + 1) for i, m in enumerate(MONTHS)), *SHORT_MONTHS]
-    found = F.regexp_extract(tail, rf"(?U)\b({'|'.join(m for m, _ in names)})\b", 1)
-    return F.get(F.array(*[F.lit(n) for _, n in names]), F.array_position(F.array(*[F.lit(m) for m, _ in names]), found).cast("int") - 1)
+    found = F.regexp_extract(tail, rf"(?U)\b({'|'.join(m for m, _ in MONTHS)})\b", 1)
+    return F.get(F.array(*[F.lit(n) for _, n in MONTHS]), F.array_position(F.array(*[F.lit(m) for m, _ in MONTHS]), found).cast("int") - 1)
 
 
 def _dated(label: Column, s: Column, kind: str, marker: str) -> tuple[Column, Column]:
@@ -118,15 +119,16 @@ def describe_period(p: Column) -> Column:
 
 def compare_parsed_periods(a: Column, b: Column) -> Column:
     """F13 over parsed periods."""
-    return let(a, lambda x: let(b, lambda y: _related(x, y)))
+    return let(a, lambda x: let(b, lambda y: related(x, y, describe_period(x), describe_period(y))))
 
 
-def _related(a: Column, b: Column) -> Column:
+def related(a: Column, b: Column, name_a: Column, name_b: Column) -> Column:
+    """F13 over parsed periods and their names, all columns that are there already."""
 
     def says(relation: str, *detail: Column | str) -> Column:
         return F.struct(F.lit(relation).alias("relation"), F.coalesce(F.concat(*[F.lit(d) if isinstance(d, str) else d for d in detail]), F.lit("")).alias("detail"))
 
-    both = (describe_period(a), F.lit(" and "), describe_period(b))
+    both = (name_a, F.lit(" and "), name_b)
 
     def within(p: Column) -> Column:
         return F.coalesce(((p["kind"] == "quarter") & p["quarter"].isNotNull()) | ((p["kind"] == "half_year") & p["half"].isNotNull()), F.lit(False))
@@ -142,21 +144,21 @@ def _related(a: Column, b: Column) -> Column:
             ((a["kind"] == "relative") | (b["kind"] == "relative"), says(UNKNOWN, "a period depends on an unstated date: ", *both)),
             (a["year"].isNull() | b["year"].isNull(), says(UNKNOWN, "a period has no year")),
             (a["year"] != b["year"], says(DIFFERENT, "periods differ: ", *both)),
-            (sub_a & sub_b & one_kind & part, says(SAME, "both cover ", describe_period(a))),
+            (sub_a & sub_b & one_kind & part, says(SAME, "both cover ", name_a)),
             (sub_a & sub_b & one_kind, says(DIFFERENT, "parts of the year differ: ", *both)),
             (sub_a | sub_b, says(OVERLAPPING, "one is a part of the other: ", *both)),
             ((fiscal_a & (b["kind"] == "calendar_year")) | (fiscal_b & (a["kind"] == "calendar_year")), says(OVERLAPPING, "a fiscal and a calendar year share a number: ", *both)),
             (dated & ~(a["month"].eqNullSafe(b["month"]) & a["day"].eqNullSafe(b["day"])), says(DIFFERENT, "dates differ: ", *both)),
-            (dated & one_kind, says(SAME, "both are dated ", describe_period(a))),
+            (dated & one_kind, says(SAME, "both are dated ", name_a)),
             (dated, says(OVERLAPPING, "a balance on a date and a period that ends on it: ", *both)),
         ],
-        says(SAME, "both cover ", describe_period(a)),
+        says(SAME, "both cover ", name_a),
     )
 
 
-def compare_periods(a: Column | str, b: Column | str) -> Column:
+def compare_periods(a: Column | str, b: Column | str, compat: bool = False) -> Column:
     """struct (relation, detail)."""
-    return compare_parsed_periods(parse_period(a), parse_period(b))
+    return compare_parsed_periods(parse_period(a, compat), parse_period(b, compat))
 
 
 def scope_tokens(text: Column | str) -> Column:
@@ -165,23 +167,30 @@ def scope_tokens(text: Column | str) -> Column:
     return F.array_distinct(F.filter(F.split(s, r"(?U)\W+"), lambda w: (F.length(w) > 2) & ~w.isin(*SCOPE_STOP)))
 
 
+def scope_sides(tokens: Column) -> Column:
+    """The sides of the axes that the words name, as bits: two for each axis."""
+    words = [side for _, *sides in AXES for side in sides]
+    return sum((F.when(F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in side])), 1 << i).otherwise(0) for i, side in enumerate(words)), F.lit(0))
+
+
 def compare_scopes(a: Column | str, b: Column | str) -> Column:
     """struct (relation, detail, dimension). All axes are tried for contrast before any for synonyms."""
     ra, rb = ((F.col(c) if isinstance(c, str) else c).cast("string") for c in (a, b))
-    return let(scope_tokens(a), lambda x: let(scope_tokens(b), lambda y: _scoped(x, y, ra, rb)))
+    return let(scope_tokens(a), lambda x: let(scope_tokens(b), lambda y: let(scope_sides(x), lambda sx: let(scope_sides(y), lambda sy: scoped(x, y, sx, sy, ra, rb)))))
 
 
-def _scoped(x: Column, y: Column, ra: Column, rb: Column) -> Column:
+def scoped(x: Column, y: Column, sx: Column, sy: Column, ra: Column, rb: Column) -> Column:
+    """F15 over the words and sides of both scopes, all columns that are there already."""
 
     def says(relation: str, dimension: str, detail: str) -> Column:
         told = F.concat(F.lit(detail + ": "), F.coalesce(ra, F.lit("none")), F.lit(" and "), F.coalesce(rb, F.lit("none")))
         return F.struct(F.lit(relation).alias("relation"), told.alias("detail"), F.lit(dimension).alias("dimension"))
 
-    def has(t: Column, words: tuple[str, ...]) -> Column:
-        return F.arrays_overlap(t, F.array(*[F.lit(w) for w in words]))
+    def has(s: Column, bit: int) -> Column:
+        return s.bitwiseAND(F.lit(1 << bit)) != 0
 
-    contrast = [((has(x, left) & has(y, right)) | (has(x, right) & has(y, left)), says(DIFFERENT, dim, f"opposite {dim}")) for dim, left, right in AXES]
-    synonyms = [(has(x, side) & has(y, side), says(SAME, dim, f"two names of one {dim}")) for dim, *sides in AXES for side in sides]
+    contrast = [((has(sx, 2 * i) & has(sy, 2 * i + 1)) | (has(sx, 2 * i + 1) & has(sy, 2 * i)), says(DIFFERENT, dim, f"opposite {dim}")) for i, (dim, *_) in enumerate(AXES)]
+    synonyms = [(has(sx, 2 * i + k) & has(sy, 2 * i + k), says(SAME, dim, f"two names of one {dim}")) for i, (dim, *_) in enumerate(AXES) for k in (0, 1)]
     return first_of(
         [
             ((F.size(x) == 0) | (F.size(y) == 0), says(UNKNOWN, "scope", "a scope is missing")),

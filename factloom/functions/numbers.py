@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-SCALES = (("crores", 1e7), ("thousand", 1e3), ("billion", 1e9), ("million", 1e6), ("crore", 1e7), ("lakhs", 1e5), ("lakh", 1e5), ("lac", 1e5), ("cr", 1e7), ("bn", 1e9), ("mn", 1e6))
+SCALES = (("crore", 1e7), ("crores", 1e7), ("cr", 1e7), ("lakh", 1e5), ("lakhs", 1e5), ("lac", 1e5), ("billion", 1e9), ("bn", 1e9), ("million", 1e6), ("mn", 1e6), ("thousand", 1e3))
 PERCENT = ("%", "percent", "percentage", "pct", "percentage points", "pp", "bps")
-CURRENCIES = (("inr", ("rupees", "rupee", "rs.", "inr", "rs", "₹")), ("usd", ("dollars", "dollar", "usd", "$")), ("eur", ("euros", "eur", "€")), ("gbp", ("pounds", "gbp", "£")))
+CURRENCIES = (("inr", ("₹", "rs", "rs.", "inr", "rupee", "rupees")), ("usd", ("$", "usd", "dollar", "dollars")), ("eur", ("€", "eur", "euros")), ("gbp", ("£", "gbp", "pounds")))
 PAREN_NUMBER = r"\(\s*-?\d[\d.,]*\d?\s*%?\s*\)"
 #: A number ends on a digit; the compatible form also takes a separator behind it.
 NUMBER, NUMBER_COMPAT = r"-?\d(?:[\d.,]*\d)?", r"-?\d[\d.,]*\d?"
@@ -47,29 +47,25 @@ def parse_locale_number(text: Column | str) -> Column:
     With both separators the later one is the decimal point; a repeated separator groups thousands; a
     single comma groups thousands and a single point is decimal.
     """
-    return let(strip(_s(text)), lambda s: let(F.regexp_replace(s, r"^[+-]+", ""), lambda body: _locale_number(s, body)))
+    return _locale_number(F.trim(strip(_s(text))))
 
 
-def _locale_number(s: Column, body: Column) -> Column:
-    commas = F.length(body) - F.length(F.replace(body, F.lit(","), F.lit("")))
-    dots = F.length(body) - F.length(F.replace(body, F.lit("."), F.lit("")))
-    no_commas, no_dots = F.translate(body, ",", ""), F.translate(body, ".", "")
-    last_is_comma = body.rlike(r",[^.,]*$")
-    plain = first_of([((dots > 0) & (commas > 0) & last_is_comma, F.translate(no_dots, ",", ".")), ((commas == 0) & (dots > 1), no_dots)], no_commas)
-    number = F.when(plain.rlike(r"^(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain).try_cast("double")
-    return F.when(s.startswith("-"), -number).otherwise(number)
+def _locale_number(s: Column) -> Column:
+    """Of a text without white space at its ends. (It is short, so looking at it again costs less than a lambda.)"""
+    comma, dot = s.contains(","), s.contains(".")
+    # A point is dropped and a comma becomes the point; points alone are dropped if there are several; else commas are.
+    plain = first_of([(comma & dot & s.rlike(r",[^.,]*$"), F.translate(s, ",.", ".")), (~comma & s.rlike(r"\..*\."), F.translate(s, ".", ""))], F.translate(s, ",", ""))
+    return F.when(plain.rlike(r"^[+-]*(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.regexp_replace(plain, r"^[+-]+", "").try_cast("double") * F.when(s.startswith("-"), -1.0).otherwise(1.0))
 
 
 def number_tokens(text: Column | str, compat: bool = False) -> Column:
     """numbers of a text; those in parentheses first, as negatives, then the others in order."""
     plain = NUMBER_COMPAT if compat else NUMBER
-    return let(F.coalesce(_s(text), F.lit("")), lambda s: _tokens(s, plain))
-
-
-def _tokens(s: Column, plain: str) -> Column:
-    inside = F.transform(F.regexp_extract_all(s, F.lit(PAREN_NUMBER), F.lit(0)), lambda t: -F.abs(parse_locale_number(F.regexp_extract(t, plain, 0))))
-    outside = F.transform(F.regexp_extract_all(F.regexp_replace(s, PAREN_NUMBER, "("), F.lit(plain), F.lit(0)), lambda t: parse_locale_number(t))
-    return F.filter(F.concat(inside, outside), lambda x: x.isNotNull())
+    s = F.coalesce(_s(text), F.lit(""))
+    outside = lambda s: F.transform(F.regexp_extract_all(s, F.lit(plain), F.lit(0)), _locale_number)
+    inside = F.transform(F.regexp_extract_all(s, F.lit(PAREN_NUMBER), F.lit(0)), lambda t: -F.abs(_locale_number(F.regexp_extract(t, plain, 0))))
+    both = F.concat(inside, outside(F.regexp_replace(s, PAREN_NUMBER, "(")))
+    return F.array_compact(F.when(s.contains("("), both).otherwise(outside(s)))
 
 
 def _bare(unit: Column) -> Column:
@@ -120,10 +116,11 @@ def normalize_unit(value: Column | str, unit: Column | str) -> Column:
 
 def compare_normalized(na: Column, nb: Column, va: Column, vb: Column, tolerance_pct: float = TOLERANCE_PCT) -> Column:
     """F6 over values that are normalised already; see ``compare_values``."""
-    return let(na, lambda x: let(nb, lambda y: _compared(x, y, va, vb, tolerance_pct)))
+    return let(na, lambda x: let(nb, lambda y: compared(x, y, va, vb, tolerance_pct)))
 
 
-def _compared(na: Column, nb: Column, va: Column, vb: Column, tolerance_pct: float) -> Column:
+def compared(na: Column, nb: Column, va: Column, vb: Column, tolerance_pct: float = TOLERANCE_PCT) -> Column:
+    """F6 over normalised values that are columns already."""
     a, b = na["value"], nb["value"]
     comparable = F.coalesce(na["base_unit"] == nb["base_unit"], F.lit(False))
     high, low = F.greatest(F.abs(a), F.abs(b)), F.least(F.abs(a), F.abs(b))

@@ -38,10 +38,11 @@ def adjudicate(llm: Column, comparison: Column, period: Column, scope: Column, c
     ``caveat`` is null if both values are evidenced. The first rule that fits decides.
     """
     given = F.struct(llm.alias("llm"), comparison.alias("comparison"), period.alias("period"), scope.alias("scope"), caveat.alias("caveat"), both_numeric.alias("both_numeric"), (slice_a if slice_a is not None else F.lit(None).cast("string")).alias("slice_a"), (slice_b if slice_b is not None else F.lit(None).cast("string")).alias("slice_b"))
-    return let(given, lambda g: let(_decide(g["llm"], g["comparison"], g["period"], g["scope"], g["caveat"], g["both_numeric"]), lambda chosen: _result(chosen, g)))
+    return let(given, lambda g: let(decide(g["llm"], g["comparison"], g["period"], g["scope"], g["caveat"], g["both_numeric"]), lambda chosen: result(chosen, g)))
 
 
-def _decide(llm: Column, comparison: Column, period: Column, scope: Column, caveat: Column, both_numeric: Column) -> Column:
+def decide(llm: Column, comparison: Column, period: Column, scope: Column, caveat: Column, both_numeric: Column) -> Column:
+    """The first rule that fits."""
     proposal = llm["relation_type"]
     comparable, suspect = F.coalesce(comparison["comparable"], F.lit(False)), F.coalesce(comparison["magnitude_suspect"], F.lit(False))
     trusted = comparable & ~suspect & caveat.isNull()
@@ -71,7 +72,8 @@ def _decide(llm: Column, comparison: Column, period: Column, scope: Column, cave
     )
 
 
-def _result(chosen: Column, g: Column) -> Column:
+def result(chosen: Column, g: Column | dict[str, Column]) -> Column:
+    """The relation, its source, confidence and explanation from what ``decide`` chose."""
     llm, comparison, period, scope = g["llm"], g["comparison"], g["period"], g["scope"]
     proposal, suspect = llm["relation_type"], F.coalesce(comparison["magnitude_suspect"], F.lit(False))
     checked = chosen["decision_source"] != UNCHECKED

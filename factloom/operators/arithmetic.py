@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.context import parse_period
-from factloom.functions.numbers import first_of, let, normalize_unit, power_of_ten, strip
+from factloom.functions.numbers import first_of, let, power_of_ten, strip
+from factloom.operators.compare import once, scaled, with_units
+from factloom.scratch import stage
 
 # Fixed values.
 TOLERANCE_PCT, SMALL_PART_PCT, LEAST_GROUP, MOST_GROUP = 0.5, 5.0, 3, 60
@@ -23,10 +25,10 @@ class Arithmetic:
     summary: DataFrame
 
 
-def period_key(text: Column | str) -> Column:
+def period_key(text: Column | str, compat: bool = False) -> Column:
     """The period's kind and numbers, or its own text if it has no year."""
     raw = F.col(text) if isinstance(text, str) else text
-    return let(parse_period(raw), lambda p: _period_key(p, raw))
+    return let(parse_period(raw, compat), lambda p: _period_key(p, raw))
 
 
 def _period_key(p: Column, raw: Column) -> Column:
@@ -34,12 +36,13 @@ def _period_key(p: Column, raw: Column) -> Column:
     return F.when(p["year"].isNotNull(), F.concat_ws(":", p["kind"], number(p["year"]), number(p["quarter"]), number(p["half"]))).otherwise(F.lower(strip(F.coalesce(raw.cast("string"), F.lit("")))))
 
 
-def grouped(facts: DataFrame) -> DataFrame:
+def grouped(facts: DataFrame, compat: bool = False) -> DataFrame:
     """Evidenced facts with a value and a unit that is no percentage: ``(id, statement, unit, v,
     base_unit, period, scope_key)``."""
     status = F.coalesce(F.col("evidence_status"), F.lit(""))
-    n = normalize_unit("value_numeric", "unit")
-    kept = facts.where(~status.isin("ungrounded", "quote_grounded")).select("id", "statement", "unit", n.alias("n"), period_key("time_period").alias("period"), F.lower(strip(F.coalesce("scope", F.lit("")))).alias("scope_key"))
+    own = facts.where(~status.isin("ungrounded", "quote_grounded")).select("id", "statement", "unit", "value_numeric", "time_period", F.lower(strip(F.coalesce("scope", F.lit("")))).alias("scope_key"))
+    read = once(with_units(own, _u="unit"), {"period": "time_period"}, lambda t: period_key(t, compat), "period-keys")
+    kept = read.withColumn("n", scaled(F.col("value_numeric"), F.col("_u")))
     return kept.where(F.col("n").isNotNull() & (F.col("n.base_unit") != "%") & (F.col("n.value") != 0)).select("id", "statement", "unit", F.col("n.value").alias("v"), F.col("n.base_unit").alias("base_unit"), "period", "scope_key")
 
 
@@ -51,7 +54,7 @@ def _once(found: DataFrame) -> DataFrame:
     return found.withColumn("_key", key).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_key", "_n")
 
 
-def check_arithmetic(facts: DataFrame, tolerance_pct: float = TOLERANCE_PCT) -> Arithmetic:
+def check_arithmetic(facts: DataFrame, tolerance_pct: float = TOLERANCE_PCT, compat: bool = False) -> Arithmetic:
     """Triples a + b = c inside groups of one base unit, period and scope.
 
     A group's first 60 facts by id take part, so it has at most 102,660 triples; they meet in joins on the
@@ -59,10 +62,12 @@ def check_arithmetic(facts: DataFrame, tolerance_pct: float = TOLERANCE_PCT) ->
     not all written alike is a scale anomaly.
     """
     key = ["base_unit", "period", "scope_key"]
-    each = grouped(facts).withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("id")))
+    each = stage(grouped(facts, compat), "grouped")
     sizes = each.groupBy(*key).agg(F.count("*").alias("size"))
     summary = sizes.agg(F.count_if(F.col("size") >= LEAST_GROUP).alias("groups_checked"), F.count_if(F.col("size") > MOST_GROUP).alias("groups_truncated"), F.coalesce(F.sum("size"), F.lit(0)).alias("facts_considered"))
-    kept = each.where(F.col("i") <= MOST_GROUP).select(*key, F.struct("i", "id", "statement", "unit", "v").alias("f"))
+    # Only the first rows of a group pass each task's limit, so a large group is never gathered.
+    first = each.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where(F.col("i") <= MOST_GROUP)
+    kept = stage(first.select(*key, F.struct("i", "id", "statement", "unit", "v").alias("f")), "first-of-groups")
     a, b, c = (kept.withColumnRenamed("f", n) for n in "abc")
     pairs = a.join(b, key).where("a.i < b.i and a.v + b.v <> 0")
     gap = F.abs(F.col("a.v") + F.col("b.v") - F.col("c.v"))

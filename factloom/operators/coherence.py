@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.numbers import compare_values, first_of
+from factloom.functions.numbers import first_of
+from factloom.operators.compare import compare_pairs
+from factloom.scratch import checked_broadcast, stage
 
 EQUAL, NOT = "E", "N"
 UNVERIFIED = ("ungrounded", "quote_grounded")
@@ -43,9 +45,9 @@ def claim_edges(rels: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     keep = facts.select("id", "value_numeric", "unit", "evidence_status")
     x = keep.select(F.col("id").alias("lo"), F.struct("value_numeric", "unit", "evidence_status").alias("x"))
     y = keep.select(F.col("id").alias("hi"), F.struct("value_numeric", "unit", "evidence_status").alias("y"))
-    cmp = compare_values(F.col("x.value_numeric"), F.col("x.unit"), F.col("y.value_numeric"), F.col("y.unit"))
     weak = F.coalesce(F.col("x.evidence_status").isin(*UNVERIFIED), F.lit(False)) | F.coalesce(F.col("y.evidence_status").isin(*UNVERIFIED), F.lit(False))
-    both = one.join(x, "lo", "left").join(y, "hi", "left").withColumn("cmp", cmp)
+    joined = one.join(x, "lo", "left").join(y, "hi", "left")
+    both = compare_pairs(stage(joined, "claims"), *[{"value": F.col(f"{s}.value_numeric"), "unit": F.col(f"{s}.unit")} for s in "xy"]).withColumnRenamed("comparison", "cmp")
     refuted = F.col("x").isNotNull() & F.col("y").isNotNull() & ~weak & F.col("cmp.comparable") & ~F.col("cmp.magnitude_suspect") & ((F.col("kind") == EQUAL) != F.col("cmp.agree"))
     return both.withColumn("refuted", F.coalesce(refuted, F.lit(False))).select("lo", "hi", "id", "relation_type", "kind", "conf", "source", "refuted")
 
@@ -119,8 +121,8 @@ def implicated_edges(bad: DataFrame) -> DataFrame:
 def check_coherence(rels: DataFrame, facts: DataFrame | None = None, infer: bool = True) -> Coherence:
     """G1: the whole check. ``rels`` has (id, fact_id_a, fact_id_b, relation_type, confidence[,
     decision_source]); without ``facts`` no edge is refuted by values."""
-    edges = claim_edges(rels, facts)
-    found = triangles(edges)
+    edges = stage(claim_edges(rels, facts), "claim-edges")
+    found = stage(triangles(edges), "triangles")
     bad = violations(found)
     hit = implicated_edges(bad)
     guessed = inferences(edges, hit) if infer else None
@@ -149,7 +151,7 @@ def touching(result: DataFrame, facts: DataFrame, document_id: int, nodes: tuple
 def enrich(result: DataFrame, facts: DataFrame, documents: DataFrame, nodes: tuple[str, ...] = ("a", "b", "c")) -> DataFrame:
     """Each node as a struct of (id, statement, value, unit, document_name, page_number); only the id if
     the fact is missing."""
-    named = facts.join(F.broadcast(documents.select(F.col("id").alias("document_id"), "original_name")), "document_id", "left")
+    named = facts.join(checked_broadcast(documents.select(F.col("id").alias("document_id"), "original_name")), "document_id", "left")
     for n in nodes:
         told = named.select(F.col("id").alias("_id"), F.struct("statement", "value", "unit", F.col("original_name").alias("document_name"), "page_number").alias("_f"))
         result = result.join(told, result[n] == told["_id"], "left").withColumn(n, F.struct(F.col(n).alias("id"), F.col("_f.statement").alias("statement"), F.col("_f.value").alias("value"), F.col("_f.unit").alias("unit"), F.col("_f.document_name").alias("document_name"), F.col("_f.page_number").alias("page_number"))).drop("_id", "_f")

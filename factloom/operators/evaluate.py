@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.context import compare_periods, compare_scopes
 from factloom.functions.evidence import evidence_caveat
-from factloom.functions.numbers import compare_values, first_of
-from factloom.operators.adjudicate import CONFIRMED, OVERRIDE, adjudicate
+from factloom.functions.numbers import first_of
+from factloom.operators.adjudicate import CONFIRMED, OVERRIDE
+from factloom.operators.compare import adjudicate_pairs, compare_pairs
 
 LEAST_SUPPORT = 3
 CATEGORIES = (("contradicts", "CONTRADICTION"), ("reconciled", "CONTEXTUAL_RECONCILIATION"), ("related_but_not_comparable", "RELATED_NOT_COMPARABLE"), ("insufficient_context", "INSUFFICIENT_CONTEXT"), ("unrelated", "UNRELATED"))
@@ -69,9 +69,9 @@ def binary(rows: DataFrame, expected: str, predicted: str) -> DataFrame:
 def run_override_cases(cases: DataFrame) -> DataFrame:
     """``cases(id, fact_a, fact_b, llm)`` adjudicated: adds ``adj``. Facts are structs, ``llm`` the proposal."""
     a, b = F.col("fact_a"), F.col("fact_b")
-    cmp = compare_values(a["value_numeric"], a["unit"], b["value_numeric"], b["unit"])
-    adj = adjudicate(F.col("llm"), F.col("_c"), F.col("_p"), F.col("_s"), evidence_caveat(a["evidence_status"], b["evidence_status"]), a["value_numeric"].isNotNull() & b["value_numeric"].isNotNull())
-    return cases.withColumn("_c", cmp).withColumn("_p", compare_periods(a["time_period"], b["time_period"])).withColumn("_s", compare_scopes(a["scope"], b["scope"])).withColumn("adj", adj).drop("_c", "_p", "_s")
+    sides = [{"value": x["value_numeric"], "unit": x["unit"], "time_period": x["time_period"], "scope": x["scope"]} for x in (a, b)]
+    both = a["value_numeric"].isNotNull() & b["value_numeric"].isNotNull()
+    return adjudicate_pairs(compare_pairs(cases, *sides), F.col("llm"), evidence_caveat(a["evidence_status"], b["evidence_status"]), both).drop("comparison", "period", "scope")
 
 
 def root_cause(results: DataFrame) -> DataFrame:
@@ -93,8 +93,10 @@ def root_cause(results: DataFrame) -> DataFrame:
 
 
 def failures_by_cause(results: DataFrame) -> DataFrame:
-    """``(root_cause, n, ids)``, the most frequent first. The evaluation set is small and of fixed size."""
-    return root_cause(results).groupBy("root_cause").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids")).orderBy(F.desc("n"), "root_cause")
+    """``(root_cause, n, ids)``, the most frequent first; ``ids`` are the 20 smallest."""
+    wrong = root_cause(results)
+    first = wrong.withColumn("_n", F.row_number().over(Window.partitionBy("root_cause").orderBy("id"))).where("_n <= 20").groupBy("root_cause").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return wrong.groupBy("root_cause").agg(F.count("*").alias("n")).join(first, "root_cause").select("root_cause", "n", "ids").orderBy(F.desc("n"), "root_cause")
 
 
 def override_accounting(results: DataFrame) -> DataFrame:

@@ -13,12 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.context import compare_periods, compare_scopes
 from factloom.functions.evidence import evidence_caveat, relation
-from factloom.functions.numbers import compare_values
 from factloom.functions.text import PAIR_FIELDS, hash_text, pair_signature
-from factloom.operators.adjudicate import OVERRIDE, STORED, adjudicate, score_pair
-from factloom.scratch import checked_broadcast
+from factloom.operators.adjudicate import OVERRIDE, STORED, score_pair
+from factloom.operators.compare import adjudicate_pairs, compare_pairs
+from factloom.scratch import checked_broadcast, stage
 from factloom.session import reach
 
 TOP_K = 4
@@ -125,14 +124,14 @@ def classify(pairs: DataFrame, judgments: DataFrame) -> DataFrame:
     adjudicating only decide for the rest. A proposal that is missing is uncertain.
     """
     ordered = in_order(pairs)
-    told = judgments.dropDuplicates(["pair_hash"])
+    told = judgments.groupBy("pair_hash").agg(F.min(F.struct(*[c for c in judgments.columns if c != "pair_hash"])).alias("j")).select("pair_hash", "j.*")
     known = ordered.join(told, "pair_hash", "left").withColumn("same_metric", F.coalesce("same_metric", F.lit(False)))
     a, b = F.col("a"), F.col("b")
-    compared = known.withColumn("comparison", compare_values(a["value_numeric"], a["unit"], b["value_numeric"], b["unit"])).withColumn("period", compare_periods(a["time_period"], b["time_period"])).withColumn("scope", compare_scopes(a["scope"], b["scope"]))
+    sides = [{"value": x["value_numeric"], "unit": x["unit"], "time_period": x["time_period"], "scope": x["scope"]} for x in (a, b)]
+    compared = compare_pairs(stage(known, "judged"), *sides)
     llm = F.struct(relation("relation_type").alias("relation_type"), F.col("explanation"), F.col("reconciliation_context"), F.col("confidence"))
     both = a["value_numeric"].isNotNull() & b["value_numeric"].isNotNull()
-    adj = adjudicate(llm, F.col("comparison"), F.col("period"), F.col("scope"), evidence_caveat(a["evidence_status"], b["evidence_status"]), both, F.col("slice_a"), F.col("slice_b"))
-    judged = compared.withColumn("adj", F.when(F.col("same_metric"), adj))
+    judged = adjudicate_pairs(compared, llm, evidence_caveat(a["evidence_status"], b["evidence_status"]), both, F.col("slice_a"), F.col("slice_b")).withColumn("adj", F.when(F.col("same_metric"), F.col("adj")))
     final = F.coalesce(F.col("adj.relation_type"), F.lit("unrelated"))
     return judged.withColumn("final_relation", final).drop("reason", "relation_type", "explanation", "reconciliation_context", "confidence", "slice_a", "slice_b")
 
@@ -189,6 +188,7 @@ def judge(pairs: DataFrame, judgments: DataFrame, ask) -> DataFrame:
 def recall_at_k(pairs: DataFrame, embeddings: DataFrame, ks: tuple[int, ...] = (4, 8, 16, 32)) -> DataFrame:
     """``(k, pairs, hits, recall)``: how many stored pairs (fact_id_a, fact_id_b) have b among the
     k nearest of a."""
+    pairs = stage(pairs, "pairs")  # it is read three times
     probes = embeddings.join(checked_broadcast(pairs.select(F.col("fact_id_a").alias("id")).distinct()), "id", "left_semi")
     near = top_k_similar(probes, embeddings, max(ks)).select(F.col("id").alias("fact_id_a"), F.col("other_id").alias("fact_id_b"), "rank")
     found = pairs.join(near, ["fact_id_a", "fact_id_b"], "left")

@@ -5,51 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.context import OVERLAPPING, compare_parsed_periods, describe_period, parse_period
-from factloom.functions.numbers import normalize_unit, strip
+from factloom.functions.context import OVERLAPPING, related
+from factloom.functions.numbers import strip
+from factloom.operators.compare import scaled, with_periods, with_units
 from factloom.operators.graph import components
+from factloom.scratch import stage
 
 CHAINS = ("corroborates", "reconciled")
 
 
-def chain_edges(facts: DataFrame, rels: DataFrame) -> DataFrame:
+def chain_edges(facts: DataFrame, rels: DataFrame, compat: bool = False) -> DataFrame:
     """``(a, b)`` of edges that carry a metric on: both facts exist, their periods do not overlap, and
     both or neither are parts of a year."""
-    p = facts.select("id", parse_period("time_period").alias("p"))
+    p = stage(with_periods(facts.select("id", "time_period"), compat, p="time_period").select("id", "p"), "fact-periods")
     x, y = p.select(F.col("id").alias("fact_id_a"), F.col("p").alias("x")), p.select(F.col("id").alias("fact_id_b"), F.col("p").alias("y"))
     both = rels.where(F.col("relation_type").isin(*CHAINS)).select("fact_id_a", "fact_id_b").join(x, "fact_id_a").join(y, "fact_id_b")
-    part = lambda q: F.coalesce(F.col(f"{q}.kind").isin("quarter", "half_year"), F.lit(False))
-    return both.where((compare_parsed_periods(F.col("x"), F.col("y"))["relation"] != OVERLAPPING) & (part("x") == part("y"))).select(F.col("fact_id_a").alias("a"), F.col("fact_id_b").alias("b"))
+    part = lambda q: F.coalesce(F.col(f"{q}.period.kind").isin("quarter", "half_year"), F.lit(False))
+    told = related(F.col("x.period"), F.col("y.period"), F.col("x.name"), F.col("y.name"))["relation"]
+    return both.where((told != OVERLAPPING) & (part("x") == part("y"))).select(F.col("fact_id_a").alias("a"), F.col("fact_id_b").alias("b"))
 
 
-def points(facts: DataFrame, rels: DataFrame, least: int = 2) -> DataFrame:
+def points(facts: DataFrame, rels: DataFrame, least: int = 2, compat: bool = False) -> DataFrame:
     """``(timeline, fact_id, document_id, period_label, year, half, quarter, value, base_unit,
     scope_used, pct_change, n_points)``; ``timeline`` is the smallest fact id of its component.
 
     Of facts on one period the first of the preferred scope stands, else the first; the preferred scope and
     the unit are the most frequent ones, ties to the smaller name. Components and points below ``least``
-    are dropped at each step.
+    are dropped at each step. All windows are over a timeline, whose points one task holds.
     """
-    member = components(chain_edges(facts, rels)).withColumnRenamed("component", "timeline")
-    dated = member.join(facts.select(F.col("id").alias("node"), "document_id", "scope", parse_period("time_period").alias("p"), normalize_unit("value_numeric", "unit").alias("n")), "node")
-    dated = dated.where(F.col("p.year").isNotNull() & (F.col("p.kind") != "relative") & F.col("n").isNotNull()).select("timeline", F.col("node").alias("fact_id"), "document_id", describe_period(F.col("p")).alias("period_label"), F.col("p.year").alias("year"), F.coalesce("p.half", F.lit(0)).alias("half"), F.coalesce("p.quarter", F.lit(0)).alias("quarter"), F.col("n.value").alias("value"), F.col("n.base_unit").alias("base_unit"), F.lower(strip(F.coalesce("scope", F.lit("")))).alias("scope_key"))
+    member = components(chain_edges(facts, rels, compat)).withColumnRenamed("component", "timeline")
+    own = member.join(facts.select(F.col("id").alias("node"), "document_id", "scope", "time_period", F.col("value_numeric").alias("v"), "unit"), "node")
+    dated = with_units(with_periods(stage(own, "members"), compat, p="time_period"), u="unit").withColumn("n", scaled(F.col("v"), F.col("u")))
+    p = F.col("p.period")
+    dated = dated.where(p["year"].isNotNull() & (p["kind"] != "relative") & F.col("n").isNotNull()).select("timeline", F.col("node").alias("fact_id"), "document_id", F.col("p.name").alias("period_label"), p["year"].alias("year"), F.coalesce(p["half"], F.lit(0)).alias("half"), F.coalesce(p["quarter"], F.lit(0)).alias("quarter"), F.col("n.value").alias("value"), F.col("n.base_unit").alias("base_unit"), F.lower(strip(F.coalesce("scope", F.lit("")))).alias("scope_key"))
+
+    line = Window.partitionBy("timeline")
 
     def enough(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("timeline").agg(F.count("*").alias("_c")).where(F.col("_c") >= least).select("timeline"), "timeline", "left_semi")
+        return rows.withColumn("_c", F.count("*").over(line)).where(F.col("_c") >= least).drop("_c")
 
-    def mode(rows: DataFrame, column: str, name: str) -> DataFrame:
-        counted = rows.groupBy("timeline", column).agg(F.count("*").alias("c"))
-        return counted.groupBy("timeline").agg(F.min(F.struct((-F.col("c")).alias("c"), F.col(column).alias("v")))["v"].alias(name))
+    def mode(rows: DataFrame, column: str, name: str, empty: bool) -> DataFrame:
+        """The most frequent value of the timeline, without the empty one unless it counts."""
+        many = F.count("*").over(Window.partitionBy("timeline", column))
+        named = F.lit(True) if empty else F.col(column) != ""
+        return rows.withColumn("_m", F.when(named, F.struct((-many).alias("c"), F.col(column).alias("v")))).withColumn(name, F.min("_m").over(line)["v"]).drop("_m")
 
-    dated = enough(dated)
-    scoped = dated.join(mode(dated.where("scope_key <> ''"), "scope_key", "scope_used"), "timeline", "left")
+    scoped = mode(enough(dated), "scope_key", "scope_used", False)
     first = Window.partitionBy("timeline", "year", "half", "quarter").orderBy(F.desc(F.coalesce(F.col("scope_key") == F.col("scope_used"), F.lit(False))), "fact_id")
     single = enough(scoped.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
-    one_unit = enough(single.join(mode(single, "base_unit", "_unit"), "timeline").where(F.col("base_unit") == F.col("_unit")).drop("_unit"))
-    time = Window.partitionBy("timeline").orderBy("year", "half", "quarter")
+    one_unit = enough(mode(single, "base_unit", "_unit", True).where(F.col("base_unit") == F.col("_unit")).drop("_unit"))
+    time = line.orderBy("year", "half", "quarter")
     before = F.lag("value").over(time)
     change = F.when(before != 0, F.round((F.col("value") - before) / F.abs(before) * 100, 2))
-    return one_unit.withColumn("pct_change", change).withColumn("n_points", F.count("*").over(Window.partitionBy("timeline"))).select("timeline", "fact_id", "document_id", "period_label", "year", "half", "quarter", "value", "base_unit", "scope_used", "pct_change", "n_points")
+    return one_unit.withColumn("pct_change", change).withColumn("n_points", F.count("*").over(line)).select("timeline", "fact_id", "document_id", "period_label", "year", "half", "quarter", "value", "base_unit", "scope_used", "pct_change", "n_points")
 
 
 def timelines(found: DataFrame, facts: DataFrame, rels: DataFrame) -> DataFrame:

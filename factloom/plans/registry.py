@@ -11,18 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.context import compare_periods, compare_scopes, describe_period, parse_period
+from factloom.functions.context import compare_scopes
 from factloom.functions.evidence import check_evidence, confidence, grounded, relation, same_metric
-from factloom.functions.numbers import compare_values, normalize_unit, number_tokens, numeric_fallback, parse_locale_number, power_of_ten
+from factloom.functions.numbers import compare_values, number_tokens, numeric_fallback, parse_locale_number, power_of_ten
 from factloom.functions.text import entity_similarity, hash_text, jaccard, search
 from factloom.operators import evaluate
-from factloom.operators.adjudicate import STORED, adjudicate, score_pair
+from factloom.operators.adjudicate import STORED, score_pair
 from factloom.operators.arithmetic import check_arithmetic
+from factloom.operators.compare import adjudicate_pairs, compare_pairs, scaled, with_periods, with_units
 from factloom.operators.coherence import check_coherence, claim_edges, implicated_edges
 from factloom.operators.graph import components
 from factloom.operators.priority import level_counts, score_facts, score_relationships
 from factloom.operators.relate import recall_at_k, top_k_similar, unordered_pairs
 from factloom.operators.timeline import points
+from factloom.scratch import stage
 from factloom.sources import layout, store
 from factloom.sources.pages import chunks, page_context, select_pages
 from factloom.streaming.ingest import windowed_events
@@ -73,8 +75,8 @@ _UNITS = ("INR Crore", "Rs. million", "US dollars", "bps", "lakh", "Mn Tons", "h
 
 @query("f5_normalize_unit")
 def _(spark, sf):
-    n = normalize_unit("o_totalprice", pick(F.col("o_orderkey"), *_UNITS))
-    return t(spark, sf, "orders").select("o_orderkey", n["value"].alias("value"), n["base_unit"].alias("base_unit"))
+    n = scaled(F.col("o_totalprice"), F.col("u"))
+    return with_units(t(spark, sf, "orders"), u=pick(F.col("o_orderkey"), *_UNITS)).select("o_orderkey", n["value"].alias("value"), n["base_unit"].alias("base_unit"))
 
 
 @query("f6_compare_values")
@@ -114,15 +116,17 @@ def _labels() -> Column:
 
 @query("f10_parse_period")
 def _(spark, sf):
-    p = parse_period(_labels())
-    return t(spark, sf, "orders").select("o_orderkey", p["kind"].alias("kind"), *[p[c].cast("long").alias(c) for c in ("year", "quarter", "half", "month", "day")], F.when(p.isNotNull() & (p["kind"] == "quarter"), describe_period(p)).alias("quarter_name"))
+    p = F.col("p.period")
+    rows = with_periods(t(spark, sf, "orders"), p=_labels())
+    return rows.select("o_orderkey", p["kind"].alias("kind"), *[p[c].cast("long").alias(c) for c in ("year", "quarter", "half", "month", "day")], F.when(p["kind"] == "quarter", F.col("p.name")).alias("quarter_name"))
 
 
 @query("f13_compare_periods")
 def _(spark, sf):
     y = F.year("o_orderdate")
     b = pick(F.col("o_orderkey"), F.concat(F.lit("FY"), (y - 1).cast("string"), F.lit("-"), y.cast("string")), F.concat(F.lit("FY"), (y + 1).cast("string")), y.cast("string"), F.concat(F.lit("Q2 "), y.cast("string")), "last year", None)
-    return t(spark, sf, "orders").select("o_orderkey", compare_periods(F.concat(F.lit("FY"), y.cast("string")), b)["relation"].alias("relation"))
+    rows = compare_pairs(t(spark, sf, "orders"), {"time_period": F.concat(F.lit("FY"), y.cast("string"))}, {"time_period": b})
+    return rows.select("o_orderkey", "period.relation")
 
 
 _SCOPES_A = ("Consolidated", "standalone basis", "gross actual", "segment: north", None)
@@ -218,12 +222,12 @@ def _order_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("x_adjudicate")
 def _(spark, sf):
-    p = _order_pairs(spark, sf)
-    cmp = compare_values("o_totalprice", F.lit("USD"), "recomputed", "unit_b")
+    p = stage(_order_pairs(spark, sf), "order-pairs")  # its texts are read by themselves
     llm = F.struct(F.lit("corroborates").alias("relation_type"), F.lit("they look alike").alias("explanation"), F.lit(None).cast("string").alias("reconciliation_context"), F.lit(0.6).alias("confidence"))
-    parts = p.withColumn("cmp", cmp).withColumn("per", compare_periods("period_a", "period_b")).withColumn("sc", compare_scopes(F.lit("gross"), F.col("scope_b")))
-    adj = adjudicate(llm, F.col("cmp"), F.col("per"), F.col("sc"), F.col("caveat"), F.col("recomputed").isNotNull())
-    return parts.select("o_orderkey", adj.alias("a")).select("o_orderkey", F.col("a.rule").cast("long").alias("rule"), "a.relation_type", "a.decision_source", "a.disagreement", "a.confidence")
+    a = {"value": F.col("o_totalprice"), "unit": F.lit("USD"), "time_period": F.col("period_a"), "scope": F.lit("gross")}
+    b = {"value": F.col("recomputed"), "unit": F.col("unit_b"), "time_period": F.col("period_b"), "scope": F.col("scope_b")}
+    judged = adjudicate_pairs(compare_pairs(p, a, b), llm, F.col("caveat"), F.col("recomputed").isNotNull())
+    return judged.select("o_orderkey", F.col("adj.rule").cast("long").alias("rule"), "adj.relation_type", "adj.decision_source", "adj.disagreement", "adj.confidence")
 
 
 @query("flagship_order_reconciliation")

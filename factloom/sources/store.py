@@ -53,7 +53,7 @@ class Store:
         """One row for each key, the newest by ``created_at`` (documents: the last change)."""
         rows = self.read(name)
         at = "uploaded_at" if name == "documents" else "created_at"
-        w = Window.partitionBy(*KEYS[name]).orderBy(F.desc_nulls_last(at))
+        w = Window.partitionBy(*KEYS[name]).orderBy(F.desc_nulls_last(at), F.xxhash64(*rows.columns), *[F.col(c).cast("string") for c in rows.columns])
         return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
