@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.evidence import evidence_caveat
+from factloom.functions.evidence import FACT_VALIDATED, UNGROUNDED, check_evidence, evidence_caveat
 from factloom.functions.numbers import first_of
 from factloom.operators.adjudicate import CONFIRMED, OVERRIDE
 from factloom.operators.compare import adjudicate_pairs, compare_pairs
+from factloom.scratch import stage
 
 LEAST_SUPPORT = 3
 CATEGORIES = (("contradicts", "CONTRADICTION"), ("reconciled", "CONTEXTUAL_RECONCILIATION"), ("related_but_not_comparable", "RELATED_NOT_COMPARABLE"), ("insufficient_context", "INSUFFICIENT_CONTEXT"), ("unrelated", "UNRELATED"))
@@ -121,3 +122,66 @@ def audit(old: DataFrame, new: DataFrame, stored: tuple[str, ...]) -> DataFrame:
 def sampled_pairs(pairs: DataFrame, n: int = 300, seed: int = 42) -> DataFrame:
     """At most ``n`` pairs (lo, hi), the same in every run."""
     return pairs.orderBy(F.xxhash64("lo", "hi", F.lit(seed)), "lo", "hi").limit(n)
+
+
+def evidence_scores(facts: DataFrame, labels: DataFrame) -> DataFrame:
+    """How well the evidence check agrees with ``labels(fact_id, should_validate)``, unlabelled ones left out. A stored
+    fact's quote counts as grounded unless its status says otherwise (E8)."""
+    grounded = ~F.coalesce(F.col("evidence_status") == UNGROUNDED, F.lit(False))
+    both = facts.join(labels.where("should_validate is not null"), facts.id == labels.fact_id)
+    return binary(both.withColumn("_p", check_evidence(grounded)["status"] == FACT_VALIDATED), "should_validate", "_p")
+
+
+#: Facts that the evidence check must not validate: another number, a bare number, a quote that is not in the source.
+PROBES = (("another number", 12.0, "in 2024 there were 120", True), ("a bare number", 120.0, "120", True), ("no quote", 120.0, "in 2024 there were 120", False))
+
+
+def evidence_probes(spark: SparkSession) -> DataFrame:
+    """E5: ``(probe, rejected)`` for each probe."""
+    rows = spark.createDataFrame(PROBES, "probe string, value_numeric double, quote string, grounded boolean")
+    none = F.lit(None).cast("string")
+    return rows.select("probe", (check_evidence("grounded", "value_numeric", none, none, "quote", none, none)["status"] != FACT_VALIDATED).alias("rejected"))
+
+
+FACT = "id long, document_id long, page_number int, subject string, attribute string, value string, value_numeric double, unit string, time_period string, scope string, statement string, quote string, evidence_status string"
+CASES = f"id string, category string, trap string, notes string, fact_a struct<{FACT.replace(' ', ':').replace(',:', ',')}>, fact_b struct<{FACT.replace(' ', ':').replace(',:', ',')}>, llm struct<relation_type:string,explanation:string,reconciliation_context:string,confidence:double>, same_metric boolean"
+
+
+def with_defaults(cases: DataFrame) -> DataFrame:
+    """Cases whose facts have what cases leave out: negative ids, a page, a status, and a statement from the other fields."""
+
+    def full(side: str, at: int) -> Column:
+        f = F.col(side)
+        said = F.concat_ws(" ", f["subject"], f["attribute"], F.lit("is"), f["value"], f["unit"], f["time_period"])
+        own = {"id": F.coalesce(f["id"], -(F.xxhash64("id", F.lit(at)).bitwiseAND(F.lit(2**62 - 1).cast("long"))) - 1), "page_number": F.coalesce(f["page_number"], F.lit(1)), "statement": F.coalesce(f["statement"], said), "quote": F.coalesce(f["quote"], f["statement"], said), "evidence_status": F.coalesce(f["evidence_status"], F.lit(FACT_VALIDATED))}
+        return F.struct(*[own.get(x.split(" ")[0], f[x.split(" ")[0]]).alias(x.split(" ")[0]) for x in FACT.split(", ")])
+
+    return cases.withColumns({"fact_a": full("fact_a", 0), "fact_b": full("fact_b", 1)})
+
+
+def load_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation cases from a JSON array, with defaults."""
+    return with_defaults(spark.read.schema(CASES).option("multiLine", True).json(path))
+
+
+def run_cases(cases: DataFrame) -> DataFrame:
+    """Every case judged by its recorded answers: ``(id, expected, predicted, llm_category, decision_source,
+    disagreement, comparable, both_numeric, period, scope)``. A case whose recorded first answer is that the metrics
+    differ is unrelated, and only its proposal would have been asked for otherwise."""
+    a, b = F.col("fact_a"), F.col("fact_b")
+    sides = [{"value": x["value_numeric"], "unit": x["unit"], "time_period": x["time_period"], "scope": x["scope"]} for x in (a, b)]
+    both = a["value_numeric"].isNotNull() & b["value_numeric"].isNotNull()
+    judged = adjudicate_pairs(compare_pairs(cases, *sides), F.col("llm"), evidence_caveat(a["evidence_status"], b["evidence_status"]), both)
+    same = F.coalesce("same_metric", F.lit(True))
+    final, source = F.when(same, F.col("adj.relation_type")).otherwise("unrelated"), F.when(same, F.col("adj.decision_source"))
+    return judged.select("id", F.col("category").alias("expected"), category(final, source).alias("predicted"), F.when(F.col("llm.relation_type").isNotNull(), category(F.col("llm.relation_type"), F.lit(None).cast("string"))).alias("llm_category"), source.alias("decision_source"), (same & F.col("adj.disagreement")).alias("disagreement"), F.col("comparison.comparable").alias("comparable"), both.alias("both_numeric"), F.col("period.relation").alias("period"), F.col("scope.relation").alias("scope"))
+
+
+def write_report(results: DataFrame, path: str) -> str:
+    """Results as JSON lines and, beside them, classes, causes and overrides; returns a text of the main figures."""
+    kept = stage(results, "results")
+    kept.write.mode("overwrite").json(f"{path}/results")
+    per_class(kept).write.mode("overwrite").json(f"{path}/classes")
+    failures_by_cause(kept).write.mode("overwrite").json(f"{path}/causes")
+    n, m, o = accuracy(kept).first(), macro(per_class(kept)).first(), override_accounting(kept).first()
+    return f"{n.correct} of {n.n} right ({n.accuracy:.3f}); macro F1 {m.macro_f1:.3f}; {o.disagreements} disagreements, {o.corrected} proposals corrected, {o.still_wrong} still wrong, {o.introduced} made wrong"

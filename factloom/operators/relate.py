@@ -171,13 +171,18 @@ def build_summary(classified: DataFrame) -> DataFrame:
 
 def judge(pairs: DataFrame, judgments: DataFrame, ask) -> DataFrame:
     """New judgments for the pairs whose hash is not in ``judgments``. ``ask`` maps a batch of
-    (pair_hash, a, b) as dicts to judgment dicts, in any order; failures are its own to report."""
+    (pair_hash, a, b) as dicts to judgment dicts, in any order. If it fails on a batch, each pair of it gets a row without
+    ``same_metric``, whose ``reason`` is the error."""
     fields = [f.split(" ")[0] for f in JUDGMENTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"same_metric": pa.bool_(), "confidence": pa.float64()}
         for batch in batches:
-            rows = ask(batch.to_pylist())
+            asked = batch.to_pylist()
+            try:
+                rows = ask(asked)
+            except Exception as e:  # noqa: BLE001 - whatever the model's client raises
+                rows = [{"pair_hash": r["pair_hash"], "reason": str(e)} for r in asked]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(f) for r in rows], kinds.get(f, pa.string())) for f in fields], fields)
 
     reach(pairs.sparkSession)

@@ -495,3 +495,6 @@ def _(spark, sf):
 def _(spark, sf):
     w = windowed_events(t(spark, sf, "events"), "1 day")
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
+from factloom.plans import more  # noqa: E402, F401 - adds its queries

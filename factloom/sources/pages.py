@@ -16,24 +16,50 @@ from factloom.session import reach
 MAX_CHUNK, OVERLAP, CONTEXT, LEAST_CONTEXT, LEAST_PAGE, LAST_PAGE = 1200, 150, 260, 40, 40, 10_000
 
 
+FILES = "path string, content_hash string, page_number int, text string, problem string"
+
+
 def read_files(spark: SparkSession, path: str, parse: Callable[[bytes], list[tuple[int, str]]]) -> DataFrame:
-    """``(path, content_hash, page_number, text)`` of binary files. ``parse`` turns a file's bytes
-    into (page number, text) rows; a file that it fails on gives no page, and so fails ``readable``."""
+    """``(path, content_hash, page_number, text, problem)`` of binary files. ``parse`` turns a file's bytes
+    into (page number, text) rows, the text None for a page that it cannot read. A file that it fails on, or that is an
+    encrypted PDF, gives one row without a page, whose ``problem`` says why; so no file vanishes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for name, digest, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                try:
-                    rows += [(name, digest, n, text) for n, text in parse(content)]
-                except Exception:  # noqa: BLE001 - a broken file must not end the scan
+                if is_encrypted(content):
+                    rows.append((name, digest, None, None, "the file is encrypted"))
                     continue
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], ["path", "content_hash", "page_number", "text"])
+                try:
+                    rows += [(name, digest, n, text, None if text is not None else "the page cannot be read") for n, text in parse(content)]
+                except Exception as e:  # noqa: BLE001 - a broken file must not end the scan
+                    rows.append((name, digest, None, None, f"{type(e).__name__}: {e}"[:500]))
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], [f.split(" ")[0] for f in FILES.split(", ")])
 
     reach(spark)
     files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("content_hash"), "content")
-    return files.mapInArrow(run, "path string, content_hash string, page_number int, text string")
+    return files.mapInArrow(run, FILES)
+
+
+def is_encrypted(content: bytes) -> bool:
+    """Whether a PDF's trailer names an encryption dictionary."""
+    return content[:5] == b"%PDF-" and re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", content) is not None
+
+
+def file_issues(files: DataFrame) -> DataFrame:
+    """An issue for each file or page that ``read_files`` could not read."""
+    return files.where("problem is not null").select("path", "page_number", F.lit("unreadable_source").alias("issue_type"), F.col("problem").alias("detail"))
+
+
+def pages_from_html(rows: DataFrame, html: str = "html") -> DataFrame:
+    """S1 for web pages: ``rows`` with ``text`` instead of ``html``: scripts, styles and tags away, block ends as line ends."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    lines = F.regexp_replace(F.regexp_replace(bare, r"(?i)<(br|/p|/div|/tr|/li|/h[1-6])\b[^>]*>", "\n"), r"<[^>]*>", " ")
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        lines = F.replace(lines, F.lit(name), F.lit(sign))
+    return rows.withColumn("text", strip(F.regexp_replace(F.regexp_replace(lines, r"[ \t\r\f]+", " "), r" ?\n\s*", "\n"))).drop(html)
 
 
 def clean_pages(pages: DataFrame, least: int = LEAST_PAGE) -> DataFrame:

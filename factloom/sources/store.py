@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from factloom.functions.numbers import compare_values, strip
 from factloom.functions.text import search
 from factloom.operators.adjudicate import STORED
+from factloom.scratch import stage
 
 SCHEMAS = {
-    "documents": "id long, original_name string, stored_path string, num_pages int, status string, error_message string, uploaded_at timestamp, content_hash string, page_selector string, pipeline_fingerprint string, reused_from_document_id long, cancel_requested boolean",
+    "documents": "id long, original_name string, stored_path string, num_pages int, status string, error_message string, uploaded_at timestamp, content_hash string, page_selector string, pipeline_fingerprint string, reused_from_document_id long, cancel_requested boolean, stats string, progress string, changed_at timestamp",
     "facts": "id long, document_id long, page_number int, subject string, attribute string, value string, value_numeric double, unit string, time_period string, scope string, statement string, quote string, quote_grounded boolean, confidence double, evidence_status string, evidence_detail string, table_context string, embedding array<float>, created_at timestamp",
     "relationships": "id long, fact_id_a long, fact_id_b long, fact_low_id long, fact_high_id long, relation_type string, explanation string, reconciliation_context string, confidence double, similarity_score double, candidate_reason string, decision_source string, llm_proposal string, disagreement boolean, disagreement_reason string, created_at timestamp",
     "extraction_issues": "id long, document_id long, page_number int, issue_type string, detail string, raw_excerpt string, created_at timestamp",
     "extraction_cache": "chunk_hash string, model string, facts_json string, issues_json string, created_at timestamp",
     "relationship_cache": "pair_hash string, model string, result_json string, created_at timestamp",
 }
-KEYS = {"documents": ["id"], "facts": ["id"], "relationships": ["fact_low_id", "fact_high_id"], "extraction_issues": ["id"], "extraction_cache": ["chunk_hash"], "relationship_cache": ["pair_hash"]}
+KEYS = {"documents": ["id"], "facts": ["id"], "relationships": ["fact_low_id", "fact_high_id"], "extraction_issues": ["id"], "extraction_cache": ["chunk_hash", "model"], "relationship_cache": ["pair_hash", "model"]}
 EXCERPT = 2000
 
 
@@ -38,8 +39,22 @@ class Store:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], schema)
+        if name == "relationships":  # older rows lack the ordered ends
+            a, b = F.col("fact_id_a"), F.col("fact_id_b")
+            found = found.withColumns({"fact_low_id": F.coalesce("fact_low_id", F.least(a, b)), "fact_high_id": F.coalesce("fact_high_id", F.greatest(a, b))})
         return found
 
+    def get(self, name: str, row_id: int) -> DataFrame:
+        """The newest row with this id; empty if there is none."""
+        rows = self.latest(name) if name == "documents" else self.read(name)
+        return rows.where(F.col("id") == row_id)
+
+    def update_document(self, document_id: int, **changes: object) -> None:
+        """A new version of a document's row with these columns changed; reads take the newest version."""
+        row = self.get("documents", document_id)
+        now = {k: (v if isinstance(v, Column) else F.lit(v)).cast(row.schema[k].dataType) for k, v in changes.items()}
+        self.append("documents", stage(row.withColumns(now | {"changed_at": F.current_timestamp()}), "document"))
+
     def append(self, name: str, rows: DataFrame) -> None:
         """Add rows; columns that they lack are null, and excerpts are cut."""
         wanted = self.spark.createDataFrame([], SCHEMAS[name]).schema
@@ -50,18 +65,41 @@ class Store:
         out.write.mode("append").parquet(f"{self.path}/{name}")
 
     def latest(self, name: str) -> DataFrame:
-        """One row for each key, the newest by ``created_at`` (documents: the last change)."""
+        """One row for each key, the newest by ``created_at`` (documents: the last change); of equally new
+        ones that with the smallest hash."""
         rows = self.read(name)
-        at = "uploaded_at" if name == "documents" else "created_at"
+        at = F.coalesce("changed_at", "uploaded_at") if name == "documents" else F.col("created_at")
         w = Window.partitionBy(*KEYS[name]).orderBy(F.desc_nulls_last(at), F.xxhash64(*rows.columns), *[F.col(c).cast("string") for c in rows.columns])
         return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def cache_lookup(keys: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """``keys`` with the cached row, and the keys that are not cached."""
+def cache_lookup(keys: DataFrame, store: Store, name: str, model: str) -> tuple[DataFrame, DataFrame]:
+    """``keys`` with the model's newest cached row, and the keys that have none. A key that comes several
+    times keeps its rows."""
+    key = KEYS[name][0]
+    cache = store.latest(name).where(F.col("model") == model).drop("model", "created_at")
     return keys.join(cache, key), keys.join(cache.select(key), key, "left_anti")
 
 
+def vectors(facts: DataFrame, exclude_document_id: int | None = None) -> DataFrame:
+    """``(id, embedding)`` of the facts that have a vector, without those of one document."""
+    rows = facts.where("embedding is not null")
+    if exclude_document_id is not None:
+        rows = rows.where(~F.col("document_id").eqNullSafe(F.lit(exclude_document_id)))
+    return rows.select("id", "embedding")
+
+
+def list_issues(issues: DataFrame, document_id: int | None = None) -> DataFrame:
+    """Issues, the newest first, of one document if asked for."""
+    return (issues if document_id is None else issues.where(F.col("document_id") == document_id)).orderBy(F.desc("id"))
+
+
+def run_totals(documents: DataFrame) -> DataFrame:
+    """Pages, chunks and candidate pairs over all runs' statistics."""
+    s = F.from_json("stats", "pages long, chunks long, candidate_pairs long")
+    return documents.select(s.alias("s")).agg(*[F.coalesce(F.sum(f"s.{c}"), F.lit(0)).alias(c) for c in ("pages", "chunks", "candidate_pairs")])
+
+
 def list_facts(facts: DataFrame, document_id: int | None = None, q: str | None = None) -> DataFrame:
     """Facts without their vectors, of one document by page and id, else by id."""
     out = facts.drop("embedding") if "embedding" in facts.columns else facts

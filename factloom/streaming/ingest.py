@@ -7,9 +7,13 @@ up by id and pairs by their ends.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from factloom.functions.evidence import check_evidence
 from factloom.operators.relate import TOP_K, candidates, classify, relationships
@@ -48,6 +52,33 @@ def windowed_events(events: DataFrame, window: str = "1 hour", late: str = "2 ho
     return rows.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
+STALE_AFTER = 20 * 60
+
+
+def stale_stream(activity: DataFrame, seconds: int = STALE_AFTER) -> DataFrame:
+    """``(document_id, status, error_message)``, a row for each document that stays unfinished and silent for so long.
+
+    ``activity`` is a stream of (document_id, status): each row restarts its document's timer, which runs by processing
+    time; a finished status ends it. State is one timer for each unfinished document.
+    """
+
+    def watch(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"document_id": [key[0]], "status": ["failed"], "error_message": ["no activity"]})
+            return
+        seen = [s for batch in rows for s in batch["status"]]
+        if any(s in ("done", "failed", "cancelled") for s in seen):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((True,))
+            state.setTimeoutDuration(seconds * 1000)
+
+    known = activity.select(F.col("document_id").cast("long").alias("document_id"), "status").where("document_id is not null")
+    return known.groupBy("document_id").applyInPandasWithState(watch, "document_id long, status string, error_message string", "open boolean", "append", "ProcessingTimeTimeout")
+
+
 def next_status(status: str, event: str) -> str:
     """I8: a document's state after an event; ValueError if the event does not fit."""
     moves = {("pending", "start"): "processing", ("pending", "cancel"): "cancelled", ("processing", "finish"): "done", ("processing", "fail"): "failed", ("processing", "cancel"): "cancelled", ("pending", "fail"): "failed"}
