@@ -203,6 +203,78 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def plain_template(text):
+    """Words with what stands for them: (word, typed, folded)."""
+    import regex
+
+    text = regex.sub(r"([\p{L}\p{M}\p{N},;)])\x20(?=\p{Lu}[\p{Ll}\p{M}]+(?!\p{L}))", "\\1 \x01", text)
+    text = regex.sub(rf"([0-9])\x20?(?=(?i:{'|'.join(decontaminate.UNITS)})(?![\p{{L}}\p{{M}}]))", "\\1 \x02", text)
+    out = []
+    for raw in regex.findall(r"[\x01\x02]?[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*", text.lower()):
+        word = raw.strip("\x01\x02")
+        typed = {"\x01": "NAME", "\x02": "UNIT"}.get(raw[0], "NUM" if raw[0].isdigit() else word)
+        unit = typed == "NAME" and out and out[-1][1] == "NUM" and word in decontaminate.UNITS
+        out.append((word, typed, "UNIT" if unit else word if typed == "NAME" else typed))
+    return out
+
+
+def plain_found(text, item):
+    """Whether consistent occurrences hold 0.8 of the item's windows, by comparing each window with each."""
+    doc = plain_template(text)
+    for form in (1, 2):
+        mine, inside = plain_template(item), plain_template(", " + item)
+        at = {}
+        for words in [mine] + ([inside] if form == 1 else []):
+            for k in range(len(words) - 4) if words is mine else range(min(1, len(words) - 4)):
+                window = [w[form] for w in words[k : k + 5]]
+                slots = [w in ("NAME", "UNIT", "NUM") for w in window]
+                if slots.count(False) >= 3:
+                    at.setdefault(k, []).append((window, slots, [w[0] for w in words[k : k + 5]]))
+        shifts = {}
+        for k, forms in at.items():
+            for window, slots, own in forms:
+                for p in range(len(doc) - 4):
+                    if [w[form] for w in doc[p : p + 5]] == window:
+                        s = shifts.setdefault(p - k, (set(), set()))
+                        s[0].add(k)
+                        s[1].update((a, w[0]) for a, w, slot in zip(own, doc[p : p + 5], slots) if slot)
+        held = {k for places, pairs in shifts.values() if len({a for a, _ in pairs}) == len(pairs) for k in places}
+        if at and len(held) >= 0.8 * len(at):
+            return True
+    return False
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(12)
+    items = [
+        "In the race Anna ran 12 km in the rain while Bert and Anna drank 3 liters of cold tea together",
+        "Maria has 24 apples and gives 6 apples to Peter so how many apples does Maria have left after Peter eats 2 of them",
+        "a train leaves the old station at 9.30 and drives 80 km until it stops for 15 minutes near the river",
+    ]
+    names, nouns = ["Carla", "Dora", "Emil", "Fritz"], ["12", "90", "7", "3.5", "1,200"]
+    rows = []
+    for i in range(240):
+        words = rng.choice(items).split()
+        people = {w: rng.choice(names) for w in ("Anna", "Bert", "Maria", "Peter")} if i % 3 else {}
+        words = [people.get(w, w) for w in words]
+        kind = i % 6
+        if kind == 1:
+            words = [rng.choice(nouns) if w[0].isdigit() and rng.random() < 0.5 else w for w in words]
+        if kind == 2:
+            words[rng.randrange(len(words))] = rng.choice(["tree", "Anna", "9"])
+        if kind == 3:
+            del words[rng.randrange(len(words))]
+        if kind == 4:
+            words = words[: rng.randint(3, len(words))]
+        text = " ".join(words)
+        rows.append((1000 + i, "so it was said, " + (text.upper() if kind == 5 else text) + " and that was all. " + rng.choice(items)[: rng.randint(0, 40)]))
+    rows.append((103, items[0].replace("Anna", "Carla", 1)))  # Anna is Carla in one place and Anna in another
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs(spark, rows), bench).select("doc_id", "item_id").collect()}
+    want = {(i, k) for i, text in rows for k, item in enumerate(items) if plain_found(text, item)}
+    assert got == want and 60 < len(want) < 240 and not any(i == 103 for i, _ in got)
+
+
 def test_decontamination_judges_each_text(spark):
     item = "In the race Anna ran 12 km in the rain while Bert and Anna drank 3 liters of cold tea together"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
