@@ -102,29 +102,32 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return rows.select(F.struct("item_id", F.xxhash64("text").alias("digest")).alias("item"), "text")
 
 
-def item_windows(benchmark: DataFrame, width: int = WINDOW, plain: int = PLAIN) -> DataFrame:
-    """``(item, folded_item, h, ipos, window, words, slots, n)`` for each window of ``benchmark(item_id, text)``
-    with enough plain words, of the template and of the folded one; ``n`` is at how many places the item has
-    one. The template's first window comes in two forms if its first word would be a name inside a sentence."""
+def item_templates(benchmark: DataFrame) -> DataFrame:
+    """``(item, inside, raw, template, folded)`` of ``benchmark(item_id, text)``, staged: each item as it is and, marked as
+    ``inside``, as if it stood behind other words, where its first word may be a name."""
+    rows = _items(benchmark)
+    both = rows.select("item", F.lit(False).alias("inside"), "text").unionByName(rows.select("item", F.lit(True).alias("inside"), F.concat(F.lit(", "), "text").alias("text")))
+    return stage(_templates(both), "item-templates")
 
-    def form(rows: DataFrame, template: str) -> DataFrame:
-        t = _templates(rows).withColumn("hashes", F.transform(template, lambda w, i: _hash(template, i, width)))
-        return t.select("item", F.lit(template == "folded").alias("folded_item"), F.col(template).alias("template"), "raw", F.posexplode("hashes").alias("ipos", "h"))
 
-    rows = _items(benchmark)
-    slots = F.transform(F.slice("template", F.col("ipos") + 1, width), lambda x: x.isin(_NUM, _UNIT, _NAME))
-    inside = rows.withColumn("text", F.concat(F.lit(", "), "text"))
-    both = form(rows, "template").unionByName(form(inside, "template").where("ipos = 0")).unionByName(form(rows, "folded"))
-    w = both.select("item", "folded_item", "h", "ipos", F.slice("template", F.col("ipos") + 1, width).alias("window"), _words(F.slice("raw", F.col("ipos") + 1, width)).alias("words"), slots.alias("slots"))
+def item_windows(templates: DataFrame, width: int = WINDOW, plain: int = PLAIN) -> DataFrame:
+    """``(item, folded_item, h, ipos, window, words, slots, n)`` for each window of ``item_templates``
+    with enough plain words, of the template and of the folded one; ``n`` is at how many places the item has
+    one. The template's first window comes in two forms if its first word would be a name inside a sentence."""
+    forms = F.array(F.struct(F.lit(False).alias("folded_item"), F.col("template").alias("t")), F.struct(F.lit(True).alias("folded_item"), F.col("folded").alias("t")))
+    each = templates.select("item", "inside", "raw", F.explode(forms).alias("f")).where("not inside or not f.folded_item").select("item", "inside", "raw", "f.*")
+    placed = each.select("*", F.posexplode(F.transform("t", lambda w, i: _hash("t", i, width))).alias("ipos", "h")).where("not inside or ipos = 0")
+    cut = placed.select("item", "folded_item", "h", "ipos", F.slice("t", F.col("ipos") + 1, width).alias("window"), _words(F.slice("raw", F.col("ipos") + 1, width)).alias("words"))
+    w = cut.withColumn("slots", F.transform("window", lambda x: x.isin(_NUM, _UNIT, _NAME)))
     w = w.where((F.size("window") == width) & (F.size(F.filter("slots", lambda x: ~x)) >= plain)).dropDuplicates(["item", "folded_item", "ipos", "h"])
     n = w.groupBy(F.col("item").alias("item_n"), F.col("folded_item").alias("folded_n")).agg(F.countDistinct("ipos").alias("n"))
     return w.join(n, (w.item == n.item_n) & (w.folded_item == n.folded_n)).drop("item_n", "folded_n")
 
 
-def plain_items(benchmark: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """``(item, head, h, words)`` for each item of ``benchmark`` that has no window in ``items``: all its
+def plain_items(templates: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
+    """``(item, head, h, words)`` for each item of ``item_templates`` that has no window in ``items``: all its
     words and numbers, and the hash of the first ``head`` of them, ``width`` at most."""
-    rows = _marked(_items(benchmark).join(items.select("item").distinct(), "item", "left_anti")).select("item", _tokens(F.col("marked")).alias("words"))
+    rows = templates.where("not inside").join(items.select("item").distinct(), "item", "left_anti").select("item", _words(F.col("raw")).alias("words"))
     head = F.least(F.size("words"), F.lit(width))
     return rows.where(F.size("words") > 0).select("item", head.alias("head"), F.xxhash64(F.slice("words", F.lit(1), head)).alias("h"), "words")
 
@@ -154,7 +157,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     doc_id or have none: ``digest`` is the text's hash. Other columns are ignored; empty tables give an empty result. The benchmark's windows are broadcast while
     they are counted to be few; beyond that both sides are shuffled on the window's hash.
     """
-    items = stage(item_windows(benchmark, width, plain), "items")
+    templates = item_templates(benchmark)
+    items = stage(item_windows(templates, width, plain), "items")
     side = F.broadcast(items) if small(items, BROADCAST_ROWS // 4) else items
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest("text"), "text")
     mine = _windows(rows, width)
@@ -168,7 +172,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: f
     steady = occurrence.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))))
     whole = steady.groupBy("doc_id", "digest", "item", "folded_item", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.bool_and(F.forall("pairs", lambda p: p["item"] == p["doc"])).alias("verbatim"))
     found = whole.where(F.col("held") >= share * F.col("n")).groupBy("doc_id", "digest", F.col("item.item_id").alias("item_id")).agg(F.max(F.col("held") / F.col("n")).alias("coverage"), F.bool_or("verbatim").alias("verbatim"))
-    plain_ones = stage(plain_items(benchmark, items, width), "plain-items")
+    plain_ones = stage(plain_items(templates, items, width), "plain-items")
     return found if plain_ones.isEmpty() else found.unionByName(verbatim_matches(rows, plain_ones))
 
 
