@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Without Python's search for cycles, which looks at the many strings of a batch again and again and finds none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def fresh(name: str, *taken: list[str]) -> str:
     """A column name like ``name`` that none of the lists has, in any case."""
     used = {c.lower() for cols in taken for c in cols}

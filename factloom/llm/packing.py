@@ -13,13 +13,14 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import small_batches, table
+from factloom.llm.common import no_collection, small_batches, table
 from factloom.scratch import checked_broadcast, stage
 
 CAPACITY = 2048
@@ -88,25 +89,24 @@ class _Encoder:
         new.difference_update(again)
         if not new:
             return
-        parts, odd, wanted = {}, set(), set()
+        # Latin words with punctuation behind them, by their lower-cased core and what stands behind it.
+        cores, tails, whole, odd = [], [], [], []
         for w in new:
             core = w.rstrip(_MARKS)
             if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and "\u0130" not in core)):
-                parts[w] = core.lower(), w[len(core) :]
-                wanted.add(parts[w][0])
-                if len(core) < len(w):
-                    odd.add(w[len(core) :])
+                whole.append(w)
+                cores.append(core.lower())
+                tails.append(w[len(core) :])
             else:
-                odd.add(w)
-        wanted = wanted.difference(self.plain)
+                odd.append(w)
+        wanted = set(cores).difference(self.plain)
         again = [w for w in wanted if w in self.old_plain]
         self.plain.update((w, self.old_plain[w]) for w in again)
         self._together(sorted(wanted.difference(again)))
-        alone = sorted(odd)
+        alone = sorted(set(tails).union(odd))
         found = dict(zip(alone, self._singly(alone)))
-        for w in new:
-            p = parts.get(w)
-            self.words[w] = self.plain[p[0]] + found.get(p[1], b"") if p else found[w]
+        self.words.update(zip(odd, map(found.__getitem__, odd)))
+        self.words.update(zip(whole, map(add, map(self.plain.__getitem__, cores), map(found.__getitem__, tails))))
 
 
 @lru_cache(2)
@@ -123,10 +123,11 @@ def encode(texts: list[str | None], path: str, kept: int = KEPT) -> Iterator[byt
         while to < len(texts) and size < _AT_ONCE:
             size += len(texts[to] or "")
             to += 1
-        cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:to]]
-        encoder.learn(cut)
-        for words in cut:
-            yield b"".join(map(encoder.words.__getitem__, words)) + end
+        with no_collection():
+            cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:to]]
+            encoder.learn(cut)
+            found = [b"".join(map(encoder.words.__getitem__, words)) + end for words in cut]
+        yield from found
         at = to
 
 
