@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fold, small_batches, table
+from factloom.llm.common import fold, no_collection, small_batches, table
 from factloom.scratch import stage
 
 #: Labelled examples of each class, at most, and their characters; those with the smallest hashes come first.
@@ -240,7 +240,8 @@ def _found(terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(terms.value)
         for batch in batches:
-            each = [vocabulary.find(words_of(t)) for t in batch.column(1).to_pylist()]
+            with no_collection():
+                each = [vocabulary.find(words_of(t)) for t in batch.column(1).to_pylist()]
             edge = pa.array(np.concatenate(([0], np.cumsum([len(t) for t, _ in each]))), pa.int32())
             flat = [np.concatenate(x).astype(np.int32) if each else np.zeros(0, np.int32) for x in (list(zip(*each)) or [(), ()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.ListArray.from_arrays(edge, pa.array(x, pa.int32())) for x in flat]], ["doc_id", "terms", "counts"])
