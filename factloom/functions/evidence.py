@@ -25,11 +25,11 @@ ALIASES = (
 ISSUES = ("malformed_fact", "llm_call_failed", "unparseable_response", "unexpected_shape", "unexpected_shape_recovered", "table_alignment_uncertain", "quote_regrounded", "quote_not_grounded", "value_not_evidenced", "relationship_classification_failed", "arithmetic_scale_anomaly", "graph_incoherence", "pipeline_crashed")
 
 
-def value_in_quote(value_numeric: Column | str, value: Column | str, quote: Column | str) -> Column:
+def value_in_quote(value_numeric: Column | str, value: Column | str, quote: Column | str, compat: bool = False) -> Column:
     """V1: whether a number of the fact is in the quote; null if the fact has none."""
     number = (F.col(value_numeric) if isinstance(value_numeric, str) else value_numeric).cast("double")
-    targets = F.array_compact(F.concat(F.array(number), number_tokens(value)))
-    return let(targets, lambda t: let(number_tokens(quote), lambda q: _supported(t, q)))
+    targets = F.array_compact(F.concat(F.array(number), number_tokens(value, compat)))
+    return let(targets, lambda t: let(number_tokens(quote, compat), lambda q: _supported(t, q)))
 
 
 def _supported(targets: Column, there: Column) -> Column:
@@ -55,7 +55,7 @@ def text_overlap(text: Column | str, quote: Column | str) -> Column:
     return F.when(F.size(words) > 0, F.exists(words, lambda w: F.contains(q, w)))
 
 
-def check_evidence(grounded: Column | str, value_numeric: Column | str = "value_numeric", value: Column | str = "value", unit: Column | str = "unit", quote: Column | str = "quote", subject: Column | str = "subject", time_period: Column | str = "time_period") -> Column:
+def check_evidence(grounded: Column | str, value_numeric: Column | str = "value_numeric", value: Column | str = "value", unit: Column | str = "unit", quote: Column | str = "quote", subject: Column | str = "subject", time_period: Column | str = "time_period", compat: bool = False) -> Column:
     """V4: struct (status, value_supported, unit_supported, subject_supported, period_supported, notes).
 
     Only the value and the quote's length decide; unit, subject and period are reported.
@@ -63,7 +63,7 @@ def check_evidence(grounded: Column | str, value_numeric: Column | str = "value_
     g = F.col(grounded) if isinstance(grounded, str) else grounded
     q = F.coalesce((F.col(quote) if isinstance(quote, str) else quote).cast("string"), F.lit(""))
     seen = F.struct(unit_in_quote(unit, quote).alias("u"), text_overlap(subject, quote).alias("s"), text_overlap(time_period, quote).alias("p"))
-    return let(value_in_quote(value_numeric, value, quote), lambda v: let(F.length(strip(q)) < LEAST_QUOTE, lambda short: _evidence(g, v, short, seen)))
+    return let(value_in_quote(value_numeric, value, quote, compat), lambda v: let(F.length(strip(q)) < LEAST_QUOTE, lambda short: _evidence(g, v, short, seen)))
 
 
 def _evidence(g: Column, supported: Column, short: Column, seen: Column) -> Column:

@@ -26,7 +26,8 @@ def score_pair(a: Column, b: Column, embedding_score: Column) -> Column:
 def _scored(entity: Column, lexical: Column, cmp: Column, embedding_score: Column) -> Column:
     numeric = F.coalesce(cmp["comparable"] & cmp["agree"] & ~cmp["magnitude_suspect"] & (entity >= ENTITY_STRONG), F.lit(False))
     triggers = F.array_compact(F.array(F.when(embedding_score >= EMBEDDING_STRONG, F.lit("embedding")), F.when((entity >= ENTITY_STRONG) & (lexical >= LEXICAL_LEAST), F.lit("entity+lexical")), F.when(numeric, F.lit("numeric"))))
-    detail = F.concat(F.when(F.size(triggers) > 0, F.array_join(triggers, "+")).otherwise("none"), F.format_string(" [embedding=%.2f, entity=%.2f, lexical=%.2f]", embedding_score.cast("double"), entity, lexical))
+    same = F.when(numeric, F.concat(F.lit(", numeric_match("), short_number(cmp["diff_pct"]), F.lit("% apart)"))).otherwise("")
+    detail = F.concat(F.when(F.size(triggers) > 0, F.array_join(triggers, "+")).otherwise("none"), F.format_string(" [embedding=%.2f, entity=%.2f, lexical=%.2f", embedding_score.cast("double"), entity, lexical), same, F.lit("]"))
     return F.struct(embedding_score.cast("double").alias("embedding_score"), entity.alias("entity_score"), lexical.alias("lexical_score"), numeric.alias("numeric_match"), triggers.alias("triggers"), detail.alias("detail"))
 
 

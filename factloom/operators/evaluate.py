@@ -111,9 +111,13 @@ def override_accounting(results: DataFrame) -> DataFrame:
     )
 
 
-def audit(old: DataFrame, new: DataFrame, stored: tuple[str, ...]) -> DataFrame:
+def audit(old: DataFrame, new: DataFrame, stored: tuple[str, ...], facts: DataFrame | None = None, document_id: int | None = None) -> DataFrame:
     """How a fresh judgment of stored pairs turns out: kept, relabelled or dropped. Both are (lo, hi,
-    relation_type)."""
+    relation_type); with ``facts`` and a document only pairs with an end in it count."""
+    if facts is not None and document_id is not None:
+        own = facts.where(F.col("document_id") == document_id).select(F.col("id").alias("_f"))
+        touched = old.select("lo", "hi", F.explode(F.array("lo", "hi")).alias("_f")).join(own, "_f", "left_semi").select("lo", "hi").distinct()
+        old = old.join(touched, ["lo", "hi"], "left_semi")
     both = old.join(new.select("lo", "hi", F.col("relation_type").alias("fresh")), ["lo", "hi"], "left")
     kept = F.coalesce(F.col("fresh").isin(*stored), F.lit(False))
     return both.agg(F.count("*").alias("audited"), F.count_if(kept & (F.col("fresh") == F.col("relation_type"))).alias("kept"), F.count_if(kept & (F.col("fresh") != F.col("relation_type"))).alias("relabelled"), F.count_if(~kept).alias("dropped"))

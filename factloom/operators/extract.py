@@ -6,11 +6,12 @@ issue rows. Everything behind it, validation, numbers, evidence, is one plan of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions.answers import Ask, CallFailed, Unparseable, as_facts, call
 from factloom.functions.evidence import check_evidence, evidence_detail, validate_facts
@@ -121,3 +122,22 @@ def facts_of_answers(chunks: DataFrame, answers: DataFrame) -> tuple[DataFrame,
     for p in parts[1:]:
         issues = issues.unionByName(p)
     return facts, issues
+
+
+def embed_with(rows: DataFrame, encode: Callable[[list[str]], list[list[float]]], column: str = "statement") -> DataFrame:
+    """``rows`` with ``embedding``, the unit vector that ``encode`` gives for the column's text; null for null text. A
+    model is loaded by ``encode`` itself, once in each worker."""
+    reach(rows.sparkSession)
+    kept = [c for c in rows.columns if c != "embedding"]
+    plain = rows.select(*kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(kept.index(column)).to_pylist()
+            found = iter(encode([t for t in texts if t is not None]))
+            vectors = [None if t is None else list(next(found)) for t in texts]
+            lengths = [sum(x * x for x in v) ** 0.5 or 1.0 if v is not None else 1.0 for v in vectors]
+            unit = [None if v is None else [x / n for x in v] for v, n in zip(vectors, lengths)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(unit, pa.list_(pa.float32()))], [*kept, "embedding"])
+
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))

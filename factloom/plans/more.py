@@ -478,6 +478,28 @@ def _(spark, sf):
 # Evaluation
 
 
+@query("j14_audit_of_document", f"""{_GRAPH}, st as (select id, relation_type, case id % 4 when 1 then 'unrelated' when 2 then 'contradicts' when 3 then relation_type end as fresh from e where relation_type <> 'unrelated' and (i % 7 = 2 or j % 7 = 2))
+select count(*) as audited, count(*) filter (fresh = relation_type) as kept, count(*) filter (fresh is null or fresh = 'unrelated') as dropped from st""")
+def _(spark, sf):
+    g = _graph(spark, sf).where("relation_type <> 'unrelated'").select(F.col("fact_id_a").alias("lo"), F.col("fact_id_b").alias("hi"), "relation_type", "id")
+    fresh = g.where("id % 4 > 0").select("lo", "hi", F.when(F.col("id") % 4 == 1, F.lit("unrelated")).when(F.col("id") % 4 == 2, F.lit("contradicts")).otherwise(F.col("relation_type")).alias("relation_type"))
+    facts = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 7).alias("document_id"))
+    return evaluate.audit(g, fresh, relate.STORED, facts, 2).select("audited", "kept", "dropped")
+
+
+@query("c4_candidate_detail", """select p_partkey, case when p_partkey % 2 = 0 then 'embedding+entity+lexical+numeric [embedding=0.50, entity=1.00, lexical=1.00, numeric_match(1% apart)]' else 'embedding [embedding=0.50, entity=0.00, lexical=1.00]' end as detail from part""")
+def _(spark, sf):
+    from factloom.operators.adjudicate import score_pair
+
+    k = F.col("p_partkey")
+
+    def fact(subject: Column, value: float) -> Column:
+        return F.struct(subject.alias("subject"), F.lit("revenue").alias("attribute"), F.lit(value).alias("value_numeric"), F.lit("USD").alias("unit"))
+
+    s = score_pair(fact(F.lit("Acme"), 99.0), fact(F.when(k % 2 == 0, "acme").otherwise("Other"), 100.0), F.lit(0.5))
+    return t(spark, sf, "part").select("p_partkey", s["detail"].alias("detail"))
+
+
 @query("a19_recall", "select round(avg(case when quality = toxic then 1.0 else 0.0 end), 6) as recall from labels")
 def _(spark, sf):
     return evaluate.mean_hit(t(spark, sf, "labels").select((F.col("quality") == F.col("toxic")).alias("hit"))).select(F.round("recall", 6).alias("recall"))

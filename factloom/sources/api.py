@@ -17,6 +17,13 @@ from factloom.scratch import stage
 from factloom.sources import store as reads
 from factloom.sources.store import Store
 
+#: What a service returns of a row of each kind.
+RESPONSES = {
+    "document": "id long, original_name string, display_name string, status string, num_pages int, error_message string, uploaded_at timestamp, page_selector string, reused_from_document_id long, fact_count long, stats string, progress string",
+    "fact": "id long, document_id long, document_name string, page_number int, subject string, attribute string, value string, value_numeric double, unit string, time_period string, scope string, statement string, quote string, quote_grounded boolean, confidence double, evidence_status string, evidence_detail string, table_context string",
+    "relationship": "id long, fact_id_a long, fact_id_b long, relation_type string, explanation string, reconciliation_context string, confidence double, similarity_score double, candidate_reason string, decision_source string, llm_proposal string, disagreement boolean, disagreement_reason string",
+    "issue": "id long, document_id long, page_number int, issue_type string, detail string, raw_excerpt string, created_at timestamp",
+}
 MOST_TEXT, MOST_FINDINGS, MOST_RANKED = 200, 200, 500
 
 
@@ -38,6 +45,12 @@ def _found(rows: DataFrame, what: str) -> DataFrame:
     return rows
 
 
+def shaped(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` as a service returns them: these columns and types, null where a row lacks one."""
+    wanted = rows.sparkSession.createDataFrame([], RESPONSES[kind]).schema
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+
+
 def _source(store: Store, document_id: int) -> int:
     """The document that holds the facts: itself, or the one that it reuses."""
     row = _found(store.get("documents", _id(document_id, "document_id")), "document").select(F.coalesce("reused_from_document_id", "id")).first()

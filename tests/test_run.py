@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.answers import CallFailed, Unparseable, as_facts, call, parse_answer
 from factloom.operators import evaluate
-from factloom.operators.extract import ask_chunks, chunk_hash, facts_of_answers, read_chunk
+from factloom.operators.extract import ask_chunks, chunk_hash, embed_with, facts_of_answers, read_chunk
 from factloom.sources import api
 from factloom.sources.pages import file_issues, pages_from_html, read_files
 from factloom.sources.store import Store
@@ -129,6 +129,7 @@ def test_a_whole_run(spark, tmp_path):
     assert api.get_facts(store, 3, "acme").count() == 3 and api.get_document(store, 3).first().facts[0].page_number == 1
     fact = store.read("facts").where("document_id = 1 and time_period = 'FY24' and subject = 'Acme'").first().id
     one, related = api.get_fact(store, fact)
+    assert api.shaped(one, "fact").columns[:3] == ["id", "document_id", "document_name"] and all(api.shaped(api.get_documents(store), "document").schema.names == [c.split(" ")[0] for c in api.RESPONSES["document"].split(", ")] for _ in (0,))
     assert one.first().statement == "Acme 100" and related.count() >= 1
     assert api.get_relationships(store, "corroborates").count() == alike and api.get_stats(store)[0].first().documents == 5 and api.get_issues(store, 3).count() > 0
     facts, edges, levels = api.get_priority(store, limit=5)
@@ -166,6 +167,12 @@ def test_files_that_cannot_be_read_leave_a_problem(spark, tmp_path):
     assert [r.text for r in pages_from_html(html).orderBy("id").collect()] == ["One & two\nthree", ""]
 
 
+def test_embedding_hook(spark):
+    rows = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id long, statement string")
+    got = {r.id: r.embedding for r in embed_with(rows, lambda texts: [[len(t), 4.0] for t in texts]).collect()}
+    assert got[1] == pytest.approx([0.6, 0.8]) and got[2] is None and got[3] == [0.0, 1.0]
+
+
 def test_evaluation_cases(spark, tmp_path):
     fact = {"subject": "Acme", "attribute": "revenue", "value": "5", "value_numeric": 5.0, "unit": "USD", "time_period": "FY24", "scope": "group"}
     cases = [
