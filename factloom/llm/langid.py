@@ -77,13 +77,12 @@ def vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray
         keys, where = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
         if not len(keys):
             continue
-        bound = np.empty((len(keys), dimensions), np.float32)
-        for i in range(0, len(keys), 1024):
-            k = keys[i : i + 1024]
-            bound[i : i + 1024] = first[k // _LETTERS**2] * second[k // _LETTERS % _LETTERS] * third[k % _LETTERS]
         counts = np.zeros((len(each), len(keys)), np.float32)
         counts[np.repeat(np.arange(len(each)), [len(k) for k, _ in each]), where] = np.concatenate([c for _, c in each])
-        out[at : at + 32] = counts @ bound
+        for i in range(0, len(keys), 1024):  # few trigrams' vectors at a time, as each takes 4 KB
+            k = keys[i : i + 1024]
+            bound = (first[k // _LETTERS**2] * second[k // _LETTERS % _LETTERS] * third[k % _LETTERS]).astype(np.float32)
+            out[at : at + 32] += counts[:, i : i + 1024] @ bound
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(length == 0, 1, length)
 
