@@ -2,9 +2,10 @@
 product-quantised residuals, asymmetric distance tables, and exact reranking.
 
 Coarse centroids and the quantiser's codebooks are fitted on a bounded sample; every vector is indexed.
-There are about as many lists as the square root of the number of vectors. How many of them a query probes is set from
-the same sample, so that the lists hold most true neighbours there: few lists for clustered vectors, many for vectors
-without structure.
+There are about as many lists as the square root of the number of vectors. How many of them a query probes, and how many
+vectors of a list are reranked, is set by brute force: a bounded number of the queries themselves is compared with every
+vector, and the search must find most of what that finds. So few lists are probed for clustered vectors, many for vectors
+without structure or for queries that are unlike the vectors.
 """
 
 from __future__ import annotations
@@ -23,26 +24,35 @@ from factloom.scratch import stage
 
 #: Vectors that the index is fitted on, at most, and of them for each list, at least.
 SAMPLE, PER_LIST = 65_536, 16
-#: Share of the sample's true neighbours that the probed lists must hold.
-REACH = 0.96
+#: Queries that are compared with every vector, at most.
+CHECKED = 256
+#: Share of their true neighbours that the probed lists must hold, and that the whole search must find.
+REACH, RECALL = 0.975, 0.965
 #: Parts of a vector that are quantised by themselves, and code words for each.
 PARTS, WORDS = 16, 256
 #: Vectors of a list that one task searches; longer lists are dealt into several.
 BLOCK = 4096
-#: Vectors of each block that are reranked by their exact inner product, for each neighbour wanted.
-DEPTH = 3
+#: Vectors of each block that are reranked by their exact inner product, for each neighbour wanted: at least, and how
+#: many times more where that finds too little.
+DEPTH, DEEPER = 3, 4
+#: Rows in the lists that a query probes, for each neighbour wanted, at least.
+ENOUGH = 10
 _FOUND = "array<struct<below:double,none:boolean,vec_id:long,rid:long>>"
+_ENTRY = pa.struct([("below", pa.float64()), ("none", pa.bool_()), ("vec_id", pa.int64()), ("rid", pa.int64())])
 
 
 @dataclass
 class Index:
-    """What was fitted, and the table ``(list, rid, vec_id, vec, code)`` of all vectors."""
+    """What was fitted, the table ``(list, rid, vec_id, vec, code)`` of all vectors, and the recall against brute force that was
+    measured (null without queries)."""
 
     coarse: np.ndarray
     books: list[np.ndarray]
     probes: int
-    parts: dict[int, int]
+    sizes: dict[int, int]
     rows: DataFrame
+    depth: int = DEPTH
+    recall: float | None = None
 
 
 def valid(rows: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -94,11 +104,58 @@ def _encode(coarse: np.ndarray, books: list[np.ndarray]):
     return run
 
 
-def build(rows: DataFrame, k: int = 20, sample: int = SAMPLE, reach: float = REACH) -> Index | None:
-    """An index of ``rows(rid, vec_id, vec)``, a staged table of vectors of one length; None if there is none.
+def _brute_force(query: np.ndarray, rid: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The best of this task so far: (score, list) for each query.
+        score, where = np.full((len(query), 0), -np.inf), np.zeros((len(query), 0), np.int32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = query @ _matrix(batch.column("vec")).T
+            now[rid[:, None] == batch.column("rid").to_numpy()[None, :]] = -np.inf
+            own = np.broadcast_to(batch.column("list").to_numpy(), now.shape)
+            score, where = np.concatenate((score, now), axis=1), np.concatenate((where, own), axis=1)
+            if score.shape[1] > k:
+                best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                score, where = np.take_along_axis(score, best, axis=1), np.take_along_axis(where, best, axis=1)
+        i, j = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(-score[i, j]), pa.array(where[i, j])], ["query", "below", "list"])
+
+    return run
+
 
-    The driver gets at most ``sample`` vectors, those with the smallest hashes of their numbers, and a count
-    for each list.
+def _calibrate(index: Index, queries: DataFrame, k: int, reach: float) -> Index:
+    """``index`` with as many probes and as much depth as ``queries(rid, vec)`` need, of which at most ``CHECKED`` are compared
+    with every vector. The driver gets these and their k true neighbours."""
+    drawn = queries.select("rid", "vec", F.col("rid").alias("query_id")).orderBy(F.xxhash64("rid")).limit(CHECKED)
+    asked = drawn.toArrow()
+    if not asked.num_rows:
+        return index
+    q, rid = _matrix(asked.column("vec").combine_chunks()), asked.column("rid").to_numpy()
+    every = index.rows.select("list", "rid", "vec").mapInArrow(_brute_force(q, rid, k), "query int, below double, list int")
+    true = every.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("below", "list"))), 1, k).alias("best")).collect()
+    if not true:
+        return index
+    # How far down a query's ranking of the lists the lists of its true neighbours are.
+    place = np.argsort(np.argsort(-(q @ index.coarse.T), axis=1, kind="stable"), axis=1)
+    deep = np.sort(np.concatenate([place[r.query, [b.list for b in r.best]] for r in true]))
+    index.probes = int(deep[math.ceil(reach * len(deep)) - 1]) + 1
+    last = {int(rid[r.query]): -r.best[-1].below for r in true}
+    while True:
+        found = search(index, drawn, k).select("query_id", "score").collect()
+        hits = sum(r.score >= last[r.query_id] - 1e-9 * abs(last[r.query_id]) for r in found)
+        index.recall = hits / len(deep)
+        if index.recall >= min(RECALL, reach) or index.depth * k >= 2 * BLOCK:
+            return index
+        index.depth *= DEEPER
+
+
+def build(rows: DataFrame, k: int = 20, sample: int = SAMPLE, reach: float = REACH, queries: DataFrame | None = None) -> Index | None:
+    """An index of ``rows(rid, vec_id, vec)``, a staged table of vectors of one length, for ``queries(rid, vec)`` out of it (any
+    row, if None); None if there is no row.
+
+    The driver gets at most ``sample`` vectors, those with the smallest hashes of their numbers, ``CHECKED`` queries with
+    their true neighbours, and a count for each list.
     """
     small_batches(rows.sparkSession, 4096)
     total = rows.count()
@@ -107,40 +164,37 @@ def build(rows: DataFrame, k: int = 20, sample: int = SAMPLE, reach: float = REA
     drawn = rows.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < min(1.0, 1.2 * sample / total) * (1 << 30)).orderBy(F.xxhash64("rid")).limit(sample)
     x = _matrix(drawn.select("vec").toArrow().column("vec").combine_chunks())
     coarse = _kmeans(x, max(1, min(math.ceil(math.sqrt(total)), len(x) // PER_LIST)), 10, 1)
-    own = _nearest(x, coarse)
-    rest = x - coarse[own]
+    rest = x - coarse[_nearest(x, coarse)]
     books = [_kmeans(rest[:, s], WORDS, 8, 2 + i) for i, s in enumerate(_spans(x.shape[1]))]
-    # How far down a query's ranking of the lists the lists of its neighbours in the sample are.
-    near = min(len(x) - 1, max(5, math.ceil(k * len(x) / total)))
-    probes = len(coarse)
-    if near > 0:
-        at = np.arange(0, len(x), max(1, len(x) // 400))
-        score = x[at] @ x.T
-        score[np.arange(len(at)), at] = -np.inf
-        found = own[np.argpartition(-score, near - 1, axis=1)[:, :near]]
-        place = np.argsort(np.argsort(-(x[at] @ coarse.T), axis=1), axis=1)
-        probes = int(np.quantile(np.take_along_axis(place, found, axis=1), reach, method="higher")) + 1
     indexed = stage(rows.mapInArrow(_encode(coarse, books), "list int, rid long, vec_id long, vec array<double>, code binary"), "index")
-    parts = {r.list: -(-r.n // BLOCK) for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    return Index(coarse, books, probes, parts, indexed)
+    sizes = {r.list: r.n for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    return _calibrate(Index(coarse, books, len(coarse), sizes, indexed), rows if queries is None else queries, k, reach)
+
+
+def _parts(n: int) -> int:
+    return -(-n // BLOCK)
+
 
+def _probe(coarse: np.ndarray, probes: int, sizes: dict[int, int], k: int):
+    size = np.array([sizes.get(i, 0) for i in range(len(coarse))])
 
-def _probe(coarse: np.ndarray, probes: int, parts: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 cut = batch.slice(at, 256)
-                best = np.argsort(-(_matrix(cut.column(1)) @ coarse.T), axis=1, kind="stable")[:, :probes]
-                where = [(i, int(c), p) for i, row in enumerate(best) for c in row for p in range(parts.get(int(c), 0))]
+                best = np.argsort(-(_matrix(cut.column(1)) @ coarse.T), axis=1, kind="stable")
+                # Short lists: further ones, until there are enough rows to choose from.
+                before = np.cumsum(size[best], axis=1) - size[best]
+                row, at_list = np.nonzero((np.arange(len(coarse)) < probes) | (before < ENOUGH * k + 1))
+                where = [(int(i), int(c), p) for i, c in zip(row, best[row, at_list]) for p in range(_parts(size[c]))]
                 take = pa.array([w[0] for w in where], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([w[1] for w in where], pa.int32()), pa.array([w[2] for w in where], pa.int32()), cut.column(0).take(take), cut.column(1).take(take)], ["list", "part", "query", "vec"])
 
     return run
 
 
-def _search(coarse: np.ndarray, books: list[np.ndarray], k: int):
-    entry = pa.struct([("below", pa.float64()), ("none", pa.bool_()), ("vec_id", pa.int64()), ("rid", pa.int64())])
-    empty = pa.table({"query": pa.array([], pa.int64()), "found": pa.array([], pa.list_(entry))})
+def _search(books: list[np.ndarray], k: int, depth: int):
+    empty = pa.table({"query": pa.array([], pa.int64()), "found": pa.array([], pa.list_(_ENTRY))})
 
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
         if not index.num_rows or not queries.num_rows:
@@ -152,12 +206,13 @@ def _search(coarse: np.ndarray, books: list[np.ndarray], k: int):
         code = np.frombuffer(b"".join(index.column("code").to_pylist()), np.uint8).reshape(len(rid), -1)
         query = queries.column("query").to_numpy()
         q = _matrix(queries.column("vec").combine_chunks())
-        centre, spans, deep = coarse[index.column("list")[0].as_py()], _spans(x.shape[1]), min(len(rid), DEPTH * k)
+        spans, deep = _spans(x.shape[1]), min(len(rid), depth * k)
         picks, scores = [], []
         for at in range(0, len(q), 128):
             part = q[at : at + 128]
-            # Asymmetric distance: a table of each query's products with all code words, summed by code.
-            rough = np.repeat((part @ centre)[:, None], len(rid), axis=1).astype(np.float32)
+            # Asymmetric distance: a table of each query's products with all code words, summed by code. The list's
+            # centroid adds the same to all of them, so it is left out.
+            rough = np.zeros((len(part), len(rid)), np.float32)
             for j, (s, b) in enumerate(zip(spans, books)):
                 rough += (part[:, s] @ b.T).astype(np.float32)[:, code[:, j]]
             own = rid[None, :] == query[at : at + 128, None]
@@ -171,7 +226,7 @@ def _search(coarse: np.ndarray, books: list[np.ndarray], k: int):
         pick, score = np.concatenate(picks), np.concatenate(scores)
         there = np.isfinite(score)
         flat = pa.array(pick[there], pa.int64())
-        found = pa.StructArray.from_arrays([pa.array(-score[there]), ids.is_null().take(flat), ids.take(flat), pa.array(rid[pick[there]], pa.int64())], fields=list(entry))
+        found = pa.StructArray.from_arrays([pa.array(-score[there]), ids.is_null().take(flat), ids.take(flat), pa.array(rid[pick[there]], pa.int64())], fields=list(_ENTRY))
         edge = pa.array(np.concatenate(([0], np.cumsum(there.sum(axis=1)))), pa.int32())
         return pa.table({"query": pa.array(query, pa.int64()), "found": pa.ListArray.from_arrays(edge, found)})
 
@@ -183,10 +238,10 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     the largest inner products found, ties to the smaller vec_id, null behind all; never the row of the query itself.
     Scores are exact, in double precision. Each pair of a list's block and the queries that probe it is one
     task's work; k results of each go on."""
-    parts = F.create_map(*[F.lit(x) for item in index.parts.items() for x in item])
+    parts = F.create_map(*[F.lit(x) for at, n in index.sizes.items() for x in (at, _parts(n))])
     dealt = index.rows.withColumn("part", F.pmod(F.xxhash64("rid", F.lit(3)), F.get(F.array(parts[F.col("list")]), F.lit(0)).cast("long")).cast("int"))
-    asked = queries.select("rid", "vec").mapInArrow(_probe(index.coarse, index.probes, index.parts), "list int, part int, query long, vec array<double>")
-    found = dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(_search(index.coarse, index.books, k), f"query long, found {_FOUND}")
+    asked = queries.select("rid", "vec").mapInArrow(_probe(index.coarse, index.probes, index.sizes, k), "list int, part int, query long, vec array<double>")
+    found = dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(_search(index.books, k, index.depth), f"query long, found {_FOUND}")
     best = found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("best"))
     each = best.select("query", F.posexplode("best").alias("at", "b"))
     named = each.join(queries.select(F.col("rid").alias("query"), "query_id"), "query")
@@ -205,8 +260,8 @@ def neighbours(rows: DataFrame, every: int = 20, k: int = 20, vector: str = "emb
     lengths = sorted(r.d for r in all_rows.select(F.size("vec").alias("d")).distinct().collect())
     for d in lengths:
         mine = all_rows.where(F.size("vec") == d)
-        index = build(mine, k)
-        found = search(index, index.rows.where(F.col("vec_id") % every == 0).select("rid", F.col("vec_id").alias("query_id"), "vec"), k)
+        asked = mine.where(F.col("vec_id") % every == 0).select("rid", F.col("vec_id").alias("query_id"), "vec")
+        found = search(build(mine, k, queries=asked), asked, k)
         out = found if out is None else out.unionByName(found)
     return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
 

@@ -486,6 +486,22 @@ def test_lists_prune_clustered_vectors(spark):
     assert sum(r.vec_id in best[r.query_id // 20] for r in found) / best.size >= 0.9
 
 
+def test_queries_unlike_the_vectors(spark):
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(60, 32)) * 3
+    x = centre[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 32))
+    # The vectors lie in clusters and the queries between them, so a query's nearest vectors are in many lists.
+    asked = np.arange(0, 6000, 20)
+    x[asked] = rng.normal(size=(300, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    got = ann.neighbours(df).collect()
+    assert len(got) == best.size and sum(r.vec_id in best[r.query_id // 20] for r in got) / best.size >= 0.95
+
+
 # Toxicity
 
 
