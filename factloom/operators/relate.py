@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions.evidence import evidence_caveat, relation
 from factloom.functions.text import PAIR_FIELDS, hash_text, pair_signature
@@ -21,11 +22,17 @@ from factloom.scratch import checked_broadcast, stage
 from factloom.session import reach
 
 TOP_K = 4
-#: Rows of one side of a block of the similarity join.
-BLOCK = 4096
+#: Numbers in a block of the similarity join: of probes, and of pool rows, which come as wide as they are stored.
+BLOCK, POOL_BLOCK = 1 << 21, 1 << 23
+#: Pool rows that are multiplied at a time.
+STEP = 4096
 JUDGMENTS = "pair_hash string, same_metric boolean, slice_a string, slice_b string, reason string, relation_type string, explanation string, reconciliation_context string, confidence double"
 
 
+def _matrix(vec: pa.ChunkedArray, n: int) -> np.ndarray:
+    return vec.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
 def _best(k: int):
     kind = pa.list_(pa.struct([("below", pa.float64()), ("other_id", pa.int64())]))
 
@@ -33,42 +40,76 @@ def _best(k: int):
         if not probe.num_rows or not pool.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "found": pa.array([], kind)})
         a, b = probe.column("id").to_numpy(), pool.column("id").to_numpy()
-        order = np.argsort(b)
+        order = np.argsort(b, kind="stable")
         b = b[order]
-        x = probe.column("vec").combine_chunks().flatten().to_numpy().reshape(len(a), -1)
-        y = pool.column("vec").combine_chunks().flatten().to_numpy().reshape(len(b), -1)[order]
-        out: list[list] = []
+        x, y = _matrix(probe.column("vec"), len(a)), _matrix(pool.column("vec"), len(b))
+        ids, scores, sizes = [], [], []
         for at in range(0, len(a), 512):
-            score = x[at : at + 512] @ y.T
-            score[a[at : at + 512, None] == b[None, :]] = -np.inf
-            for row in score:
-                if k < len(row):
-                    edge = np.partition(row, len(row) - k)[len(row) - k]
-                    above = np.flatnonzero(row > edge)
-                    pick = np.concatenate((above, np.flatnonzero(row == edge)[: k - len(above)]))
-                else:
-                    pick = np.arange(len(row))
-                pick = pick[np.isfinite(row[pick])]
-                out.append([{"below": -float(row[p]), "other_id": int(b[p])} for p in pick[np.lexsort((b[pick], -row[pick]))]])
-        return pa.table({"id": pa.array(a, pa.int64()), "found": pa.array(out, kind)})
+            own, part = a[at : at + 512], x[at : at + 512].astype(np.float64)
+            # The best so far, by score and then id; what follows has larger ids, so it must have more than the last of them.
+            score, other = np.empty((len(own), 0)), np.empty((len(own), 0), np.int64)
+            for to in range(0, len(b), STEP):
+                now = part @ y[order[to : to + STEP]].astype(np.float64).T
+                now[own[:, None] == b[None, to : to + STEP]] = -np.inf
+                now[~np.isfinite(now)] = -np.inf
+                if score.shape[1] < k:
+                    took = np.broadcast_to(b[to : to + STEP], now.shape)
+                    score, other = _first(np.concatenate((score, now), axis=1), np.concatenate((other, took), axis=1), k)
+                    continue
+                better = now > score[:, -1:]
+                for i in np.flatnonzero(better.any(axis=1)):
+                    j = np.flatnonzero(better[i])
+                    both, who = np.concatenate((score[i], now[i, j])), np.concatenate((other[i], b[to + j]))
+                    best = np.argsort(-both, kind="stable")[:k]
+                    score[i], other[i] = both[best], who[best]
+            there = np.isfinite(score)
+            ids.append(other[there])
+            scores.append(score[there])
+            sizes.append(there.sum(axis=1))
+        found = pa.StructArray.from_arrays([pa.array(-np.concatenate(scores)), pa.array(np.concatenate(ids))], fields=list(kind.value_type))
+        edge = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), pa.int32())
+        return pa.table({"id": pa.array(a, pa.int64()), "found": pa.ListArray.from_arrays(edge, found)})
 
     return run
 
 
-def top_k_similar(probe: DataFrame, pool: DataFrame, k: int = TOP_K, block: int = BLOCK) -> DataFrame:
+def _first(score: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest of each row, in order, of equal ones the first."""
+    if score.shape[1] > k:
+        edge = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        above, equal = score > edge, score == edge
+        keep = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        score, other = score[keep].reshape(-1, k), other[keep].reshape(-1, k)
+    best = np.argsort(-score, axis=1, kind="stable")
+    return np.take_along_axis(score, best, axis=1), np.take_along_axis(other, best, axis=1)
+
+
+def deal(probes: int, pool: int, tasks: int, block: int, pool_block: int) -> tuple[int, int]:
+    """How many blocks of probes and of pool rows: of at most so many rows, and about ``tasks`` pairs of blocks, so what is copied
+    follows the input until ``tasks`` full blocks of probes are not enough."""
+    m = max(1, -(-pool // pool_block))
+    return max(1, -(-probes // block), min(-(-tasks // m), -(-probes // 256))), m
+
+
+def top_k_similar(probe: DataFrame, pool: DataFrame, k: int = TOP_K, block: int = BLOCK, pool_block: int = POOL_BLOCK) -> DataFrame:
     """``(id, other_id, score, rank)``: for each probe the k pool rows with the largest inner
     product, never itself, ties to the smaller id. Both sides are (id, embedding).
 
-    Both sides are dealt into blocks of bounded size by hash; each pair of blocks is one matrix product
-    and passes on k rows for each probe, which a second step merges. Rows without a vector take no part.
+    Both sides are dealt into blocks of bounded size by hash; each pair of blocks is one task's work, which multiplies
+    them a part at a time and passes on k rows for each probe; a second step merges these. A probe is copied for each
+    block of the pool and a pool row for each block of probes, at its stored width. Rows without a vector take no part.
     """
-    reach(probe.sparkSession)
-    vec = F.col("embedding").cast("array<double>")
+    spark = probe.sparkSession
+    reach(spark)
 
     def side(df: DataFrame, blocks: int, name: str) -> DataFrame:
+        narrow = df.schema["embedding"].dataType == T.ArrayType(T.FloatType())
+        vec = F.col("embedding").cast("array<float>" if narrow else "array<double>")
         return df.where("id is not null and embedding is not null").select(F.col("id").cast("long").alias("id"), vec.alias("vec"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(name))
 
-    n, m = max(1, -(-probe.count() // block)), max(1, -(-pool.count() // block))
+    size = pool.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    wide = max(1, size.d or 1)
+    n, m = deal(probe.count(), size.n, 2 * spark.sparkContext.defaultParallelism, max(1, block // wide), max(1, pool_block // wide))
     left = side(probe, n, "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     right = side(pool, m, "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_best(k), "id long, found array<struct<below:double,other_id:long>>")
