@@ -30,3 +30,9 @@ def test_recall_by_blocks(spark):
     pairs = [(i, b[at]) for i, b in best.items() for at in (0, 5, 30)]
     got = recall_at_k(spark.createDataFrame(pairs, "fact_id_a long, fact_id_b long"), v).collect()
     assert [(r.k, r.pairs, r.hits) for r in sorted(got)] == [(4, 600, 200), (8, 600, 400), (16, 600, 400), (32, 600, 600)]
+
+
+def test_unordered_pairs_by_blocks(spark):
+    v, best = vectors(spark)
+    got = unordered_pairs(top_k_similar(v, v, 4, block=4 * 30, pool_block=4 * 70)).select("lo", "hi").collect()
+    assert sorted(map(tuple, got)) == sorted({(min(i, j), max(i, j)) for i, b in best.items() for j in b[:4]})
