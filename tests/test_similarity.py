@@ -36,3 +36,11 @@ def test_unordered_pairs_by_blocks(spark):
     v, best = vectors(spark)
     got = unordered_pairs(top_k_similar(v, v, 4, block=4 * 30, pool_block=4 * 70)).select("lo", "hi").collect()
     assert sorted(map(tuple, got)) == sorted({(min(i, j), max(i, j)) for i, b in best.items() for j in b[:4]})
+
+
+def test_top_k_by_blocks(spark):
+    v, best = vectors(spark)
+    for k, block, pool in ((4, 30, 70), (20, 1000, 15), (300, 50, 50)):
+        got = top_k_similar(v, v, k, block=4 * block, pool_block=4 * pool).collect()
+        assert sorted((r.id, r["rank"], r.other_id) for r in got) == sorted((i, at + 1, j) for i, b in best.items() for at, j in enumerate(b[:k]))
+    assert top_k_similar(v.limit(0), v).count() == 0 and top_k_similar(v, v.limit(0)).count() == 0
