@@ -24,8 +24,10 @@ from factloom.session import reach
 TOP_K = 4
 #: Numbers in a block of the similarity join: of probes, and of pool rows, which come as wide as they are stored.
 BLOCK, POOL_BLOCK = 1 << 21, 1 << 23
-#: Pool rows that are multiplied at a time.
-STEP = 4096
+#: Probes and pool rows that are multiplied at a time; the first pool rows are fewer, as all that are near the best of them are scored.
+ROWS, FIRST, STEP = 512, 256, 2048
+#: Pairs that are scored exactly at a time.
+SCORED = 1 << 14
 JUDGMENTS = "pair_hash string, same_metric boolean, slice_a string, slice_b string, reason string, relation_type string, explanation string, reconciliation_context string, confidence double"
 
 
@@ -33,35 +35,74 @@ def _matrix(vec: pa.ChunkedArray, n: int) -> np.ndarray:
     return vec.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
+def _finite(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors by id; a vector with a number that is null or not finite has no finite product."""
+    ids, x = table.column("id").to_numpy(), _matrix(table.column("vec"), table.num_rows)
+    order = np.argsort(ids, kind="stable")
+    order = order[np.isfinite(x[order]).all(axis=1)]
+    return ids[order], x[order]
+
+
+def _without_copies(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal vectors those of the k + 1 smallest ids: k others have the same score and a smaller id than any further one."""
+    if not x.size:
+        return ids, x
+    same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    order = np.argsort(same, kind="stable")
+    new = np.concatenate(([True], np.diff(same[order]) != 0))
+    nth = np.cumsum(new | np.concatenate(([True], np.diff(ids[order]) != 0)))
+    keep = np.sort(order[nth - nth[new][np.cumsum(new) - 1] <= k])
+    return ids[keep], x[keep]
+
+
+def _score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, in double precision and added in order, so that equal pairs have equal scores wherever they stand."""
+    parts = [np.cumsum(x[i : i + SCORED].astype(np.float64) * y[i : i + SCORED], axis=1)[:, -1] for i in range(0, len(x), SCORED)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
 def _best(k: int):
     kind = pa.list_(pa.struct([("below", pa.float64()), ("other_id", pa.int64())]))
 
     def run(probe: pa.Table, pool: pa.Table) -> pa.Table:
+        none = pa.table({"id": pa.array([], pa.int64()), "found": pa.array([], kind)})
         if not probe.num_rows or not pool.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "found": pa.array([], kind)})
-        a, b = probe.column("id").to_numpy(), pool.column("id").to_numpy()
-        order = np.argsort(b, kind="stable")
-        b = b[order]
-        x, y = _matrix(probe.column("vec"), len(a)), _matrix(pool.column("vec"), len(b))
+            return none
+        (a, x), (b, y) = _finite(probe), _without_copies(*_finite(pool), k)
+        if not len(a) or not x.shape[1] or not len(b):
+            return none
+        width = x.shape[1]
+        long_x, long_y = (np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64)) for v in (x, y))
+        # Small multiples of 1/1024 have exact products; else single precision sifts where it neither overflows nor vanishes.
+        exact = width <= 1 << 12 and all(np.abs(v).max() <= 1024 and (v * 1024 == np.rint(v * 1024)).all() for v in (x, y))
+        narrow = not exact and x.dtype == y.dtype == np.float32 and 1e-25 < long_x.max() * long_y.max() < 1e37
+        kinds = (np.float32, np.float64) if narrow else (np.float64,)
         ids, scores, sizes = [], [], []
-        for at in range(0, len(a), 512):
-            own, part = a[at : at + 512], x[at : at + 512].astype(np.float64)
+        for at in range(0, len(a), ROWS):
+            own, part = a[at : at + ROWS], x[at : at + ROWS]
             # The best so far, by score and then id; what follows has larger ids, so it must have more than the last of them.
-            score, other = np.empty((len(own), 0)), np.empty((len(own), 0), np.int64)
-            for to in range(0, len(b), STEP):
-                now = part @ y[order[to : to + STEP]].astype(np.float64).T
-                now[own[:, None] == b[None, to : to + STEP]] = -np.inf
-                now[~np.isfinite(now)] = -np.inf
-                if score.shape[1] < k:
-                    took = np.broadcast_to(b[to : to + STEP], now.shape)
-                    score, other = _first(np.concatenate((score, now), axis=1), np.concatenate((other, took), axis=1), k)
-                    continue
-                better = now > score[:, -1:]
-                for i in np.flatnonzero(better.any(axis=1)):
-                    j = np.flatnonzero(better[i])
-                    both, who = np.concatenate((score[i], now[i, j])), np.concatenate((other[i], b[to + j]))
-                    best = np.argsort(-both, kind="stable")[:k]
-                    score[i], other[i] = both[best], who[best]
+            score, other = np.full((len(own), k), -np.inf), np.zeros((len(own), k), np.int64)
+            to = 0
+            while to < len(b):
+                end = to + (STEP if to else FIRST)
+                some, tile = b[to:end], y[to:end]
+                for t in kinds:
+                    now = part.astype(t, copy=False) @ tile.astype(t, copy=False).T
+                    # No product is further than this from its exact score.
+                    off = 0.0 if exact else 2 * (width + 2) * (np.finfo(t).eps * long_x[at : at + ROWS] * long_y[to:end].max() + np.finfo(t).tiny)
+                    least = score[:, -1]
+                    if np.isneginf(least).any():
+                        now[own[:, None] == some[None, :]] = -np.inf
+                        if now.shape[1] > k:
+                            least = np.maximum(least, np.nextafter(np.partition(now, -k, axis=1)[:, -k].astype(np.float64) - off, -np.inf))
+                    near = np.flatnonzero(now > (least - off).astype(t)[:, None])
+                    if len(near) <= now.size >> 5:
+                        break
+                i, j = np.divmod(near, now.shape[1])
+                i, j = (v[own[i] != some[j]] for v in (i, j))
+                for lo in range(0, len(i), SCORED):
+                    _merge(score, other, i[lo : lo + SCORED], _score(part[i[lo : lo + SCORED]], tile[j[lo : lo + SCORED]]), some[j[lo : lo + SCORED]])
+                to = end
             there = np.isfinite(score)
             ids.append(other[there])
             scores.append(score[there])
@@ -73,15 +114,21 @@ def _best(k: int):
     return run
 
 
-def _first(score: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest of each row, in order, of equal ones the first."""
-    if score.shape[1] > k:
-        edge = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-        above, equal = score > edge, score == edge
-        keep = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
-        score, other = score[keep].reshape(-1, k), other[keep].reshape(-1, k)
-    best = np.argsort(-score, axis=1, kind="stable")
-    return np.take_along_axis(score, best, axis=1), np.take_along_axis(other, best, axis=1)
+def _merge(score: np.ndarray, other: np.ndarray, row: np.ndarray, more: np.ndarray, ids: np.ndarray) -> None:
+    """Put scored pairs, by row and then id, among the best of their rows; at equal scores those that are there stay first."""
+    use = np.isfinite(more)
+    use[use] = more[use] > score[row[use], -1]
+    row, more, ids = row[use], more[use], ids[use]
+    if not len(row):
+        return
+    rows, first, size = np.unique(row, return_index=True, return_counts=True)
+    k, place = score.shape[1], np.arange(len(row)) - np.repeat(first, size)
+    both, who = np.full((len(rows), k + size.max()), -np.inf), np.zeros((len(rows), k + size.max()), np.int64)
+    both[:, :k], who[:, :k] = score[rows], other[rows]
+    at = np.repeat(np.arange(len(rows)), size)
+    both[at, k + place], who[at, k + place] = more, ids
+    best = np.argsort(-both, axis=1, kind="stable")[:, :k]
+    score[rows], other[rows] = np.take_along_axis(both, best, axis=1), np.take_along_axis(who, best, axis=1)
 
 
 def deal(probes: int, pool: int, tasks: int, block: int, pool_block: int) -> tuple[int, int]:

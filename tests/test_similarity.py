@@ -44,3 +44,23 @@ def test_top_k_by_blocks(spark):
         got = top_k_similar(v, v, k, block=4 * block, pool_block=4 * pool).collect()
         assert sorted((r.id, r["rank"], r.other_id) for r in got) == sorted((i, at + 1, j) for i, b in best.items() for at, j in enumerate(b[:k]))
     assert top_k_similar(v.limit(0), v).count() == 0 and top_k_similar(v, v.limit(0)).count() == 0
+
+
+def doubles(spark, n=300):
+    """Vectors of doubles, many of them alike or permuted, so that scores are equal or differ in the last bit, and the best of
+    each by the sum that the SQL forms: in double precision and in order."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(12, 64))[rng.integers(0, 12, n)]
+    x[::5] = [rng.permutation(x[0]) for _ in x[::5]]
+    ids = random.Random(7).sample(range(10 * n), n)
+    best = {}
+    for i, v in zip(ids, x):
+        score = np.cumsum(v * x, axis=1)[:, -1]
+        best[i] = [(ids[j], float(score[j])) for j in np.lexsort((ids, -score)) if ids[j] != i]
+    return spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id long, embedding array<double>"), best
+
+
+def test_unordered_pairs_of_copies(spark):
+    v, best = doubles(spark)
+    got = unordered_pairs(top_k_similar(v, v, 4, block=64 * 90, pool_block=64 * 110)).select("lo", "hi", "score").collect()
+    assert {(r.lo, r.hi): r.score for r in got} == {(min(i, j), max(i, j)): score for i, b in best.items() for j, score in b[:4]}
