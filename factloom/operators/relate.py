@@ -23,7 +23,7 @@ from factloom.session import reach
 
 TOP_K = 4
 #: Numbers in a block of the similarity join: of probes, and of pool rows, which come as wide as they are stored.
-BLOCK, POOL_BLOCK = 1 << 21, 1 << 23
+BLOCK, POOL_BLOCK = 1 << 22, 1 << 23
 #: Probes and pool rows that are multiplied at a time; the first pool rows are fewer, as all that are near the best of them are scored.
 ROWS, FIRST, STEP = 512, 256, 2048
 #: Pairs that are scored exactly at a time.

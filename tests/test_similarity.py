@@ -64,3 +64,10 @@ def test_unordered_pairs_of_copies(spark):
     v, best = doubles(spark)
     got = unordered_pairs(top_k_similar(v, v, 4, block=64 * 90, pool_block=64 * 110)).select("lo", "hi", "score").collect()
     assert {(r.lo, r.hi): r.score for r in got} == {(min(i, j), max(i, j)): score for i, b in best.items() for j, score in b[:4]}
+
+
+def test_copies_grow_no_faster_than_a_million_rows():
+    def copied(rows):
+        return rows * sum(deal(rows, rows, 24, BLOCK // 64, POOL_BLOCK // 64))
+
+    assert copied(600_000) <= 6 * copied(100_000) and copied(1_000_000) <= 10 * copied(100_000)
