@@ -74,7 +74,9 @@ def _best(k: int):
         width = x.shape[1]
         long_x, long_y = (np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64)) for v in (x, y))
         # Small multiples of 1/1024 have exact products; else single precision sifts where it neither overflows nor vanishes.
-        exact = width <= 1 << 12 and all(np.abs(v).max() <= 1024 and (v * 1024 == np.rint(v * 1024)).all() for v in (x, y))
+        # Vectors of doubles keep the product's sum, which fuses multiplying and adding as the SQL's does; for single ones the two are alike.
+        wide = x.dtype == np.float64 or y.dtype == np.float64
+        exact = wide or width <= 1 << 12 and all(np.abs(v).max() <= 1024 and (v * 1024 == np.rint(v * 1024)).all() for v in (x, y))
         narrow = not exact and x.dtype == y.dtype == np.float32 and 1e-25 < long_x.max() * long_y.max() < 1e37
         kinds = (np.float32, np.float64) if narrow else (np.float64,)
         ids, scores, sizes = [], [], []
@@ -101,7 +103,7 @@ def _best(k: int):
                 i, j = np.divmod(near, now.shape[1])
                 i, j = (v[own[i] != some[j]] for v in (i, j))
                 for lo in range(0, len(i), SCORED):
-                    _merge(score, other, i[lo : lo + SCORED], _score(part[i[lo : lo + SCORED]], tile[j[lo : lo + SCORED]]), some[j[lo : lo + SCORED]])
+                    _merge(score, other, i[lo : lo + SCORED], now[i[lo : lo + SCORED], j[lo : lo + SCORED]] if wide else _score(part[i[lo : lo + SCORED]], tile[j[lo : lo + SCORED]]), some[j[lo : lo + SCORED]])
                 to = end
             there = np.isfinite(score)
             ids.append(other[there])

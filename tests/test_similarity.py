@@ -1,6 +1,8 @@
 """The similarity join by blocks: how much it copies, and its results against brute force."""
 
+import math
 import random
+from functools import reduce
 
 import numpy as np
 
@@ -48,14 +50,14 @@ def test_top_k_by_blocks(spark):
 
 def doubles(spark, n=300):
     """Vectors of doubles, many of them alike or permuted, so that scores are equal or differ in the last bit, and the best of
-    each by the sum that the SQL forms: in double precision and in order."""
+    each by the sum that DuckDB forms: in double precision, in order, multiplied and added at once."""
     rng = np.random.default_rng(7)
     x = rng.normal(size=(12, 64))[rng.integers(0, 12, n)]
     x[::5] = [rng.permutation(x[0]) for _ in x[::5]]
     ids = random.Random(7).sample(range(10 * n), n)
     best = {}
     for i, v in zip(ids, x):
-        score = np.cumsum(v * x, axis=1)[:, -1]
+        score = np.array([reduce(lambda s, ab: math.fma(*ab, s), zip(v.tolist(), w), 0.0) for w in x.tolist()])
         best[i] = [(ids[j], float(score[j])) for j in np.lexsort((ids, -score)) if ids[j] != i]
     return spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id long, embedding array<double>"), best
 
